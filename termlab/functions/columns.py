@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -16,13 +15,9 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
-def total(columns: Sequence[Column]) -> Column:
-    """Left-to-right sum of columns (NULL if any is NULL)."""
-    return reduce(lambda a, b: a + b, columns)
-
-
 def dot(left: Sequence[str], right: Sequence[str]) -> Column:
-    return total([F.col(a) * F.col(b) for a, b in zip(left, right, strict=True)])
+    """Sum of the products of two lists of columns."""
+    return F.expr(" + ".join(f"{a} * {b}" for a, b in zip(left, right, strict=True)))
 
 
 def sharpe(mean: Column, std: Column, periods: int) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlab.functions.columns import ratio, whole
+from termlab.functions.columns import ratio
 
 
 def bucket_labels(n: int, prefix: str = "D") -> list[str]:
@@ -36,15 +36,16 @@ def with_bucket(
     the 1-based number, which orders labels such as D2 and D10.
     """
     n = len(labels)
-    cuts = F.percentile(F.col(column), F.array(*[F.lit(i / n) for i in range(1, n)])).over(whole(keys))
-    number = F.when(
-        F.col(column).isNotNull(), F.lit(1) + F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(column)))
-    )
-    out = df.withColumn("_cuts", cuts).withColumn("_bucket", number)
-    out = out.withColumn(name, F.get(F.array(*[F.lit(x) for x in labels]), F.col("_bucket") - 1))
+    probabilities = ", ".join(f"{i / n!r}D" for i in range(1, n))
+    partition = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    names = ", ".join(f"'{label}'" for label in labels)
+    cuts = F.expr(f"percentile({column}, array({probabilities})) OVER ({partition}) AS _cuts")
+    number = F.expr(f"if({column} IS NULL, NULL, 1 + size(filter(_cuts, c -> c < {column}))) AS _bucket")
+    out = df.select("*", cuts).select("*", number)
+    added = [F.expr(f"get(array({names}), _bucket - 1) AS {name}")]
     if bucket:
-        out = out.withColumn(bucket, F.col("_bucket"))
-    return out.drop("_cuts", "_bucket")
+        added.append(F.expr(f"_bucket AS {bucket}"))
+    return out.select(*df.columns, *added)
 
 
 def nearest_quantile(column: Column, q: float) -> Column:
@@ -64,7 +65,8 @@ def nearest_quantiles(
 
     1. One aggregate per group: row count, extremes, and a quantile sketch whose
        rank error is at most n/accuracy.  The sketch gives values just below and
-       above each wanted rank.
+       above each wanted rank.  A group of at most ``accuracy`` rows uses its
+       extremes instead.
     2. A second pass counts the rows under the lower value and keeps, as distinct
        value counts, only those between the two: about 8n/accuracy rows.  The wanted
        rank is found among them by a running count.
@@ -80,9 +82,10 @@ def nearest_quantiles(
     probes = [min(max(q + side * margin, 0.0), 1.0) for q in quantiles.values() for side in (-1, 1)]
 
     def bound(position: int, probe: float) -> Column:
-        if probe == 0.0:
-            return F.col("_min")
-        return F.col("_max") if probe == 1.0 else F.get("_sketch", F.lit(position))
+        extreme = F.col("_max") if position % 2 else F.col("_min")
+        if probe in (0.0, 1.0):
+            return extreme
+        return F.when(F.col("_n") <= accuracy, extreme).otherwise(F.get("_sketch", F.lit(position)))
 
     specs = F.array(
         *[

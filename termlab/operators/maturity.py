@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlab.functions.columns import ratio
 from termlab.schema import DAY, SYMBOL, TENORS, px, weights
 from termlab.sources.tables import require_columns
 
@@ -26,55 +25,64 @@ def brackets(
     (task, keys, day), so a crowded day is reduced before the shuffle.
     """
     require_columns(term, [*keys, DAY, SYMBOL, "ttm_days"])
-    ttm = F.col("ttm_days")
-    close = F.col("close") if "close" in term.columns else F.lit(None).cast("double")
-    contract = [F.col(SYMBOL).alias("sym"), close.alias("px")]
-    upward = F.struct(ttm.alias("d"), *contract)
-    downward = F.struct((-ttm).alias("d"), *contract)
+    close = "close" if "close" in term.columns else "CAST(NULL AS DOUBLE)"
+    contract = f"'sym', {SYMBOL}, 'px', {close}"
+    upward = f"named_struct('d', ttm_days, {contract})"
+    downward = f"named_struct('d', -ttm_days, {contract})"
 
-    aggregates = [F.min(upward).alias("_shortest"), F.min(downward).alias("_longest")]
+    aggregates = [f"min({upward}) AS _shortest", f"min({downward}) AS _longest"]
     for t in tenors:
-        aggregates.append(F.min(F.when(ttm <= t, downward)).alias(f"_lo_{t}"))
-        aggregates.append(F.min(F.when(ttm >= t, upward)).alias(f"_hi_{t}"))
-    grouped = term.groupBy(*keys, DAY).agg(*aggregates)
+        aggregates.append(f"min(CASE WHEN ttm_days <= {t} THEN {downward} END) AS _lo_{t}")
+        aggregates.append(f"min(CASE WHEN ttm_days >= {t} THEN {upward} END) AS _hi_{t}")
+    grouped = term.groupBy(*keys, DAY).agg(*[F.expr(a) for a in aggregates])
 
-    def bracket(t: int) -> Column:
-        lo, hi = F.col(f"_lo_{t}"), F.col(f"_hi_{t}")
-        below, above = F.coalesce(lo, "_shortest"), F.coalesce(hi, "_longest")
+    def bracket(t: int) -> str:
+        below, above = f"coalesce(_lo_{t}, _shortest)", f"coalesce(_hi_{t}, _longest)"
+        lowest = f"abs({below}.d)"
         if not clamp:
-            message = F.lit(f"Target of {t} days outside available maturities on ")
-            stop = F.raise_error(F.concat(message, F.col(DAY).cast("string")))
-            below = F.when(lo.isNull() | hi.isNull(), stop.cast(downward_type(term))).otherwise(below)
-        return F.struct(
-            F.abs(below["d"]).alias("d1"), below["sym"].alias("sym1"), below["px"].alias("px1"),
-            F.abs(above["d"]).alias("d2"), above["sym"].alias("sym2"), above["px"].alias("px2"),
-        ).alias(f"b_{t}")
+            message = f"concat('Target of {t} days outside available maturities on ', {DAY})"
+            lowest = f"if(_lo_{t} IS NULL OR _hi_{t} IS NULL, raise_error({message}), {lowest})"
+        return (
+            f"named_struct('d1', {lowest}, 'sym1', {below}.sym, 'px1', {below}.px, "
+            f"'d2', abs({above}.d), 'sym2', {above}.sym, 'px2', {above}.px) AS b_{t}"
+        )
 
-    return grouped.select(*keys, DAY, *[bracket(t) for t in tenors])
+    return grouped.select(*keys, DAY, *[F.expr(bracket(t)) for t in tenors])
 
 
-def downward_type(term: DataFrame) -> str:
-    symbol = dict(term.dtypes)[SYMBOL]
-    return f"struct<d:{dict(term.dtypes)['ttm_days']},sym:{symbol},px:double>"
+def _side_weights(t: int) -> tuple[str, str]:
+    """Weights of the lower and the upper contract of a bracket, d1 < d2."""
+    d1, d2 = f"b_{t}.d1", f"b_{t}.d2"
+    return f"try_divide({d2} - {t}D, {d2} - {d1})", f"try_divide({t}D - {d1}, {d2} - {d1})"
 
 
-def _side_weights(t: int) -> tuple[Column, Column]:
-    """Weights of the lower and upper bracket contract, d1 < d2."""
-    d1, d2 = F.col(f"b_{t}.d1"), F.col(f"b_{t}.d2")
-    return ratio(d2 - float(t), d2 - d1), ratio(float(t) - d1, d2 - d1)
+def _weight(t: int) -> str:
+    """Weight of a contract row at tenor ``t``, given the day's bracket on the row."""
+    lower, upper = _side_weights(t)
+    return f"""CASE WHEN b_{t}.d1 = b_{t}.d2 THEN if({SYMBOL} = b_{t}.sym1, 1D, 0D)
+        WHEN {SYMBOL} = b_{t}.sym1 THEN {lower}
+        WHEN {SYMBOL} = b_{t}.sym2 THEN {upper}
+        ELSE 0D END"""
 
 
-def weight(t: int) -> Column:
-    """Weight of a contract row at tenor ``t``, given the day's bracket on the row."""
+def _price(t: int) -> str:
+    """Close of the two bracket contracts by weight; no other contract has any."""
     lower, upper = _side_weights(t)
-    first, second = (F.col(SYMBOL) == F.col(f"b_{t}.{s}") for s in ("sym1", "sym2"))
-    exact = F.col(f"b_{t}.d1") == F.col(f"b_{t}.d2")
-    return (
-        F.when(exact, F.when(first, 1.0).otherwise(0.0))
-        .when(first, lower)
-        .when(second, upper)
-        .otherwise(0.0)
-    )
+    return f"""CASE WHEN b_{t}.d1 = b_{t}.d2 THEN coalesce(b_{t}.px1, 0D)
+        ELSE coalesce(b_{t}.px1 * {lower}, 0D) + coalesce(b_{t}.px2 * {upper}, 0D) END"""
+
+
+def weights_from_brackets(
+    term: DataFrame, day: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Contract rows plus ``weight_<tenor>d``, from the brackets of their day.
+
+    The join on (keys, day) carries no hint: Spark broadcasts the day side when its
+    measured size allows, and adaptive execution splits a day that holds a large
+    part of the rows.
+    """
+    added = [F.expr(f"{_weight(t)} AS {name}") for t, name in zip(tenors, weights(tenors), strict=True)]
+    return term.join(day, [*keys, DAY], "left").select(*term.columns, *added)
 
 
 def add_weights(
@@ -82,15 +90,16 @@ def add_weights(
 ) -> DataFrame:
     """Contract rows plus ``weight_<tenor>d``; the weights of a day sum to 1 per tenor.
 
-    One aggregate and one join on (keys, day).  The join carries no hint: Spark
-    broadcasts the day side when its measured size allows, and adaptive execution
-    splits a day that holds a large part of the rows.
+    One aggregate for all tenors and one join back.
     """
-    day = brackets(term, tenors, keys, clamp)
-    joined = term.join(day, [*keys, DAY], "left")
-    return joined.select(
-        *term.columns, *[weight(t).alias(name) for t, name in zip(tenors, weights(tenors), strict=True)]
-    )
+    return weights_from_brackets(term, brackets(term, tenors, keys, clamp), tenors, keys)
+
+
+def prices_from_brackets(
+    day: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = ()
+) -> DataFrame:
+    named = [F.expr(f"{_price(t)} AS {name}") for t, name in zip(tenors, px(tenors), strict=True)]
+    return day.select(*keys, DAY, *named)
 
 
 def constant_maturity_prices(
@@ -102,15 +111,7 @@ def constant_maturity_prices(
     bracket contracts carry weight and the aggregate has already kept their closes.
     """
     require_columns(term, ["close"])
-
-    def price(t: int) -> Column:
-        lower, upper = _side_weights(t)
-        b = F.col(f"b_{t}")
-        mixed = F.coalesce(b["px1"] * lower, F.lit(0.0)) + F.coalesce(b["px2"] * upper, F.lit(0.0))
-        return F.when(b["d1"] == b["d2"], F.coalesce(b["px1"], F.lit(0.0))).otherwise(mixed)
-
-    day = brackets(term, tenors, keys, clamp)
-    return day.select(*keys, DAY, *[price(t).alias(n) for t, n in zip(tenors, px(tenors), strict=True)])
+    return prices_from_brackets(brackets(term, tenors, keys, clamp), tenors, keys)
 
 
 def prices_from_weights(
@@ -126,7 +127,7 @@ def prices_from_weights(
     if not found:
         raise ValueError(f"No weight columns found with prefix {weight_prefix!r}")
     sums = [
-        F.coalesce(F.sum(F.col(price_col) * F.col(c)), F.lit(0.0)).alias(out_prefix + c.removeprefix(weight_prefix))
+        F.expr(f"coalesce(sum(`{price_col}` * `{c}`), 0D) AS `{out_prefix}{c.removeprefix(weight_prefix)}`")
         for c in found
     ]
     return weighted.groupBy(*keys, DAY).agg(*sums)
@@ -135,10 +136,7 @@ def prices_from_weights(
 def weight_sums(
     weighted: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = (), tolerance: float = 1e-6
 ) -> DataFrame:
-    """Per day: the number of tenors whose weights do not sum to 1, and the sums."""
-    sums = [F.sum(w).alias(f"sum_{t}d") for t, w in zip(tenors, weights(tenors), strict=True)]
-    out = weighted.groupBy(*keys, DAY).agg(*sums)
-    bad = sum(
-        (F.abs(F.col(f"sum_{t}d") - 1.0) > tolerance).cast("int") for t in tenors
-    )
-    return out.withColumn("n_bad", bad)
+    """Per day: the weight sum of each tenor, and how many of them are not 1."""
+    sums = [F.expr(f"sum({w}) AS sum_{t}d") for t, w in zip(tenors, weights(tenors), strict=True)]
+    bad = " + ".join(f"if(abs(sum_{t}d - 1) > {tolerance}D, 1, 0)" for t in tenors)
+    return weighted.groupBy(*keys, DAY).agg(*sums).withColumn("n_bad", F.expr(bad))

@@ -38,8 +38,8 @@ def price_quality(
     """Days, and per tenor the NULL prices and the prices no log return can use."""
     counts = [F.count("*").alias("n_days")]
     for c in px(tenors):
-        counts.append(F.count_if(F.col(c).isNull()).alias(f"null_{c}"))
-        counts.append(F.count_if(F.col(c) <= 0).alias(f"nonpositive_{c}"))
+        counts.append(F.expr(f"count_if({c} IS NULL) AS null_{c}"))
+        counts.append(F.expr(f"count_if({c} <= 0) AS nonpositive_{c}"))
     return prices.groupBy(*keys).agg(*counts)
 
 

@@ -37,11 +37,12 @@ def log_returns(
 
     The log of a price that is not positive is NULL, so its day and the next go.
     """
-    added = {
-        r: F.ln(F.col(p)) - F.lag(F.ln(F.col(p))).over(by_day(keys))
+    partition = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    added = [
+        F.expr(f"ln({p}) - lag(ln({p})) OVER ({partition}ORDER BY {DAY}) AS {r}")
         for p, r in zip(px(tenors), returns(tenors), strict=True)
-    }
-    return prices.withColumns(added).dropna()
+    ]
+    return prices.select("*", *added).dropna()
 
 
 def add_carry(
@@ -53,11 +54,11 @@ def add_carry(
     """
     names = px(tenors)
     others = [*names[1:], names[-2]]
-    slope = {
-        carry: ratio(ratio(F.col(p) - F.col(o), F.col(p)), F.lit(days))
+    slopes = [
+        F.expr(f"try_divide({p} - {o}, {p}) / {float(days)!r}D AS {carry}")
         for p, o, carry in zip(names, others, carries(tenors), strict=True)
-    }
-    return returned.withColumns(slope)
+    ]
+    return returned.select("*", *slopes)
 
 
 def _slope_terms(y: str, x: str, ols: bool) -> tuple[Column, Column]:

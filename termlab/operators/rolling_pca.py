@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlab.functions.columns import by_day, dot, ratio, total
+from termlab.functions.columns import by_day, dot
 from termlab.schema import DAY, TENORS, carries, hedges, px, returns
 
 # They decide the results.
@@ -46,40 +46,40 @@ def rolling_moments(
     step = gcd(window, every)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
 
-    sums = [F.sum(names[i]).alias(f"s_{i}") for i in range(size)]
-    products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p_{i}_{j}") for i, j in pairs]
+    measures = {f"s_{i}": names[i] for i in range(size)}
+    measures |= {f"p_{i}_{j}": f"{names[i]} * {names[j]}" for i, j in pairs}
     blocks = (
         returned.withColumn("_block", F.floor(_row_index(keys) / step))
         .groupBy(*keys, "_block")
-        .agg(F.min(DAY).alias(DAY), *sums, *products)
+        .agg(F.min(DAY).alias(DAY), *[F.expr(f"sum({x}) AS {m}") for m, x in measures.items()])
     )
 
-    frame = Window.partitionBy(*keys).orderBy("_block").rowsBetween(-(window // step), -1)
-    measures = [*[f"s_{i}" for i in range(size)], *[f"p_{i}_{j}" for i, j in pairs]]
-    first_row = F.col("_block") * step
-    due = (first_row >= window) & ((first_row - window) % every == 0)
+    partition = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    frame = f"({partition}ORDER BY _block ROWS BETWEEN {window // step} PRECEDING AND 1 PRECEDING)"
+    first_row = f"_block * {step}"
     framed = blocks.select(
         *keys,
         DAY,
-        ((first_row - window) / every).cast("long").alias("rebalance"),
-        due.alias("_due"),
-        *[F.sum(m).over(frame).alias(m) for m in measures],
+        F.expr(f"({first_row} - {window}) DIV {every} AS rebalance"),
+        F.expr(f"{first_row} >= {window} AND ({first_row} - {window}) % {every} = 0 AS _due"),
+        *[F.expr(f"sum({m}) OVER {frame} / {window} AS {m}") for m in measures],
     ).filter("_due")
 
-    def covariance(i: int, j: int) -> Column:
+    def covariance(i: int, j: int) -> str:
         i, j = min(i, j), max(i, j)
-        means = F.col(f"s_{i}") / window * (F.col(f"s_{j}") / window)
-        value = F.col(f"p_{i}_{j}") / window - means
-        return F.greatest(value, F.lit(0.0)) if i == j else value
+        value = f"p_{i}_{j} - s_{i} * s_{j}"
+        return f"greatest({value}, 0D)" if i == j else value
 
     cells = [(i, j) for i in range(size) for j in range(size)]
-    sigma = [F.sqrt(covariance(i, i)) for i in range(size)]
-    filled = F.array(*[F.when(s == 0, 1.0).otherwise(s) for s in sigma])
-    out = framed.select(
-        *keys, "rebalance", DAY, filled.alias("sigma"), F.array(*[covariance(i, j) for i, j in cells]).alias("cov")
+    deviations = ", ".join(f"coalesce(nullif(sqrt({covariance(i, i)}), 0D), 1D)" for i in range(size))
+    covariances = ", ".join(covariance(i, j) for i, j in cells)
+    correlations = ", ".join(f"cov[{i * size + j}] / (sigma[{i}] * sigma[{j}])" for i, j in cells)
+    return (
+        framed.select(
+            *keys, "rebalance", DAY, F.expr(f"array({deviations}) AS sigma"), F.expr(f"array({covariances}) AS cov")
+        )
+        .withColumn("corr", F.expr(f"array({correlations})"))
     )
-    scaled = [F.col("cov")[i * size + j] / (F.col("sigma")[i] * F.col("sigma")[j]) for i, j in cells]
-    return out.withColumn("corr", F.array(*scaled))
 
 
 def _eigen_udf(size: int):
@@ -118,11 +118,6 @@ def principal_components(moments: DataFrame, tenors: Sequence[int] = TENORS) ->
     )
 
 
-def _array_dot(left: Column, right: Column) -> Column:
-    products = F.zip_with(left, right, lambda a, b: a * b)
-    return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
-
-
 def _loading(space: str) -> Column:
     """PC1 in ``standardised`` space, or scaled to raw returns for ``tradable``."""
     if space == "standardised":
@@ -144,15 +139,15 @@ def hedge_weights(
     The rest is parallel to PC1 without its front entry; if that is zero only the
     anchor remains.
     """
-    rest = F.slice("_v", 2, len(tenors) - 1)
-    scale = ratio(-(F.col("_v")[0] * anchor), _array_dot(rest, rest))
-    sized = components.withColumn("_v", _loading(space)).withColumn("_k", scale)
-    weights = [F.lit(float(anchor)).alias(hedges(tenors)[0])]
-    weights += [
-        F.coalesce(F.col("_k") * F.col("_v")[i], F.lit(0.0)).alias(name)
-        for i, name in enumerate(hedges(tenors)[1:], start=1)
-    ]
-    return sized.select(*keys, "rebalance", DAY, *weights)
+    names = hedges(tenors)
+    norm = " + ".join(f"_v[{i}] * _v[{i}]" for i in range(1, len(names)))
+    weights = [f"{float(anchor)!r}D AS {names[0]}"]
+    weights += [f"coalesce(_k * _v[{i}], 0D) AS {name}" for i, name in enumerate(names[1:], start=1)]
+    return (
+        components.select(*keys, "rebalance", DAY, _loading(space).alias("_v"))
+        .withColumn("_k", F.expr(f"try_divide(-(_v[0] * {float(anchor)!r}D), {norm})"))
+        .select(*keys, "rebalance", DAY, *[F.expr(w) for w in weights])
+    )
 
 
 def attach_weights(
@@ -183,16 +178,17 @@ def diagnostics(
     previous PC1, NULL at the first rebalance.
     """
     order = Window.partitionBy(*keys).orderBy("rebalance")
-    spread = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v)
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _array_dot(F.col("pc1"), F.col("_prev")))))
+    size = len(tenors)
+    spread = " + ".join(f"values[{i}]" for i in range(size))
+    cosine = " + ".join(f"pc1[{i}] * _prev[{i}]" for i in range(size))
     with_prev = components.withColumn("_prev", F.lag("pc1").over(order))
     return with_prev.select(
         *keys,
         "rebalance",
         DAY,
-        ratio(F.col("values")[0], spread).alias("pc1_var"),
-        F.when(F.col("_prev").isNotNull(), angle).alias("rotation"),
-        *[F.col("pc1")[i].alias(f"pc1_{name}") for i, name in enumerate(px(tenors))],
+        F.expr(f"try_divide(values[0], {spread}) AS pc1_var"),
+        F.expr(f"if(_prev IS NULL, NULL, acos(greatest(-1D, least(1D, {cosine})))) AS rotation"),
+        *[F.expr(f"pc1[{i}] AS pc1_{name}") for i, name in enumerate(px(tenors))],
     )
 
 
@@ -200,8 +196,8 @@ def explained_variance(
     components: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Explained share of every component, one column per component."""
-    spread = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v)
-    shares = [ratio(F.col("values")[i], spread).alias(f"var_{i + 1}") for i in range(len(tenors))]
+    spread = " + ".join(f"values[{i}]" for i in range(len(tenors)))
+    shares = [F.expr(f"try_divide(values[{i}], {spread}) AS var_{i + 1}") for i in range(len(tenors))]
     return components.select(*keys, "rebalance", DAY, *shares)
 
 
@@ -214,7 +210,7 @@ def neutrality(
 ) -> DataFrame:
     """Exposure of the hedge to PC1 at each rebalance, which should be 0."""
     loading = components.select(*keys, "rebalance", _loading(space).alias("_v"))
-    exposure = total([F.col(w) * F.col("_v")[i] for i, w in enumerate(hedges(tenors))])
+    exposure = F.expr(" + ".join(f"{w} * _v[{i}]" for i, w in enumerate(hedges(tenors))))
     return hedge.join(loading, [*keys, "rebalance"]).select(
         *keys, "rebalance", DAY, exposure.alias("neutrality")
     )
@@ -246,5 +242,5 @@ def gross_exposure(
     weighted: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Sum of absolute hedge weights per day."""
-    size = total([F.abs(F.col(w)) for w in hedges(tenors)])
-    return weighted.select(*keys, DAY, size.alias("gross"))
+    size = " + ".join(f"abs({w})" for w in hedges(tenors))
+    return weighted.select(*keys, DAY, F.expr(f"{size} AS gross"))

@@ -32,6 +32,20 @@ PANEL_TENORS = (180, 360, 540, 720, 900, 1080)
 PANEL_STEP = 180.0
 FIXED_HEDGE = (-1.0, 0.2, 0.2, 0.2, 0.2, 0.2)
 
+# Stated here, so that no footer is read to plan a query.
+TABLES = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+        "l_shipdate TIMESTAMP_NTZ"
+    ),
+}
+
 
 def utc_instant(column: str):
     """A zone-less UTC time as an instant, whatever the session's zone is."""
@@ -50,7 +64,7 @@ class Panel:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -65,17 +79,16 @@ class Panel:
     @cached_property
     def contract_rows(self) -> DataFrame:
         """All contract rows, expired and repeated ones included."""
-        orders = self.table("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias(DAY))
-        lines = self.table("lineitem").select(
+        orders = self.table("orders").selectExpr("o_orderkey AS l_orderkey", f"CAST(o_orderdate AS DATE) AS {DAY}")
+        lines = self.table("lineitem").selectExpr(
             "l_orderkey",
             "l_linenumber",
-            F.col("l_returnflag").alias("curve_id"),
-            F.col("l_suppkey").alias(SYMBOL),
-            F.col("l_extendedprice").alias("close"),
-            F.col("l_shipdate").cast("date").alias("expiry"),
+            "l_returnflag AS curve_id",
+            f"l_suppkey AS {SYMBOL}",
+            "l_extendedprice AS close",
+            "CAST(l_shipdate AS DATE) AS expiry",
         )
-        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
-        return joined.withColumn("ttm_days", F.datediff("expiry", DAY))
+        return lines.join(orders, "l_orderkey").withColumn("ttm_days", F.datediff("expiry", DAY))
 
     @cached_property
     def term(self) -> DataFrame:
@@ -87,13 +100,17 @@ class Panel:
             ["close", "expiry", "ttm_days"],
         )
 
+    @cached_property
+    def brackets(self) -> DataFrame:
+        return maturity.brackets(self.term, self.tenors, self.keys)
+
     @cached_property
     def weighted(self) -> DataFrame:
-        return maturity.add_weights(self.term, self.tenors, self.keys)
+        return maturity.weights_from_brackets(self.term, self.brackets, self.tenors, self.keys)
 
     @cached_property
     def prices(self) -> DataFrame:
-        return maturity.constant_maturity_prices(self.term, self.tenors, self.keys)
+        return maturity.prices_from_brackets(self.brackets, self.tenors, self.keys)
 
     @cached_property
     def returned(self) -> DataFrame:
