@@ -91,8 +91,11 @@ def return_quantiles(leg_rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     return nearest_quantiles(sized, "_abs", {"p999": 0.999, "max": 1.0}, keys)
 
 
-def daily_cross_section(leg_rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Leg count and spread of next-day returns per day."""
+def leg_days(leg_rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Cross-section and profit of each day in one aggregate over the legs.
+
+    (keys, day, n_legs, mean_r, std_r, min_r, max_r, max_abs_r, strategy_ret)
+    """
     r = F.col("r_next")
     return leg_rows.groupBy(*keys, DAY).agg(
         F.count("*").alias("n_legs"),
@@ -101,9 +104,15 @@ def daily_cross_section(leg_rows: DataFrame, keys: Sequence[str] = ()) -> DataFr
         F.min(r).alias("min_r"),
         F.max(r).alias("max_r"),
         F.max(F.abs(r)).alias("max_abs_r"),
+        F.coalesce(F.sum("pnl_leg"), F.lit(0.0)).alias("strategy_ret"),
     )
 
 
+def daily_cross_section(leg_rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Leg count and spread of next-day returns per day."""
+    return leg_days(leg_rows, keys).drop("strategy_ret")
+
+
 def cross_section_quantiles(daily_xs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return daily_xs.groupBy(*keys).agg(
         nearest_quantile(F.col("std_r"), 0.99).alias("std_r_p99"),
@@ -158,9 +167,7 @@ def extreme_legs(
 
 def daily_pnl(leg_rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``strategy_ret``: the sum of leg profits per day."""
-    return leg_rows.groupBy(*keys, DAY).agg(
-        F.coalesce(F.sum("pnl_leg"), F.lit(0.0)).alias("strategy_ret")
-    )
+    return leg_days(leg_rows, keys).select(*keys, DAY, "strategy_ret")
 
 
 def period_start(every: str) -> Column:

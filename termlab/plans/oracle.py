@@ -223,7 +223,7 @@ answer(
     "cm_weights",
     "weighted",
     f"SELECT curve_id, symbol, {DAY}, {big('ttm_days', 'ttm_days')}, "
-    + ", ".join(rd(f"weight_{t}d", f"weight_{t}d") for t in TENORS)
+    + ", ".join(rd(f"weight_{t}d", f"weight_{t}d", 9) for t in TENORS)
     + " FROM weighted",
 )
 stage(
@@ -607,7 +607,7 @@ answer(
     "contract_weight",
     "weighted fixed",
     f"""SELECT t.curve_id, {text('t.tradingDay', '"tradingDay"')}, symbol, {big('ttm_days', 'ttm_days')},
-       {rd(' + '.join(f'{w} * weight_{t}d' for w, t in zip(W, TENORS, strict=True)), 'w_contract')}
+       {rd(' + '.join(f'{w} * weight_{t}d' for w, t in zip(W, TENORS, strict=True)), 'w_contract', 9)}
 FROM weighted t JOIN fixed h ON h.curve_id = t.curve_id AND h.tradingDay = t.tradingDay""",
 )
 stage(
@@ -623,8 +623,9 @@ answer(
     f"SELECT {KEYS}, symbol, {rd('close_next', 'close_next', 9)}, {rd('r_next', 'r_next', 9)}, "
     f"{text('nextDay', '\"nextDay\"')} FROM nexts",
 )
-_LEG = ", ".join(rd(c, c) for c in ("w_contract", "close", "close_next", "r_next", "pnl_leg"))
-_LEG_OUT = f"SELECT {KEYS}, symbol, {text('nextDay', '\"nextDay\"')}, {_LEG}"
+_LEG_OUT = f"SELECT {KEYS}, symbol, {text('nextDay', '\"nextDay\"')}, " + ", ".join(
+    rd(c, c, 9) for c in ("w_contract", "close", "close_next", "r_next", "pnl_leg")
+)
 for _name in ("legs", "legs_joined"):
     answer(_name, "legs", f"{_LEG_OUT}, {text('expiry', 'expiry')}, {big('ttm_days', 'ttm_days')} FROM legs")
 for _name, _order, _n in (
@@ -671,13 +672,13 @@ stage(
     "SELECT curve_id, tradingDay, sum(abs(w_contract)) AS gross_w, sum(w_contract) AS net_w, count(*) AS n_legs "
     "FROM legs GROUP BY 1, 2",
 )
-answer("exposure", "expo", f"SELECT {KEYS}, {rd('gross_w', 'gross_w')}, {rd('net_w', 'net_w')}, n_legs FROM expo")
+answer("exposure", "expo", f"SELECT {KEYS}, {rd('gross_w', 'gross_w', 9)}, {rd('net_w', 'net_w', 9)}, n_legs FROM expo")
 answer(
     "exposure_summary",
     "expo",
     "SELECT curve_id, "
     + ", ".join(
-        rd(e, n)
+        rd(e, n, 9)
         for e, n in (
             (nearest("gross_w", 0.01), "gross_p01"),
             ("median(gross_w)", "gross_med"),

@@ -26,6 +26,7 @@ from termlab.operators import (
 )
 from termlab.schema import DAY, SYMBOL, hedges, px
 from termlab.schema import returns as return_names
+from termlab.sources import tables
 
 CURVE = ["curve_id"]
 PANEL_TENORS = (180, 360, 540, 720, 900, 1080)
@@ -180,13 +181,17 @@ class Panel:
     def legs(self) -> DataFrame:
         return legs.legs_in_one_pass(self.weighted, self.day_weights, self.tenors, self.keys)
 
+    @cached_property
+    def leg_days(self) -> DataFrame:
+        return legs.leg_days(self.legs, self.keys)
+
     @cached_property
     def cross_section(self) -> DataFrame:
-        return legs.daily_cross_section(self.legs, self.keys)
+        return self.leg_days.drop("strategy_ret")
 
     @cached_property
     def pnl(self) -> DataFrame:
-        return legs.daily_pnl(self.legs, self.keys)
+        return self.leg_days.select(*self.keys, DAY, "strategy_ret")
 
     @cached_property
     def equity(self) -> DataFrame:
@@ -227,8 +232,28 @@ class Panel:
         return sizing.sized_strategy(self.pnl, self.sized_states, self.keys)
 
 
-class HedgedPanel(Panel):
-    """The panel traded with its own rolling hedge instead of fixed weights.
+class StagedPanel(Panel):
+    """The panel with the day tables that many branches read written once.
+
+    What is staged is day or rebalance grain: brackets, components and leg days.
+    Contract rows stay in the plan.
+    """
+
+    @cached_property
+    def brackets(self) -> DataFrame:
+        return tables.stage(super().brackets, "brackets")
+
+    @cached_property
+    def components(self) -> DataFrame:
+        return tables.stage(super().components, "components")
+
+    @cached_property
+    def leg_days(self) -> DataFrame:
+        return tables.stage(super().leg_days, "leg-days")
+
+
+class HedgedPanel(StagedPanel):
+    """Traded with the panel's own rolling hedge instead of fixed weights.
 
     Profit comes from the tradable-space hedge, carry from the standardised one.
     """

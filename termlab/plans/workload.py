@@ -33,7 +33,7 @@ from termlab.operators import (
     signals,
     sizing,
 )
-from termlab.plans.panel import CURVE, PANEL_TENORS, HedgedPanel, Panel
+from termlab.plans.panel import CURVE, PANEL_TENORS, HedgedPanel, Panel, StagedPanel
 from termlab.schema import DAY, SYMBOL, hedges, px
 from termlab.schema import returns as return_names
 from termlab.sources import tables
@@ -186,7 +186,7 @@ def _(p):
     return day.selectExpr(*p.keys, DAY, *[f"b_{t}.{f} AS {f}_{t}" for t in p.tenors for f in fields])
 
 
-@query("cm_weights")
+@query("cm_weights", digits=9)
 def _(p):
     return p.weighted.drop("expiry", "close")
 
@@ -378,7 +378,7 @@ def _(p):
 # -- legs --------------------------------------------------------------------
 
 
-@query("contract_weight")
+@query("contract_weight", digits=9)
 def _(p):
     out = legs.contract_weights(p.weighted, p.day_weights, p.tenors, p.keys)
     return out.select(*p.keys, DAY, SYMBOL, "ttm_days", "w_contract")
@@ -389,12 +389,12 @@ def _(p):
     return p.next_returns.select(*p.keys, DAY, SYMBOL, "close_next", "r_next", "nextDay")
 
 
-@query("legs")
+@query("legs", digits=9)
 def _(p):
     return p.legs
 
 
-@query("legs_joined")
+@query("legs_joined", digits=9)
 def _(p):
     """The same legs from the two tables joined."""
     weighted = legs.contract_weights(p.weighted, p.day_weights, p.tenors, p.keys)
@@ -437,12 +437,12 @@ def _(p):
     return series.select(*p.keys, SYMBOL, DAY, "r_next")
 
 
-@query("exposure")
+@query("exposure", digits=9)
 def _(p):
     return legs.exposure(p.legs, p.keys)
 
 
-@query("exposure_summary")
+@query("exposure_summary", digits=9)
 def _(p):
     return legs.exposure_summary(legs.exposure(p.legs, p.keys), p.keys)
 
@@ -461,17 +461,17 @@ def _leg_view(rows: DataFrame) -> DataFrame:
     return rows.select(*CURVE, DAY, SYMBOL, "w_contract", "close", "close_next", "nextDay", "r_next", "pnl_leg")
 
 
-@query("worst_legs")
+@query("worst_legs", digits=9)
 def _(p):
     return _leg_view(legs.extreme_legs(p.legs, keys=p.keys))
 
 
-@query("best_legs")
+@query("best_legs", digits=9)
 def _(p):
     return _leg_view(legs.extreme_legs(p.legs, worst=False, keys=p.keys))
 
 
-@query("latest_expiry_legs")
+@query("latest_expiry_legs", digits=9)
 def _(p):
     return _leg_view(legs.extreme_legs(p.legs, "expiry", 20, worst=False, keys=p.keys))
 
@@ -647,45 +647,45 @@ def _(p):
     return sizing.pca_states(p.pnl, p.diagnostics, p.keys)
 
 
-@query("state_matrix", digits=5)
+@query("state_matrix", digits=5, panel=StagedPanel)
 def _(p):
     return p.states
 
 
-@query("state_counts")
+@query("state_counts", panel=StagedPanel)
 def _(p):
     return sizing.state_counts(p.states, p.keys)
 
 
-@query("multipliers")
+@query("multipliers", panel=StagedPanel)
 def _(p):
     out = sizing.add_multipliers(p.states)
     return out.select(*p.keys, DAY, *[f"m_{s}" for s in sizing.STATE_MULTIPLIERS])
 
 
-@query("scale")
+@query("scale", panel=StagedPanel)
 def _(p):
     return p.sized_states.select(*p.keys, DAY, "raw_scale", "scale")
 
 
-@query("scale_summary")
+@query("scale_summary", panel=StagedPanel)
 def _(p):
     return sizing.scale_summary(p.sized_states, p.keys)
 
 
-@query("boost")
+@query("boost", panel=StagedPanel)
 def _(p):
     return sizing.global_boost(p.states, p.keys, target=1.25)
 
 
-@query("calibrated_scale")
+@query("calibrated_scale", panel=StagedPanel)
 def _(p):
     """Scale with each curve's own boost applied."""
     out = sizing.calibrated_sizing(p.states, p.keys, target=1.25, cap=2.0)
     return out.select(*p.keys, DAY, "boost", "raw_scale", "scale")
 
 
-@query("sized")
+@query("sized", panel=StagedPanel)
 def _(p):
     columns = ["strategy_ret", "forward_ret", *sizing.STATE_MULTIPLIERS, "raw_scale", "scale", "sized_ret"]
     return p.strategy.select(*p.keys, DAY, *columns)
@@ -700,32 +700,32 @@ def _(p):
 # -- report ------------------------------------------------------------------
 
 
-@query("equity", wild=("equity", "peak", "drawdown"))
+@query("equity", wild=("equity", "peak", "drawdown"), panel=StagedPanel)
 def _(p):
     return report.compounded_equity(p.strategy, p.keys)
 
 
-@query("annual")
+@query("annual", panel=StagedPanel)
 def _(p):
     return report.annual_stats(p.strategy, p.keys)
 
 
-@query("summary", wild=("value",))
+@query("summary", wild=("value",), panel=StagedPanel)
 def _(p):
     return report.summary(report.compounded_equity(p.strategy, p.keys), p.keys)
 
 
-@query("scaled_vs_unscaled", wild=("equity_unscaled", "equity_scaled"))
+@query("scaled_vs_unscaled", wild=("equity_unscaled", "equity_scaled"), panel=StagedPanel)
 def _(p):
     return report.scaled_against_unscaled(p.strategy, p.keys)
 
 
-@query("annual_sharpe_comparison")
+@query("annual_sharpe_comparison", panel=StagedPanel)
 def _(p):
     return report.annual_sharpe_comparison(p.strategy, p.keys)
 
 
-@query("pnl_by_state")
+@query("pnl_by_state", panel=StagedPanel)
 def _(p):
     return report.pnl_by_state(p.strategy, p.keys)
 
