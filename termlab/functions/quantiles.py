@@ -72,6 +72,7 @@ def nearest_quantiles(
        rank is found among them by a running count.
 
     The job stops if a rank is not inside its bounds, so a result is exact or absent.
+    ``df`` is read twice: stage it first if it is costly to compute.
     """
     keys = list(keys)
     group = keys or ["_all"]
