@@ -54,6 +54,16 @@ def nearest_quantile(column: Column, q: float) -> Column:
     return F.get(ordered, F.round((F.size(ordered) - 1) * F.lit(q)).cast("int"))
 
 
+def _with_group_values(rows: DataFrame, values: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Attach the one value column of ``values`` (one row per group) to every row.
+
+    Without a group there is one row, which a scalar subquery brings in.
+    """
+    if group:
+        return rows.join(values, list(group))
+    return rows.withColumn(values.columns[0], values.scalar())
+
+
 def nearest_quantiles(
     df: DataFrame,
     column: str,
@@ -74,11 +84,8 @@ def nearest_quantiles(
     The job stops if a rank is not inside its bounds, so a result is exact or absent.
     ``df`` is read twice: stage it first if it is costly to compute.
     """
-    keys = list(keys)
-    group = keys or ["_all"]
-    rows = df.filter(F.col(column).isNotNull()).select(
-        *(keys or [F.lit(0).alias("_all")]), F.col(column).cast("double").alias("_x")
-    )
+    group = list(keys)
+    rows = df.filter(F.col(column).isNotNull()).select(*group, F.col(column).cast("double").alias("_x"))
     margin = 4.0 / accuracy
     probes = [min(max(q + side * margin, 0.0), 1.0) for q in quantiles.values() for side in (-1, 1)]
 
@@ -109,10 +116,8 @@ def nearest_quantiles(
         )
         .select(*group, specs.alias("_specs"))
     )
-    if not keys:
-        bounds = F.broadcast(bounds)  # exactly one row
     near = (
-        rows.join(bounds, group)
+        _with_group_values(rows, bounds, group)
         .select(*group, "_x", F.explode("_specs").alias("_s"))
         .select(*group, "_x", "_s.*")
         .filter("_x <= _hi")
@@ -153,26 +158,21 @@ def histogram(df: DataFrame, column: str, keys: Sequence[str], bins: int = 50) -
 
     The last bin includes the maximum.  A constant column falls into bin 1.
     """
-    keys = list(keys)
-    group = keys or ["_all"]
-    rows = df.filter(F.col(column).isNotNull()).select(
-        *(keys or [F.lit(0).alias("_all")]), F.col(column).cast("double").alias("_x")
-    )
-    edges = rows.groupBy(*group).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    if not keys:
-        edges = F.broadcast(edges)  # exactly one row
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    place = F.coalesce(F.floor(ratio(F.col("_x") - F.col("_lo"), step)), F.lit(0)) + 1
+    group = list(keys)
+    rows = df.filter(F.col(column).isNotNull()).select(*group, F.col(column).cast("double").alias("_x"))
+    edges = rows.groupBy(*group).agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("_edges"))
+    rows = _with_group_values(rows, edges, group).select(*group, "_x", "_edges.lo", "_edges.hi")
+    step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    place = F.coalesce(F.floor(ratio(F.col("_x") - F.col("lo"), step)), F.lit(0)) + 1
     counted = (
-        rows.join(edges, group)
-        .withColumn("bin", F.least(place, F.lit(bins)).cast("int"))
-        .groupBy(*group, "bin", "_lo", "_hi")
+        rows.withColumn("bin", F.least(place, F.lit(bins)).cast("int"))
+        .groupBy(*group, "bin", "lo", "hi")
         .agg(F.count("*").alias("n"))
     )
     return counted.select(
-        *keys,
+        *group,
         "bin",
-        (F.col("_lo") + (F.col("bin") - 1) * step).alias("bin_lo"),
-        (F.col("_lo") + F.col("bin") * step).alias("bin_hi"),
+        (F.col("lo") + (F.col("bin") - 1) * step).alias("bin_lo"),
+        (F.col("lo") + F.col("bin") * step).alias("bin_hi"),
         "n",
     )

@@ -17,23 +17,30 @@ HORIZONS = {"1d": 252, "1w": 52, "2w": 26, "1mo": 12}
 FORTNIGHT_ANCHOR = datetime.date(1970, 1, 5)
 
 
+def _exposure(tenors: Sequence[int]) -> Column:
+    """Hedge mapped through the tenor weights of a row."""
+    return dot(hedges(tenors), weights(tenors)).alias("w_contract")
+
+
 def contract_weights(
     weighted: DataFrame,
     hedge: DataFrame,
     tenors: Sequence[int] = TENORS,
     keys: Sequence[str] = (),
+    spread: int = 8,
 ) -> DataFrame:
     """Contract rows plus ``w_contract``, the hedge mapped through the tenor weights.
 
-    ``hedge`` has one row per (keys, day).  The join has no hint: Spark broadcasts
-    it when its measured size allows and otherwise splits a crowded day.  Days
-    without a hedge are dropped.
+    ``hedge`` has one row per (keys, day); days without one are dropped.  All
+    contracts of a day meet that row, so the join is salted: contracts take one of
+    ``spread`` salts by symbol and the day row is repeated for each.
     """
-    day = hedge.select(*keys, DAY, *hedges(tenors))
-    joined = weighted.join(day, [*keys, DAY], "left")
-    exposure = dot(hedges(tenors), weights(tenors))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_salt")
+    day = hedge.select(*keys, DAY, *hedges(tenors)).dropna(subset=hedges(tenors)).select("*", salts)
+    salted = weighted.withColumn("_salt", F.pmod(F.xxhash64(SYMBOL), F.lit(spread)).cast("int"))
     rest = [c for c in weighted.columns if not c.startswith("weight_")]
-    return joined.select(*rest, exposure.alias("w_contract")).dropna(subset=["w_contract"])
+    joined = salted.join(day, [*keys, DAY, "_salt"])
+    return joined.select(*rest, _exposure(tenors)).dropna(subset=["w_contract"])
 
 
 def _next(column: str, keys: Sequence[str]) -> Column:
@@ -72,13 +79,18 @@ def legs_in_one_pass(
 ) -> DataFrame:
     """:func:`legs` of contract weights and next returns of the same table, no self-join.
 
-    The next close is looked up on the contract rows before the hedge is joined and
-    filtered, so contract rows are shuffled once by contract and not again.
+    The next close is looked up on the contract rows, which are shuffled once by
+    contract.  Only contracts with some tenor weight, two per tenor and day at most,
+    then meet the day's hedge.
     """
     looked_up = weighted.withColumn("close_next", _next("close", keys)).withColumn("nextDay", _next(DAY, keys))
-    placed = contract_weights(looked_up.dropna(subset=["close_next"]), hedge, tenors, keys)
+    used = " OR ".join(f"{w} <> 0" for w in weights(tenors))
+    candidates = looked_up.filter(f"close_next IS NOT NULL AND ({used})")
+    day = hedge.select(*keys, DAY, *hedges(tenors))
     return (
-        placed.filter(F.col("w_contract") != 0)
+        candidates.join(day, [*keys, DAY])
+        .select(*[c for c in looked_up.columns if not c.startswith("weight_")], _exposure(tenors))
+        .filter(F.col("w_contract") != 0)
         .withColumn("r_next", F.ln(ratio(F.col("close_next"), F.col("close"))))
         .withColumn("pnl_leg", F.col("w_contract") * F.col("r_next"))
         .select(*keys, *LEG_COLUMNS)

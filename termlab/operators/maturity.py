@@ -57,7 +57,7 @@ def _side_weights(t: int) -> tuple[str, str]:
 
 
 def _weight(t: int) -> str:
-    """Weight of a contract row at tenor ``t``, given the day's bracket on the row."""
+    """Weight of a symbol at tenor ``t``, given the day's bracket on the row."""
     lower, upper = _side_weights(t)
     return f"""CASE WHEN b_{t}.d1 = b_{t}.d2 THEN if({SYMBOL} = b_{t}.sym1, 1D, 0D)
         WHEN {SYMBOL} = b_{t}.sym1 THEN {lower}
@@ -72,17 +72,31 @@ def _price(t: int) -> str:
         ELSE coalesce(b_{t}.px1 * {lower}, 0D) + coalesce(b_{t}.px2 * {upper}, 0D) END"""
 
 
+def bracket_weights(
+    day: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, day, symbol, ``weight_<tenor>d``) of the contracts in any bracket of their day.
+
+    At most two contracts per tenor, however many trade on the day.
+    """
+    sides = ", ".join(f"b_{t}.sym1, b_{t}.sym2" for t in tenors)
+    held = day.select("*", F.expr(f"explode(array_distinct(array({sides}))) AS {SYMBOL}"))
+    named = [F.expr(f"{_weight(t)} AS {name}") for t, name in zip(tenors, weights(tenors), strict=True)]
+    return held.select(*keys, DAY, SYMBOL, *named)
+
+
 def weights_from_brackets(
     term: DataFrame, day: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Contract rows plus ``weight_<tenor>d``, from the brackets of their day.
 
-    The join on (keys, day) carries no hint: Spark broadcasts the day side when its
-    measured size allows, and adaptive execution splits a day that holds a large
-    part of the rows.
+    The join is on (keys, day, symbol), unique on both sides, so a day that holds a
+    large part of all rows is spread over tasks like any other.  Contracts outside
+    every bracket have weight 0.
     """
-    added = [F.expr(f"{_weight(t)} AS {name}") for t, name in zip(tenors, weights(tenors), strict=True)]
-    return term.join(day, [*keys, DAY], "left").select(*term.columns, *added)
+    added = [F.expr(f"coalesce({name}, 0D) AS {name}") for name in weights(tenors)]
+    joined = term.join(bracket_weights(day, tenors, keys), [*keys, DAY, SYMBOL], "left")
+    return joined.select(*term.columns, *added)
 
 
 def add_weights(

@@ -94,8 +94,10 @@ class Panel:
     @cached_property
     def term(self) -> DataFrame:
         """Unique on (curve, symbol, day)."""
+        # Stated once here, so that every branch reads the same plan and reuses its shuffle.
+        keyed = self.contract_rows.filter(f"curve_id IS NOT NULL AND {SYMBOL} IS NOT NULL AND {DAY} IS NOT NULL")
         return contracts.keep_first(
-            contracts.live_contracts(self.contract_rows),
+            contracts.live_contracts(keyed),
             [*self.keys, SYMBOL, DAY],
             ["l_orderkey", "l_linenumber", "ttm_days", "close"],
             ["close", "expiry", "ttm_days"],

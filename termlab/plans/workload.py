@@ -42,6 +42,7 @@ from termlab.sources.calendar import read_expiry_calendar
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
+_PANELS: dict[str, type[Panel]] = {}
 
 
 def present(
@@ -71,6 +72,7 @@ def query(name: str, digits: int = 6, fine: Sequence[str] = (), wild: Sequence[s
 
         run.__doc__ = build.__doc__
         _QUERIES[name] = run
+        _PANELS[name] = panel
         return build
 
     return register
@@ -732,3 +734,8 @@ def _(p):
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
+
+
+def is_staged(name: str) -> bool:
+    """Whether building the query writes intermediate tables."""
+    return issubclass(_PANELS[name], StagedPanel)
