@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlab.functions.columns import ratio
+from termlab.functions.joins import join_per_group
 
 
 def bucket_labels(n: int, prefix: str = "D") -> list[str]:
@@ -57,10 +58,11 @@ def nearest_quantile(column: Column, q: float) -> Column:
 def _with_group_values(rows: DataFrame, values: DataFrame, group: Sequence[str]) -> DataFrame:
     """Attach the one value column of ``values`` (one row per group) to every row.
 
-    Without a group there is one row, which a scalar subquery brings in.
+    A group may hold most of the rows; see :func:`join_per_group`.  Without a group
+    there is one row, which a scalar subquery brings in.
     """
     if group:
-        return rows.join(values, list(group))
+        return join_per_group(rows, values, group, F.col("_x"))
     return rows.withColumn(values.columns[0], values.scalar())
 
 
@@ -82,7 +84,8 @@ def nearest_quantiles(
        rank is found among them by a running count.
 
     The job stops if a rank is not inside its bounds, so a result is exact or absent.
-    ``df`` is read twice: stage it first if it is costly to compute.
+    ``df`` is read twice, the first time when this function is called: stage it
+    first if it is costly to compute.
     """
     group = list(keys)
     rows = df.filter(F.col(column).isNotNull()).select(*group, F.col(column).cast("double").alias("_x"))
@@ -156,7 +159,8 @@ def adjusted_kurtosis(column: Column) -> Column:
 def histogram(df: DataFrame, column: str, keys: Sequence[str], bins: int = 50) -> DataFrame:
     """Equal-width counts per curve: (keys, bin, bin_lo, bin_hi, n).  Empty bins are absent.
 
-    The last bin includes the maximum.  A constant column falls into bin 1.
+    The last bin includes the maximum.  A constant column falls into bin 1.  ``df`` is
+    read twice, the first time for the extremes of each curve.
     """
     group = list(keys)
     rows = df.filter(F.col(column).isNotNull()).select(*group, F.col(column).cast("double").alias("_x"))

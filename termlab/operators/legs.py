@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlab.functions.columns import dot, ratio, share
+from termlab.functions.joins import salted_join
 from termlab.functions.quantiles import nearest_quantile, nearest_quantiles
 from termlab.schema import DAY, SYMBOL, TENORS, hedges, weights
 
@@ -35,11 +36,9 @@ def contract_weights(
     contracts of a day meet that row, so the join is salted: contracts take one of
     ``spread`` salts by symbol and the day row is repeated for each.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_salt")
-    day = hedge.select(*keys, DAY, *hedges(tenors)).dropna(subset=hedges(tenors)).select("*", salts)
-    salted = weighted.withColumn("_salt", F.pmod(F.xxhash64(SYMBOL), F.lit(spread)).cast("int"))
+    day = hedge.select(*keys, DAY, *hedges(tenors)).dropna(subset=hedges(tenors))
     rest = [c for c in weighted.columns if not c.startswith("weight_")]
-    joined = salted.join(day, [*keys, DAY, "_salt"])
+    joined = salted_join(weighted, day, [*keys, DAY], F.col(SYMBOL), spread)
     return joined.select(*rest, _exposure(tenors)).dropna(subset=["w_contract"])
 
 

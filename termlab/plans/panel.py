@@ -128,7 +128,8 @@ class Panel:
             .groupBy(F.col("o_orderdate").cast("date").alias(DAY))
             .agg(F.avg(F.col("o_totalprice") / 1000.0).alias("spot"))
         )
-        return self.prices.select(*self.keys, DAY).join(daily, DAY).select(*self.keys, DAY, "spot")
+        # One row per calendar day bounds the broadcast.
+        return self.prices.select(*self.keys, DAY).join(F.broadcast(daily), DAY).select(*self.keys, DAY, "spot")
 
     @cached_property
     def residuals(self) -> DataFrame:

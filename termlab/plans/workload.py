@@ -296,7 +296,7 @@ def _(p):
     return p.diagnostics
 
 
-@query("pca_spectrum_checks")
+@query("pca_spectrum_checks", panel=StagedPanel)
 def _(p):
     """Every component: eigen equation, unit length, orthogonality, order, total share."""
     size = len(p.tenors)
@@ -332,7 +332,7 @@ def _(p):
     )
 
 
-@query("pca_neutrality")
+@query("pca_neutrality", panel=StagedPanel)
 def _(p):
     """Neither hedge has any exposure to PC1 in its own space."""
     sides = []
@@ -344,7 +344,7 @@ def _(p):
     return sides[0].join(sides[1], [*p.keys, "rebalance", DAY])
 
 
-@query("neutrality_summary")
+@query("neutrality_summary", panel=StagedPanel)
 def _(p):
     """Distribution of the exposure; all of it rounds to 0."""
     checked = rolling_pca.neutrality(p.components, p.hedge("tradable"), p.tenors, p.keys)
@@ -435,7 +435,7 @@ def _(p):
     """Return series of the one contract with the largest absolute return of each curve."""
     stats = legs.symbol_extremes(p.next_returns, p.keys, top=None)
     best = stats.groupBy(*p.keys).agg(F.min(F.struct(-F.col("max_abs_r"), SYMBOL))[SYMBOL].alias(SYMBOL))
-    series = p.next_returns.join(F.broadcast(best), [*p.keys, SYMBOL])  # one row per curve
+    series = p.next_returns.join(best, [*p.keys, SYMBOL])
     return series.select(*p.keys, SYMBOL, DAY, "r_next")
 
 

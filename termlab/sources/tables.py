@@ -51,7 +51,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     Only a session that names no such folder (a local test) gets a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="termlab-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

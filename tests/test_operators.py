@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termlab.functions import quantiles
+from termlab.functions.joins import join_per_group
 from termlab.operators import (
     contracts,
     drawdown,
@@ -257,6 +258,19 @@ def test_exact_quantiles_of_a_skewed_table(spark, accuracy):
     assert [whole[x] for x in wanted] == [expected(everything, q) for q in wanted.values()]
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_join_per_group_is_complete_either_way(spark, limit):
+    """Nine tenths of the rows in one group; salted (limit 0) and broadcast."""
+    rows = spark.range(10_000).selectExpr("if(id % 10 = 0, id, 0) AS g", "id AS x")
+    per_group = rows.groupBy("g").agg(F.max("x").alias("m"))
+    if limit:
+        rows, per_group = rows.filter("g < 500"), per_group.filter("g < 500")
+    joined = join_per_group(rows, per_group, ["g"], F.col("x"), limit)
+    assert ("_salt" in joined._jdf.queryExecution().logical().toString()) == (limit == 0)
+    assert joined.count() == rows.count()
+    assert joined.filter("x > m").count() == 0
+
+
 def test_day_quantile_and_adjusted_moments(spark):
     values = [4.0, -1.0, 2.5, 7.0, 0.0, 3.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
