@@ -50,8 +50,8 @@ def pick_nearest(
 
     ``unique_times`` promises that a group has no two bars at one instant.  Distance
     and side then fit one BIGINT, which hash-aggregates; otherwise the lower close
-    settles the tie and the order is a struct, which has to sort (measured: twice as
-    slow on 6 million bars).
+    settles the tie and the order is a struct, which has to sort (4.7 s against 2.6 s on
+    6 million bars, scan included).
     """
     group = [*keys, SYMBOL, DAY]
     at = F.unix_micros("timestamp")
