@@ -3,6 +3,7 @@
 BENCH_SF_DIR  folder of Parquet tables   (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores                (default 4)
 BENCH_RUNS    timed runs per query       (default 3, after one warm-up; the median counts)
+BENCH_SHARED  folder for staged tables   (default: Spark's own choice)
 BENCH_QUERIES comma-separated query names (default: the headline set)
 """
 
@@ -15,6 +16,7 @@ import time
 
 from termlab.plans.workload import queries
 from termlab.session import build_session
+from termlab.sources.tables import clear_scratch
 
 HEADLINE = (
     "nearest_pick",
@@ -50,6 +52,7 @@ def main() -> None:
             "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
             "spark.python.sql.dataFrameDebugging.enabled": "false",
+            **({"spark.checkpoint.dir": os.environ["BENCH_SHARED"]} if "BENCH_SHARED" in os.environ else {}),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -64,6 +67,7 @@ def main() -> None:
     for name in names:
         once(name)
         seconds[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
+    clear_scratch(spark)
     spark.stop()
     print(
         json.dumps(

@@ -31,7 +31,7 @@ from termlab.schema import DAY, SYMBOL, TENORS
 from termlab.session import build_session
 from termlab.sources.bars import read_bars
 from termlab.sources.calendar import read_expiry_calendar
-from termlab.sources.tables import read_table, write_table
+from termlab.sources.tables import clear_scratch, read_table, write_table
 
 MONTH = "month"
 
@@ -169,6 +169,7 @@ def main(arguments: Sequence[str]) -> None:
         run_strategy(spark, out_dir, read_table(spark, spot, [DAY, "spot"]))
     else:
         raise SystemExit(__doc__)
+    clear_scratch(spark)
 
 
 if __name__ == "__main__":

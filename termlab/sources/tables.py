@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -13,7 +12,7 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     """Raise ``ValueError`` naming the absent columns.  Starts no job."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"The table lacks {', '.join(missing)}")
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -46,15 +45,25 @@ def write_table(
     writer.parquet(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the cluster's shared ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession) -> str:
+    """The session's own folder in storage that the driver and all executors share.
 
-    Only a session that names no such folder (a local test) gets a temporary one.
+    That is ``spark.checkpoint.dir`` where it is set, else the warehouse folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="termlab-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/termlab-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under :func:`scratch_root`."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this session staged.  Frames read from it end with it."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 from termlab.session import build_session  # noqa: E402
+from termlab.sources.tables import clear_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -27,4 +28,5 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

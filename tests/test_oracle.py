@@ -1,7 +1,6 @@
 """Registered queries against their SQL answers.
 
-By default a part of the queries at sf0.001; TERMLAB_ORACLE=all runs every one, and
-TERMLAB_ORACLE_SF names another scale factor.
+Every query at sf0.001; TERMLAB_ORACLE_SF names another scale factor.
 """
 
 from __future__ import annotations
@@ -12,15 +11,10 @@ import pytest
 from compare import connect, difference, duck_rows, spark_rows
 
 import __spark_entry__ as entry
+from termlab.plans import oracle, workload
 
 SF = f"/root/testdata/{os.environ.get('TERMLAB_ORACLE_SF', 'sf0.001')}"
-DEFAULT = (
-    "nearest_pick keep_first csv_bars contract_expiry term_structure bracket cm_weights cm_prices weight_sum "
-    "log_returns carry pair_beta residual_by_slope rolling_cov pca_diag hedge_weights_tradable legs legs_joined "
-    "leg_return_quantiles daily_xs exposure_summary horizon_stats dd_episode loss_regime qcut nearest_quantile "
-    "histogram signal_carry signal_rotation vol_target sized_with_pca summary pnl_by_state"
-).split()
-NAMES = sorted(entry.queries()) if os.environ.get("TERMLAB_ORACLE") == "all" else DEFAULT
+NAMES = sorted(oracle.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +23,8 @@ def duck():
 
 
 def test_every_query_has_an_answer():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(workload.queries()) == set(oracle.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
