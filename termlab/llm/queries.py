@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlab.llm import sharding, simhash
+from termlab.llm import packing, quantised, sharding, simhash, toxicity, wavelet
 from termlab.llm.common import read_documents
+from termlab.sources.tables import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read_documents(spark, sf_dir), 24)
     return placed.select(
@@ -24,10 +29,26 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_documents(spark, sf_dir), width=3, distance=2)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_documents(spark, sf_dir), end_id=0, capacity=2048)
+
+
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(read_documents(spark, sf_dir), scratch_path(spark, "token-files"), end_id=1)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_quantised": op3_quantised,
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
+        "op7_packing": op7_packing,
+        "op9_wavelet": op9_wavelet,
+        "op10_toxicity": op10_toxicity,
     }
 
 
