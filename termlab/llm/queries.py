@@ -7,17 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlab.llm import packing, quantised, sharding, simhash, toxicity, wavelet
+from termlab.llm import chat, fingerprint, packing, quantised, sharding, simhash, toxicity, wavelet
 from termlab.llm.common import read_documents
 from termlab.sources.tables import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(read_documents(spark, sf_dir))
+
+
 def op3_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
 
 
+OP3_SQL = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+        ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reached(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM embeddings
+    UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), least AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+), degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN degrees USING (vec_id)
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read_documents(spark, sf_dir), 24)
     return placed.select(
@@ -29,6 +52,31 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_documents(spark, sf_dir), width=3, distance=2)
 
 
+EXTRA = "</s>[INST] ok [/INST]"
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", EXTRA), (-1, 1, "assistant", EXTRA)], given.schema)
+    return chat.read_back(chat.format_conversations(given.union(extra)))
+
+
+OP6_SQL = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '{EXTRA}'), (-1, 1, 'assistant', '{EXTRA}')
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum({sum(map(len, chat.MARKS.values()))} + length(role) + length(text)
+        + len(regexp_extract_all(role, '{chat.ANY_CONTROL}'))
+        + len(regexp_extract_all(text, '{chat.ANY_CONTROL}'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), end_id=0, capacity=2048)
 
@@ -43,9 +91,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op3_quantised": op3_quantised,
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
+        "op6_chat": op6_chat,
         "op7_packing": op7_packing,
         "op9_wavelet": op9_wavelet,
         "op10_toxicity": op10_toxicity,
@@ -53,4 +103,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quantised": OP3_SQL, "op6_chat": OP6_SQL}
