@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlab.llm import chat, fingerprint, packing, quantised, sharding, simhash, toxicity, wavelet
+from termlab.llm import chat, fingerprint, packing, quantised, secret_scan, sharding, simhash, toxicity, wavelet
 from termlab.llm.common import read_documents
 from termlab.sources.tables import scratch_path
 
@@ -18,6 +18,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(read_documents(spark, sf_dir))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_documents(spark, sf_dir))
+
+
 def op3_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
 
@@ -92,6 +96,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_secrets": op2_secrets,
         "op3_quantised": op3_quantised,
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
