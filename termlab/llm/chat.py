@@ -18,7 +18,8 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+
+from termlab.llm.memo import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 HEAD, SEP, END = 50257, 50258, 50259

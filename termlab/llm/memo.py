@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from functools import lru_cache
 
-import numpy as np
-import public_tokenizers
-from tokenizers import Tokenizer
+# The library's own threads would compete with the other tasks of the machine.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+import numpy as np  # noqa: E402
+import public_tokenizers  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _stem(word: bytes) -> tuple[bytes, bytes]:
+    """A word without the comma or full stop behind its last ASCII letter or digit, and that mark.
+
+    The tokenizer parts letters from marks, so the mark is a word of its own to it.
+    """
+    if len(word) > 1 and word[-1] in b",." and (word[-2:-1].islower() or word[-2:-1].isdigit()):
+        return word[:-1], word[-1:]
+    return word, b""
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
     The vocabulary drops white space and its words end at it, so the ids of a text are those of the
-    stretches between ASCII white space in a row.  Stretches met before are looked up; new ones
+    stretches between ASCII white space in a row.  It drops case too, so A to Z are lower-cased
+    first.  Stretches met before are looked up; new ones
     go to the library, whose answer is the definition.  Two generations of ``keep``
     stretches at most are held, so memory is bounded and what is common stays.
     """
@@ -30,31 +45,45 @@ class WordEncoder:
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Bring all of ``words`` into the young generation, which holds them whole afterwards."""
-        if len(self._young) + len(words) > self._keep:
+    def _find(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each of ``words``, none of which is in the young generation."""
+        if len(self._young) + 2 * len(words) > self._keep:
             self._old, self._young = self._young, {}
-        missing = []
-        for word in dict.fromkeys(words):
-            if word in self._young:
+        young, old = self._young, self._old
+        new: dict[bytes, None] = {}
+        for word in words:
+            if (known := old.get(word)) is not None:
+                young[word] = known
                 continue
-            if (known := self._old.get(word)) is None:
-                missing.append(word)
-            else:
-                self._young[word] = known
-        found = self._library.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-        for word, encoded in zip(missing, found, strict=True):
+            for part in _stem(word):
+                if part and part not in young:
+                    if (known := old.get(part)) is not None:
+                        young[part] = known
+                    else:
+                        new[part] = None
+        found = self._library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        for word, encoded in zip(new, found, strict=True):
             ids = encoded.ids
-            self._young[word] = struct.pack(f"<{len(ids)}I", *ids)
+            young[word] = struct.pack(f"<{len(ids)}I", *ids)
+        for word in words:
+            if word not in young:
+                stem, mark = _stem(word)
+                young[word] = young[stem] + young[mark]
+        return young
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
+        raw = text.encode()
+        if b"<|" not in raw:  # the special tokens are spelt in lower case only
+            raw = raw.lower()
+        words = raw.split()
         out = []
         for start in range(0, len(words), 8192):
             part = words[start : start + 8192]
-            if not self._young.keys() >= set(part):
-                self._learn(part)
-            out.append(b"".join(map(self._young.__getitem__, part)))
+            ids = list(map(self._young.get, part))
+            if None in ids:
+                found = self._find(list({w for w, i in zip(part, ids, strict=True) if i is None}))
+                ids = [found[w] if i is None else i for w, i in zip(part, ids, strict=True)]
+            out.append(b"".join(ids))
         return b"".join(out)
 
 
