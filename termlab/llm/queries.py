@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlab.llm import chat, fingerprint, packing, quantised, secret_scan, sharding, simhash, toxicity, wavelet
+from termlab.llm import chat, fingerprint, packing, quantised, secret_scan, sharding, simhash, toxicity, wavelet, word_table
 from termlab.llm.common import read_documents
 from termlab.sources.tables import scratch_path
 
@@ -85,6 +85,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), end_id=0, capacity=2048)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.digests(read_documents(spark, sf_dir))
+
+
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(read_documents(spark, sf_dir), scratch_path(spark, "token-files"), end_id=1)
 
@@ -102,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op5_simhash": op5_simhash,
         "op6_chat": op6_chat,
         "op7_packing": op7_packing,
+        "op8_bpe": op8_bpe,
         "op9_wavelet": op9_wavelet,
         "op10_toxicity": op10_toxicity,
     }
