@@ -72,6 +72,8 @@ class OrdinalModel:
 
     def above(self, score: float) -> list[float]:
         """P(grade > k) for each k."""
+        if not self.weights:
+            return [0.0] * GRADES
         return [1 / (1 + math.exp(min(700.0, t - score))) for t in self.thresholds]
 
 
