@@ -15,6 +15,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
+def log_ratio(num: Column, den: Column) -> Column:
+    """``ln(num / den)``, NULL unless both are positive."""
+    return F.when((num > 0) & (den > 0), F.ln(ratio(num, den)))
+
+
 def dot(left: Sequence[str], right: Sequence[str]) -> Column:
     """Sum of the products of two lists of columns."""
     return F.expr(" + ".join(f"{a} * {b}" for a, b in zip(left, right, strict=True)))

@@ -7,39 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlab.sources.tables import stage
 
-BROADCAST_ROWS = 100_000
-
-
-def salted_join(
-    rows: DataFrame, per_group: DataFrame, on: Sequence[str], salt: Column, spread: int
-) -> DataFrame:
-    """Inner join that spreads each group of ``rows`` over ``spread`` tasks.
+def salted_join(rows: DataFrame, per_group: DataFrame, on: Sequence[str], salt: Column) -> DataFrame:
+    """Inner join of ``per_group``, one row per group, to ``rows``, each group spread over all shuffle tasks.
 
     ``salt`` is an expression over ``rows``, not a random number, so that a task run
-    again sends every row where it went before.  ``per_group`` is repeated per salt.
+    again sends every row where it went before.  ``per_group`` is repeated once per shuffle
+    task, so the share of a group that a task gets falls as the cluster's shuffle width
+    grows.  Spark turns the join into a broadcast where it measures few enough bytes.
     """
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(spread)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_salt")
     return left.join(per_group.select("*", salts), [*on, "_salt"]).drop("_salt")
-
-
-def join_per_group(
-    rows: DataFrame,
-    per_group: DataFrame,
-    on: Sequence[str],
-    salt: Column,
-    limit: int = BROADCAST_ROWS,
-    spread: int = 32,
-) -> DataFrame:
-    """Inner join of ``per_group``, one small row per group, to all ``rows``.
-
-    ``per_group`` is written once to the shared folder and counted.  Up to ``limit``
-    rows it is broadcast and ``rows`` are not shuffled; beyond that the join is
-    salted, so a group that holds a large part of the rows is split either way.
-    """
-    staged = stage(per_group, "per-group")
-    if staged.limit(limit + 1).count() <= limit:
-        return rows.join(F.broadcast(staged), list(on))
-    return salted_join(rows, staged, on, salt, spread)

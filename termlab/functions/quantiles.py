@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlab.functions.columns import ratio
-from termlab.functions.joins import join_per_group
+from termlab.functions.joins import salted_join
 
 
 def bucket_labels(n: int, prefix: str = "D") -> list[str]:
@@ -58,11 +58,12 @@ def nearest_quantile(column: Column, q: float) -> Column:
 def _with_group_values(rows: DataFrame, values: DataFrame, group: Sequence[str]) -> DataFrame:
     """Attach the one value column of ``values`` (one row per group) to every row.
 
-    A group may hold most of the rows; see :func:`join_per_group`.  Without a group
-    there is one row, which a scalar subquery brings in.
+    A group may hold most of the rows, and one value most of a group; see
+    :func:`salted_join`.  Without a group there is one row, which a scalar subquery brings in.
     """
     if group:
-        return join_per_group(rows, values, group, F.col("_x"))
+        numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+        return salted_join(numbered, values, group, F.col("_at")).drop("_at")
     return rows.withColumn(values.columns[0], values.scalar())
 
 

@@ -91,7 +91,7 @@ def contract_month(symbol: Column, root: str = "VI", strict: bool = False) -> tu
     year = F.regexp_extract(text, pattern, 2)
     month = F.when(code != "", F.instr(F.lit(MONTH_CODES), code))
     if strict:
-        message = F.concat(F.lit("Unrecognized contract symbol format: "), F.coalesce(symbol, F.lit("NULL")))
+        message = F.concat(F.lit("not a contract symbol: "), F.coalesce(symbol, F.lit("NULL")))
         month = F.coalesce(month, F.raise_error(message).cast("int"))
     number = F.when(year != "", year).cast("int")
     return F.when(number <= CENTURY_PIVOT, 2000 + number).otherwise(1900 + number), month

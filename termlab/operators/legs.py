@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlab.functions.columns import dot, ratio, share
+from termlab.functions.columns import dot, log_ratio, ratio, share
 from termlab.functions.joins import salted_join
 from termlab.functions.quantiles import nearest_quantile, nearest_quantiles
 from termlab.schema import DAY, SYMBOL, TENORS, hedges, weights
@@ -28,17 +28,15 @@ def contract_weights(
     hedge: DataFrame,
     tenors: Sequence[int] = TENORS,
     keys: Sequence[str] = (),
-    spread: int = 8,
 ) -> DataFrame:
     """Contract rows plus ``w_contract``, the hedge mapped through the tenor weights.
 
     ``hedge`` has one row per (keys, day); days without one are dropped.  All
-    contracts of a day meet that row, so the join is salted: contracts take one of
-    ``spread`` salts by symbol and the day row is repeated for each.
+    contracts of a day meet that row, so the join is salted by symbol.
     """
     day = hedge.select(*keys, DAY, *hedges(tenors)).dropna(subset=hedges(tenors))
     rest = [c for c in weighted.columns if not c.startswith("weight_")]
-    joined = salted_join(weighted, day, [*keys, DAY], F.col(SYMBOL), spread)
+    joined = salted_join(weighted, day, [*keys, DAY], F.col(SYMBOL))
     return joined.select(*rest, _exposure(tenors)).dropna(subset=["w_contract"])
 
 
@@ -57,7 +55,7 @@ def next_returns(term: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ).dropna(subset=["close_next"])
     return out.select(
         *keys, DAY, SYMBOL, "close", "close_next",
-        F.ln(ratio(F.col("close_next"), F.col("close"))).alias("r_next"), "nextDay",
+        log_ratio(F.col("close_next"), F.col("close")).alias("r_next"), "nextDay",
     )
 
 
@@ -67,16 +65,33 @@ LEG_COLUMNS = (
 
 
 def legs(contracts: DataFrame, following: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Positions with a non-zero weight joined to their next-day return."""
+    """Positions with a non-zero weight joined to their next-day return, those without one dropped."""
     held = contracts.filter(F.col("w_contract") != 0)
     joined = held.join(following.drop("close"), [*keys, DAY, SYMBOL])
-    return joined.withColumn("pnl_leg", F.col("w_contract") * F.col("r_next")).select(*keys, *LEG_COLUMNS)
+    profit = joined.withColumn("pnl_leg", F.col("w_contract") * F.col("r_next"))
+    return with_return(profit).select(*keys, *LEG_COLUMNS)
+
+
+def with_return(positions: DataFrame) -> DataFrame:
+    """Drop positions whose close or next close has no logarithm.
+
+    Their profit is unknown, not 0; :func:`termlab.operators.quality.leg_quality` counts
+    them on the positions.
+    """
+    return positions.filter(F.col("r_next").isNotNull())
 
 
 def legs_in_one_pass(
     weighted: DataFrame, hedge: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """:func:`legs` of contract weights and next returns of the same table, no self-join.
+    """:func:`legs` of contract weights and next returns of the same table, no self-join."""
+    return with_return(positions_in_one_pass(weighted, hedge, tenors, keys))
+
+
+def positions_in_one_pass(
+    weighted: DataFrame, hedge: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """All positions with a next close, those without a return (``r_next`` NULL) included.
 
     The next close is looked up on the contract rows, which are shuffled once by
     contract.  Only contracts with some tenor weight, two per tenor and day at most,
@@ -90,7 +105,7 @@ def legs_in_one_pass(
         candidates.join(day, [*keys, DAY])
         .select(*[c for c in looked_up.columns if not c.startswith("weight_")], _exposure(tenors))
         .filter(F.col("w_contract") != 0)
-        .withColumn("r_next", F.ln(ratio(F.col("close_next"), F.col("close"))))
+        .withColumn("r_next", log_ratio(F.col("close_next"), F.col("close")))
         .withColumn("pnl_leg", F.col("w_contract") * F.col("r_next"))
         .select(*keys, *LEG_COLUMNS)
     )
@@ -115,7 +130,7 @@ def leg_days(leg_rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.min(r).alias("min_r"),
         F.max(r).alias("max_r"),
         F.max(F.abs(r)).alias("max_abs_r"),
-        F.coalesce(F.sum("pnl_leg"), F.lit(0.0)).alias("strategy_ret"),
+        F.sum("pnl_leg").alias("strategy_ret"),
     )
 
 
@@ -172,7 +187,7 @@ def extreme_legs(
     leg_rows: DataFrame, by: str = "r_next", k: int = 5, worst: bool = True, keys: Sequence[str] = ()
 ) -> DataFrame:
     """The ``k`` smallest (or largest) legs over all curves: a top-k, not a full sort."""
-    order = F.col(by).asc() if worst else F.col(by).desc()
+    order = F.col(by).asc_nulls_last() if worst else F.col(by).desc_nulls_last()
     return leg_rows.orderBy(order, *keys, DAY, SYMBOL).limit(k)
 
 

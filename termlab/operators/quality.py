@@ -43,12 +43,17 @@ def price_quality(
     return prices.groupBy(*keys).agg(*counts)
 
 
-def leg_quality(legs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Legs with a missing close or next close, and legs held after expiry."""
-    missing = F.col("close").isNull() | F.col("close_next").isNull()
-    return legs.groupBy(*keys).agg(
-        F.count("*").alias("n_legs"),
-        F.count_if(missing).alias("n_bad_rows"),
+def leg_quality(positions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Counts over positions before those without a return are dropped.
+
+    Legs that stay, positions with a missing or non-positive close or next close, positions
+    without a return for that or any other reason, and positions held after expiry.
+    """
+    good = (F.col("close") > 0) & (F.col("close_next") > 0)
+    return positions.groupBy(*keys).agg(
+        F.count("r_next").alias("n_legs"),
+        F.count_if(~F.coalesce(good, F.lit(False))).alias("n_bad_rows"),
+        F.count_if(F.col("r_next").isNull()).alias("n_no_return"),
         F.count_if(F.col(DAY) > F.col("expiry")).alias("n_after_expiry"),
     )
 

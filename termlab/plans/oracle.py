@@ -478,8 +478,8 @@ stage("fixed", "ret", "SELECT ret.*, " + ", ".join(f"{w}::DOUBLE AS {n}" for w,
 _LEGS = f"""SELECT *, w_contract * r_next AS pnl_leg FROM (
   SELECT t.curve_id, t.tradingDay, t.symbol, t.expiry, t.ttm_days, t.close, t.close_next, t.nextDay,
          {' + '.join(f'{w} * weight_{t}d' for w, t in zip(W, TENORS, strict=True))} AS w_contract,
-         ln(t.close_next / t.close) AS r_next
-  FROM (SELECT *, lead(close) OVER s AS close_next, lead(tradingDay) OVER s AS nextDay FROM weighted
+         CASE WHEN t.close > 0 AND t.close_next > 0 THEN ln(t.close_next / t.close) END AS r_next
+  FROM (SELECT *, lead(close) OVER s AS close_next, lead(tradingDay) OVER s AS nextDay FROM {{1}}
         WINDOW s AS (PARTITION BY curve_id, symbol ORDER BY tradingDay)) t
   JOIN {{0}} h ON h.curve_id = t.curve_id AND h.tradingDay = t.tradingDay
   WHERE t.close_next IS NOT NULL) WHERE w_contract <> 0"""
@@ -500,7 +500,8 @@ _M = {
 }
 
 for _x, _w, _cw in (("", "fixed", "fixed"), ("_h", "hedged_tradable", "hedged_standardised")):
-    stage(f"legs{_x}", f"weighted {_w}", _LEGS.format(_w))
+    stage(f"positions{_x}", f"weighted {_w}", _LEGS.format(_w, "weighted"))
+    stage(f"legs{_x}", f"positions{_x}", f"SELECT * FROM positions{_x} WHERE r_next IS NOT NULL")
     stage(f"attr{_x}", _cw, _ATTR.format(_cw))
     stage(
         f"xs{_x}",
@@ -512,7 +513,7 @@ for _x, _w, _cw in (("", "fixed", "fixed"), ("_h", "hedged_tradable", "hedged_st
         f"pnl{_x}",
         f"legs{_x}",
         f"""SELECT *, lead(strategy_ret) {BY_DAY} AS forward_ret FROM (
-  SELECT curve_id, tradingDay, coalesce(sum(pnl_leg), 0.0) AS strategy_ret FROM legs{_x} GROUP BY 1, 2)""",
+  SELECT curve_id, tradingDay, sum(pnl_leg) AS strategy_ret FROM legs{_x} GROUP BY 1, 2)""",
     )
     # Signal tables: value and forward return on profit days.
     _SOURCES = {
@@ -691,11 +692,24 @@ answer(
     )
     + " FROM expo GROUP BY 1",
 )
+stage(
+    "positions_shifted",
+    "weighted fixed",
+    _LEGS.format("fixed", "(SELECT * REPLACE (close - 20000.0 AS close) FROM weighted)"),
+)
+for _name, _positions in (("leg_quality", "positions"), ("leg_quality_nonpositive", "positions_shifted")):
+    answer(
+        _name,
+        _positions,
+        f"""SELECT curve_id, count(r_next) AS n_legs,
+       count(*) FILTER (WHERE NOT coalesce(close > 0 AND close_next > 0, false)) AS n_bad_rows,
+       count(*) FILTER (WHERE r_next IS NULL) AS n_no_return,
+       count(*) FILTER (WHERE tradingDay > expiry) AS n_after_expiry FROM {_positions} GROUP BY 1""",
+    )
 answer(
-    "leg_quality",
-    "legs",
-    """SELECT curve_id, count(*) AS n_legs, count(*) FILTER (WHERE close IS NULL OR close_next IS NULL) AS n_bad_rows,
-       count(*) FILTER (WHERE tradingDay > expiry) AS n_after_expiry FROM legs GROUP BY 1""",
+    "daily_pnl_nonpositive",
+    "positions_shifted",
+    f"SELECT {KEYS}, {rd('sum(pnl_leg)', 'strategy_ret')} FROM positions_shifted WHERE r_next IS NOT NULL GROUP BY ALL",
 )
 answer(
     "legs_per_day",

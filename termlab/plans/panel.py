@@ -180,9 +180,13 @@ class Panel:
     def next_returns(self) -> DataFrame:
         return legs.next_returns(self.term, self.keys)
 
+    @cached_property
+    def positions(self) -> DataFrame:
+        return legs.positions_in_one_pass(self.weighted, self.day_weights, self.tenors, self.keys)
+
     @cached_property
     def legs(self) -> DataFrame:
-        return legs.legs_in_one_pass(self.weighted, self.day_weights, self.tenors, self.keys)
+        return legs.with_return(self.positions)
 
     @cached_property
     def leg_days(self) -> DataFrame:
@@ -255,6 +259,30 @@ class StagedPanel(Panel):
         return tables.stage(super().leg_days, "leg-days")
 
 
+class PricedPanel(StagedPanel):
+    """The panel with its prices written once, for queries that also take the spot index's days from them."""
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return tables.stage(super().prices, "prices")
+
+
+class TermPanel(Panel):
+    """The panel with its term structure written once, for queries that join two things made of it."""
+
+    @cached_property
+    def term(self) -> DataFrame:
+        return tables.stage(super().term, "term")
+
+
+class ShiftedPanel(Panel):
+    """Closes less a fixed amount, so that some are not positive."""
+
+    @cached_property
+    def weighted(self) -> DataFrame:
+        return super().weighted.withColumn("close", F.col("close") - 20000.0)
+
+
 class HedgedPanel(StagedPanel):
     """Traded with the panel's own rolling hedge instead of fixed weights.
 

@@ -33,7 +33,16 @@ from termlab.operators import (
     signals,
     sizing,
 )
-from termlab.plans.panel import CURVE, PANEL_TENORS, HedgedPanel, Panel, StagedPanel
+from termlab.plans.panel import (
+    CURVE,
+    PANEL_TENORS,
+    HedgedPanel,
+    Panel,
+    PricedPanel,
+    ShiftedPanel,
+    StagedPanel,
+    TermPanel,
+)
 from termlab.schema import DAY, SYMBOL, hedges, px
 from termlab.schema import returns as return_names
 from termlab.sources import tables
@@ -204,7 +213,7 @@ def _(p):
     return maturity.prices_from_weights(p.weighted, p.keys)
 
 
-@query("weight_sum")
+@query("weight_sum", panel=TermPanel)
 def _(p):
     """Weights sum to 1 on every day."""
     checked = maturity.weight_sums(p.weighted, p.tenors, p.keys)
@@ -270,7 +279,7 @@ def _(p):
     return _residual_buckets(p, "slope")
 
 
-@query("residual_by_spot")
+@query("residual_by_spot", panel=PricedPanel)
 def _(p):
     return _residual_buckets(p, "spot")
 
@@ -380,7 +389,7 @@ def _(p):
 # -- legs --------------------------------------------------------------------
 
 
-@query("contract_weight", digits=9)
+@query("contract_weight", digits=9, panel=TermPanel)
 def _(p):
     out = legs.contract_weights(p.weighted, p.day_weights, p.tenors, p.keys)
     return out.select(*p.keys, DAY, SYMBOL, "ttm_days", "w_contract")
@@ -396,7 +405,7 @@ def _(p):
     return p.legs
 
 
-@query("legs_joined", digits=9)
+@query("legs_joined", digits=9, panel=TermPanel)
 def _(p):
     """The same legs from the two tables joined."""
     weighted = legs.contract_weights(p.weighted, p.day_weights, p.tenors, p.keys)
@@ -451,7 +460,19 @@ def _(p):
 
 @query("leg_quality")
 def _(p):
-    return quality.leg_quality(p.legs, p.keys)
+    return quality.leg_quality(p.positions, p.keys)
+
+
+@query("leg_quality_nonpositive", panel=ShiftedPanel)
+def _(p):
+    """The same counts where some closes are not positive."""
+    return quality.leg_quality(p.positions, p.keys)
+
+
+@query("daily_pnl_nonpositive", panel=ShiftedPanel)
+def _(p):
+    """Daily profit without the legs that have no return."""
+    return p.pnl
 
 
 @query("legs_per_day")
@@ -545,7 +566,7 @@ def _(p):
     return drawdown.loss_concentration(drawdown.losses_by_size(p.episode, p.keys), p.keys)
 
 
-@query("loss_regime", digits=4)
+@query("loss_regime", digits=4, panel=PricedPanel)
 def _(p):
     """Spot and slope on the loss days and on all days."""
     bad = drawdown.concentrated_losses(drawdown.losses_by_size(p.episode, p.keys))
@@ -606,14 +627,14 @@ def _(p):
 # -- signals -----------------------------------------------------------------
 
 
-def _register_signal(name: str) -> None:
-    @query(f"signal_{name}")
+def _register_signal(name: str, source: str) -> None:
+    @query(f"signal_{name}", panel=PricedPanel if source == "spot" else Panel)
     def _(p):
         return p.study(name)
 
 
-for _name in signals.signal_definitions(PANEL_TENORS):
-    _register_signal(_name)
+for _name, _definition in signals.signal_definitions(PANEL_TENORS).items():
+    _register_signal(_name, _definition.source)
 
 
 @query("vol_target")
@@ -639,7 +660,7 @@ def _(p):
     return sizing.carry_states(p.pnl, p.attribution, p.keys)
 
 
-@query("states_spot")
+@query("states_spot", panel=PricedPanel)
 def _(p):
     return sizing.spot_states(p.pnl, p.spot, p.keys)
 

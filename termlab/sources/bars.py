@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlab.schema import MONTH_CODES
+from termlab.sources.tables import stage
 
 # The columns a bar file must have.
 BAR_COLUMNS = ("symbol", "timestamp", "tradingDay", "close")
@@ -37,25 +37,26 @@ def _header_reader():
             return line.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
 
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "header": batch["path"].map(first_line)})
+            yield pd.DataFrame({"file_path": batch["file_path"], "header": batch["file_path"].map(first_line)})
 
     return first_lines
 
 
 def header_table(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """(path, header) of every matching file below ``root``.
+    """(file_path, header) of every matching file below ``root``.
 
     ``binaryFile`` without its ``content`` column lists files and reads none of
-    them; only the first block of each file is then opened.
+    them; only the first block of each file is then opened.  Paths are dealt evenly over tasks, since
+    the listing groups files by their bytes.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(root)
-        .select("path")
+        .select(F.col("_metadata.file_path").alias("file_path"))
     )
-    return files.mapInPandas(_header_reader(), "path string, header string")
+    return files.repartition("file_path").mapInPandas(_header_reader(), "file_path string, header string")
 
 
 def _csv_schema(header: str) -> tuple[str, bool]:
@@ -81,40 +82,53 @@ def read_bars(
 ) -> DataFrame:
     """Bars as (symbol, timestamp, tradingDay, close, file_path), text times.
 
-    Files without the four columns are skipped.  A missing symbol is taken from
-    the file name; where that fails the row keeps NULL, or stops the job when
-    ``strict``.  One scan per distinct header layout; the only thing the driver
-    sees is the file list, which Spark's own file index holds anyway.
+    Files without the four columns are skipped.  Headers are read in one parallel job and staged; the driver sees
+    the distinct ones.  One scan of the tree as lines follows, each line parsed by the layout of its file, so a
+    file that arrives in between is left for the next run.  A line is a row: quoted line
+    breaks are not supported.
+
+    A file without a single symbol takes it from its name.  In a file with some, a row
+    without keeps NULL and is counted by ``quality``; so does one whose file name holds no code.
+    ``strict`` stops the job on either.
     """
-    layouts: dict[str, list[str]] = defaultdict(list)
-    for row in header_table(spark, root, glob).toLocalIterator():
-        layouts[row["header"]].append(row["path"])
+    headers = stage(header_table(spark, root, glob), "headers")
+    layouts = sorted(r["header"] for r in headers.select("header").distinct().collect())
     if not layouts:
-        raise FileNotFoundError(f"No CSVs found under: {root}")
-
-    usable = {h: sorted(paths) for h, paths in layouts.items() if _csv_schema(h)[1]}
+        raise FileNotFoundError(f"{root} holds no file that matches {glob}")
+    usable = {h: schema for h in layouts for schema, complete in [_csv_schema(h)] if complete}
     if not usable:
-        raise ValueError(f"No CSV under {root} has the columns {list(BAR_COLUMNS)}")
-
-    bars = None
-    for header, paths in sorted(usable.items()):
-        reader = (
-            spark.read.schema(_csv_schema(header)[0])
-            .option("header", True)
-            .option("ignoreLeadingWhiteSpace", True)
-            .option("ignoreTrailingWhiteSpace", True)
-        )
-        if len(layouts) == 1:  # one layout, nothing skipped: no path list needed
-            scan = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(root)
-        else:
-            scan = reader.csv(paths)
-        part = scan.select(
-            *BAR_COLUMNS, F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("_name")
-        )
-        bars = part if bars is None else bars.unionByName(part)
+        raise ValueError(f"no file below {root} has all of {', '.join(BAR_COLUMNS)}")
 
+    number = {h: i for i, h in enumerate(usable)}
+    known = spark.createDataFrame([(h, i) for h, i in number.items()], "header string, layout int")
+    files = headers.join(F.broadcast(known), "header")  # one row per layout
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .text(root)
+        .select(
+            F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_name").alias("_name"),
+        )
+    )
+    rows = lines.join(files, "file_path").where("line != header AND trim(line) != ''")
+    options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    parsed = None
+    for header, i in number.items():
+        bar = F.from_csv("line", usable[header], options)
+        fields = F.struct(*[bar[c].alias(c) for c in BAR_COLUMNS])
+        parsed = F.when(F.col("layout") == i, fields) if parsed is None else parsed.when(F.col("layout") == i, fields)
+    bars = rows.select(parsed.alias("bar"), "file_path", "_name").select("bar.*", "file_path", "_name")
+
+    named = bars.groupBy("file_path").agg(F.max("symbol").isNull().alias("_unnamed"))
     inferred = symbol_from_file_name(F.col("_name"), symbol_root)
     if strict:
-        message = F.concat(F.lit("Cannot infer symbol from filename: "), F.col("_name"))
-        inferred = F.coalesce(inferred, F.raise_error(message).cast("string"))
-    return bars.withColumn("symbol", F.coalesce("symbol", inferred)).drop("_name")
+        message = F.concat(F.lit("no symbol can be found for a row of "), F.col("_name"))
+        inferred = F.when(F.col("_unnamed"), inferred)
+        symbol = F.coalesce("symbol", inferred, F.raise_error(message).cast("string"))
+    else:
+        symbol = F.coalesce("symbol", F.when(F.col("_unnamed"), inferred))
+    return bars.join(named, "file_path").select(
+        symbol.alias("symbol"), "timestamp", "tradingDay", "close", "file_path"
+    )

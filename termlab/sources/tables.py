@@ -72,5 +72,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage at a table several branches read; survives executor loss.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,12 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from termlab.functions import quantiles
-from termlab.functions.joins import join_per_group
+from termlab.functions.joins import salted_join
 from termlab.operators import (
     contracts,
     drawdown,
     legs,
     maturity,
+    quality,
     report,
     returns,
     rolling_pca,
@@ -42,7 +43,7 @@ def test_contract_month(spark):
     got = [tuple(r) for r in df.select(F.when(month.isNotNull(), year), month).collect()]
     nothing = (None, None)
     assert got == [(2024, 1), (2079, 12), (1980, 12), (2007, 2), (2030, 3), nothing, nothing, nothing]
-    with pytest.raises(Exception, match="Unrecognized contract symbol"):
+    with pytest.raises(Exception, match="not a contract symbol"):
         df.select(*contracts.contract_month(F.col("symbol"), strict=True)).collect()
 
 
@@ -258,19 +259,32 @@ def test_exact_quantiles_of_a_skewed_table(spark, accuracy):
     assert [whole[x] for x in wanted] == [expected(everything, q) for q in wanted.values()]
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_join_per_group_is_complete_either_way(spark, limit):
-    """Nine tenths of the rows in one group; salted (limit 0) and broadcast."""
+def test_salted_join_is_complete(spark):
+    """Nine tenths of the rows in one group, which every salt shares."""
     rows = spark.range(10_000).selectExpr("if(id % 10 = 0, id, 0) AS g", "id AS x")
     per_group = rows.groupBy("g").agg(F.max("x").alias("m"))
-    if limit:
-        rows, per_group = rows.filter("g < 500"), per_group.filter("g < 500")
-    joined = join_per_group(rows, per_group, ["g"], F.col("x"), limit)
-    assert ("_salt" in joined._jdf.queryExecution().logical().toString()) == (limit == 0)
+    joined = salted_join(rows, per_group, ["g"], F.col("x"))
     assert joined.count() == rows.count()
     assert joined.filter("x > m").count() == 0
 
 
+def test_legs_without_a_return_are_dropped_and_counted(spark):
+    """Closes 10, 0, 12, then -3, -6: no step has a return."""
+    closes = [10.0, 0.0, 12.0, -3.0, -6.0]
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(5)]
+    rows = [("A", d, dt.date(2024, 6, 1), 90, c, 1.0) for d, c in zip(days, closes, strict=True)]
+    weighted = spark.createDataFrame(
+        rows, "symbol string, tradingDay date, expiry date, ttm_days int, close double, weight_30d double"
+    )
+    hedge = spark.createDataFrame([(d, 1.0) for d in days], "tradingDay date, w_px_30d double")
+    positions = legs.positions_in_one_pass(weighted, hedge, (30,))
+    counted = quality.leg_quality(positions).first()
+    assert (counted.n_legs, counted.n_bad_rows, counted.n_no_return) == (0, 4, 4)
+    assert legs.leg_days(legs.with_return(positions)).count() == 0
+    good = positions.withColumn("r_next", F.when(F.col("close") == 12, F.lit(0.5)))
+    assert legs.extreme_legs(good, k=1).first().r_next == 0.5
+
+
 def test_day_quantile_and_adjusted_moments(spark):
     values = [4.0, -1.0, 2.5, 7.0, 0.0, 3.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")

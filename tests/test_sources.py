@@ -93,10 +93,28 @@ def test_single_layout_and_missing_files(spark, tmp_path):
 def test_symbol_that_cannot_be_inferred(spark, tmp_path):
     write(tmp_path / "z" / "plain.csv", HEADER, ",2023-12-01 20:55:00,2023-12-01,1.5")
     assert read_bars(spark, str(tmp_path / "z")).collect()[0].symbol is None
-    with pytest.raises(Exception, match="Cannot infer symbol"):
+    with pytest.raises(Exception, match="no symbol can be found"):
         read_bars(spark, str(tmp_path / "z"), strict=True).collect()
 
 
+def test_a_partly_filled_file_invents_no_contract(spark, tmp_path):
+    write(
+        tmp_path / "p" / "vin24.csv",
+        HEADER,
+        "VIF24,2023-12-01 20:55:00,2023-12-01,1.5",
+        ",2023-12-02 20:55:00,2023-12-02,2.5",
+    )
+    rows = sorted(read_bars(spark, str(tmp_path / "p")).collect(), key=lambda r: r.close)
+    assert [r.symbol for r in rows] == ["VIF24", None]
+    with pytest.raises(Exception, match="no symbol can be found"):
+        read_bars(spark, str(tmp_path / "p"), strict=True).collect()
+
+
+def test_scratch_is_shared_and_cleared(spark):
+    root = tables.scratch_root(spark)
+    assert root.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
 def test_times_do_not_depend_on_the_session_zone(spark, bar_tree):
     expected = sorted(contracts.pick_nearest(contracts.parse_bars(read_bars(spark, bar_tree))).collect(), key=str)
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
