@@ -78,7 +78,7 @@ class OrdinalModel:
 
 
 def fit_ordinal(
-    rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: float = 1.0, rounds: int = 400
+    rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: float = 0.1, rounds: int = 500
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds that maximise the penalised likelihood.
 
