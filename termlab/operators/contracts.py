@@ -121,12 +121,13 @@ def term_structure(
     root: str = "VI",
     strict: bool = False,
     unique_times: bool = False,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Raw bars with ``file_path`` to (symbol, tradingDay, ts_ct, close, expiry, ttm_days).
+    """Raw bars with ``file_path`` to (keys, symbol, tradingDay, ts_ct, close, expiry, ttm_days).
 
     The pick is made per file, then the first file in path order wins.  The second
     aggregate sees one row per file, contract and day.
     """
-    picked = pick_nearest(parse_bars(bars), ["file_path"], unique_times)
-    first = keep_first(picked, [SYMBOL, DAY], ["file_path"], ["ts_ct", "close"])
+    picked = pick_nearest(parse_bars(bars), [*keys, "file_path"], unique_times)
+    first = keep_first(picked, [*keys, SYMBOL, DAY], ["file_path"], ["ts_ct", "close"])
     return live_contracts(add_expiry(first, calendar, root, strict))

@@ -1,7 +1,9 @@
 """The pipeline from bar files to performance tables, one job per stage.
 
-    spark-submit termlab/plans/jobs.py prices   BARS_DIR EXPIRIES_TXT OUT_DIR
-    spark-submit termlab/plans/jobs.py strategy OUT_DIR SPOT_PARQUET
+    spark-submit termlab/plans/jobs.py prices   BARS_DIR EXPIRIES_TXT OUT_DIR [curves]
+    spark-submit termlab/plans/jobs.py strategy OUT_DIR SPOT_PARQUET [curves]
+
+With ``curves`` the folder of a bar file names its curve, and every table has ``curve_id``.
 
 Each job reads the Parquet stages before it and writes its own, so a rerun can
 start at any stage.  Contract-grain stages are partitioned by month of trading day,
@@ -10,6 +12,7 @@ which prunes files for a date range; day-grain stages are single tables.
 
 from __future__ import annotations
 
+import datetime
 import sys
 from collections.abc import Sequence
 
@@ -21,6 +24,7 @@ from termlab.operators import (
     drawdown,
     legs,
     maturity,
+    quality,
     report,
     returns,
     rolling_pca,
@@ -41,8 +45,17 @@ def _write_contracts(df: DataFrame, path: str) -> None:
     write_table(by_month, path, [MONTH], [DAY, "ttm_days", SYMBOL])
 
 
-def _read_contracts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(MONTH)
+def _read_contracts(spark: SparkSession, path: str, after: datetime.date | None = None) -> DataFrame:
+    """A contract-grain stage; ``after`` prunes the months before it as well as the days."""
+    rows = spark.read.parquet(path)
+    if after is not None:
+        rows = rows.filter((F.col(MONTH) >= f"{after:%Y-%m}") & (F.col(DAY) > F.lit(after)))
+    return rows.drop(MONTH)
+
+
+def with_curve(bars: DataFrame) -> DataFrame:
+    """``curve_id``, the name of the folder that holds the bar's file."""
+    return bars.withColumn("curve_id", F.regexp_extract("file_path", "([^/]+)/[^/]+$", 1))
 
 
 def build_term_structure(
@@ -53,10 +66,12 @@ def build_term_structure(
     root: str = "VI",
     strict: bool = False,
     unique_times: bool = False,
+    keys: Sequence[str] = (),
 ) -> None:
-    """Bars and calendar to ``term_structure``."""
+    """Bars and calendar to ``term_structure``; ``keys`` is empty or ``curve_id``."""
     bars = read_bars(spark, bars_dir, strict=strict, symbol_root=root)
-    term = contracts.term_structure(bars, read_expiry_calendar(spark, expiries), root, strict, unique_times)
+    bars = with_curve(bars) if keys else bars
+    term = contracts.term_structure(bars, read_expiry_calendar(spark, expiries), root, strict, unique_times, keys)
     _write_contracts(term, f"{out_dir}/term_structure")
 
 
@@ -81,11 +96,15 @@ def run_prices(
     out_dir: str,
     tenors: Sequence[int] = TENORS,
     root: str = "VI",
+    strict: bool = False,
+    unique_times: bool = False,
+    keys: Sequence[str] = (),
+    clamp: bool = True,
 ) -> None:
     """The three jobs above in order."""
-    build_term_structure(spark, bars_dir, expiries, out_dir, root)
-    add_weights(spark, out_dir, tenors)
-    build_prices(spark, out_dir)
+    build_term_structure(spark, bars_dir, expiries, out_dir, root, strict, unique_times, keys)
+    add_weights(spark, out_dir, tenors, keys, clamp)
+    build_prices(spark, out_dir, keys)
 
 
 def run_strategy(
@@ -125,8 +144,11 @@ def run_strategy(
     attribution = stage("attribution", rolling_pca.attribution(hedged(carry_space), tenors))
     hedge_days = stage("hedge_days", hedged("tradable"))
 
-    weighted = _read_contracts(spark, f"{out_dir}/term_with_weights")
-    leg_rows = legs.legs_in_one_pass(weighted.filter(F.col(DAY) > F.lit(returns.FIRST_DAY)), hedge_days, tenors, keys)
+    weighted = _read_contracts(spark, f"{out_dir}/term_with_weights", returns.FIRST_DAY)
+    _write_contracts(legs.positions_in_one_pass(weighted, hedge_days, tenors, keys), f"{out_dir}/positions")
+    positions = _read_contracts(spark, f"{out_dir}/positions")
+    stage("leg_quality", quality.leg_quality(positions, keys))
+    leg_rows = legs.with_return(positions)
     _write_contracts(leg_rows, f"{out_dir}/legs")
     leg_days = stage("leg_days", legs.leg_days(_read_contracts(spark, f"{out_dir}/legs"), keys))
     pnl = leg_days.select(*keys, DAY, "strategy_ret")
@@ -147,6 +169,13 @@ def run_strategy(
     sized = stage("sized_states", sizing.state_sizing(matrix, boost=boost, cap=cap))
     strategy = stage("strategy", sizing.sized_strategy(pnl, sized, keys))
 
+    exposures = stage("exposure", legs.exposure(_read_contracts(spark, f"{out_dir}/legs"), keys))
+    stage("exposure_summary", legs.exposure_summary(exposures, keys))
+    stage("shock_days", legs.shock_days(leg_days))
+    stage("symbol_extremes", legs.symbol_extremes(legs.next_returns(weighted, keys), keys))
+    stage("state_counts", sizing.state_counts(matrix, keys))
+    stage("scale_summary", sizing.scale_summary(sized, keys))
+
     log_curve = drawdown.log_equity(pnl, keys)
     stage("drawdown", log_curve)
     stage("loss_days", drawdown.losses_by_size(drawdown.worst_episode(log_curve, keys), keys))
@@ -162,11 +191,12 @@ def main(arguments: Sequence[str]) -> None:
     command, *rest = arguments
     spark = build_session(f"termlab {command}")
     if command == "prices":
-        bars_dir, expiries, out_dir = rest
-        run_prices(spark, bars_dir, expiries, out_dir)
+        bars_dir, expiries, out_dir, *curves = rest
+        run_prices(spark, bars_dir, expiries, out_dir, keys=["curve_id"] if curves else [])
     elif command == "strategy":
-        out_dir, spot = rest
-        run_strategy(spark, out_dir, read_table(spark, spot, [DAY, "spot"]))
+        out_dir, spot, *curves = rest
+        keys = ["curve_id"] if curves else []
+        run_strategy(spark, out_dir, read_table(spark, spot, [*keys, DAY, "spot"]), keys=keys)
     else:
         raise SystemExit(__doc__)
     clear_scratch(spark)

@@ -145,3 +145,29 @@ def test_price_job(spark, tmp_path, bar_tree, expiries):
         ("2023-12-04", 16.0, 16.0),
         ("2024-06-03", 20.0, 20.0),
     ]
+
+
+def test_two_curves_equal_their_single_runs(spark, tmp_path, expiries):
+    for curve, shift in (("one", 0.0), ("two", 5.0)):
+        for symbol, close in (("VIF24", 14.0), ("VIN24", 20.0)):
+            write(
+                tmp_path / "bars" / curve / f"{symbol}.csv",
+                HEADER,
+                f"{symbol},2023-12-01 20:55:00,2023-12-01,{close + shift}",
+                f"{symbol},2023-12-04 20:55:00,2023-12-04,{close + shift + 1}",
+            )
+    jobs.run_prices(spark, str(tmp_path / "bars"), expiries, str(tmp_path / "all"), keys=["curve_id"])
+    together = spark.read.parquet(str(tmp_path / "all" / "synthetic_prices"))
+    for curve in ("one", "two"):
+        jobs.run_prices(spark, str(tmp_path / "bars" / curve), expiries, str(tmp_path / curve))
+        alone = spark.read.parquet(str(tmp_path / curve / "synthetic_prices")).orderBy("tradingDay").collect()
+        mine = together.where(f"curve_id = '{curve}'").drop("curve_id").orderBy("tradingDay").collect()
+        assert [r.asDict() for r in mine] == [r.asDict() for r in alone] and len(mine) == 2
+
+
+def test_month_filter_prunes_partitions(spark, tmp_path, bar_tree, expiries):
+    out = str(tmp_path / "out")
+    jobs.build_term_structure(spark, bar_tree, expiries, out)
+    rows = jobs._read_contracts(spark, f"{out}/term_structure", dt.date(2024, 1, 1))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and rows.count() == 1
