@@ -172,11 +172,11 @@ def _compressed(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(pack, "block bigint, texts binary")
 
 
-Finish = Callable[[list, list[list[bytes]], dict[bytes, np.ndarray], str], pa.Table]
+Finish = Callable[[list, Iterator[list[bytes]], dict[bytes, np.ndarray], str], pa.Table]
 
 
 def joined(docs: DataFrame, finish: Finish, schema: str, tokenizer: str = BYTE_BPE, size: int = BLOCK_BYTES) -> DataFrame:
-    """What ``finish`` makes of each block: its doc_ids, the words of each text, and the ids of each word.
+    """What ``finish`` makes of each block: its doc_ids, the words of text after text, and the ids of each word.
 
     The texts are cut into blocks twice, once to ask and once to be joined.  Should the input come in
     another order the second time, an answer doesn't bear the mark of its words, and
@@ -207,7 +207,7 @@ def joined(docs: DataFrame, finish: Finish, schema: str, tokenizer: str = BYTE_B
                         for x in library(tokenizer).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
                     ]
                 found.update(zip(words, ids, strict=True))
-            out.append(finish(table.column("doc_id").to_pylist(), list(map(words_of, block_texts)), found, tokenizer))
+            out.append(finish(table.column("doc_id").to_pylist(), map(words_of, block_texts), found, tokenizer))
         return pa.concat_tables(out)
 
     return (
@@ -221,7 +221,7 @@ def joined(docs: DataFrame, finish: Finish, schema: str, tokenizer: str = BYTE_B
 def encode(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
     """``doc_id, ids``, one row per document row.  Null and empty texts have no ids."""
 
-    def finish(doc_ids: list, words: list[list[bytes]], found: dict[bytes, np.ndarray], _: str) -> pa.Table:
+    def finish(doc_ids: list, words: Iterator[list[bytes]], found: dict[bytes, np.ndarray], _: str) -> pa.Table:
         none = np.zeros(0, np.int32)
         ids = [np.concatenate([found[w] for w in row]) if row else none for row in words]
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
@@ -247,7 +247,7 @@ def digests(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
     The ids are written in decimal, joined by commas.  One row per document row; an empty table gives none.
     """
 
-    def finish(doc_ids: list, words: list[list[bytes]], found: dict[bytes, np.ndarray], path: str) -> pa.Table:
+    def finish(doc_ids: list, words: Iterator[list[bytes]], found: dict[bytes, np.ndarray], path: str) -> pa.Table:
         table = pieces(path)
         spelt = {w: b"".join([table[i] for i in ids.tolist()]) for w, ids in found.items()}
         listed = {w: ",".join(map(str, ids.tolist())).encode() for w, ids in found.items()}
