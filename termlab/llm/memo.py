@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 # The library's own threads would compete with the other tasks of the machine.
@@ -12,29 +13,34 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
-def _stem(word: bytes) -> tuple[bytes, bytes]:
+SLICE_BYTES = 12 << 20
+
+
+def _stem(word: str) -> tuple[str, str]:
     """A word without the comma or full stop behind its last ASCII letter or digit, and that mark.
 
     The tokenizer parts letters from marks, so the mark is a word of its own to it.
     """
-    if len(word) > 1 and word[-1] in b",." and (word[-2:-1].islower() or word[-2:-1].isdigit()):
-        return word[:-1], word[-1:]
-    return word, b""
+    if len(word) > 1 and word[-1] in ",." and word[-2] in "abcdefghijklmnopqrstuvwxyz0123456789":
+        return word[:-1], word[-1]
+    return word, ""
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers.
+    """Ids of whole texts.
 
     The vocabulary drops white space and its words end at it, so the ids of a text are those of the
     stretches between ASCII white space in a row.  It drops case too, so A to Z are lower-cased
-    first.  Stretches met before are looked up; new ones
-    go to the library, whose answer is the definition.  Two generations of ``keep``
-    stretches at most are held, so memory is bounded and what is common stays.
+    first.  Arrow cuts a slice of texts into stretches and numbers the distinct ones; those are looked up
+    among the ones met before, and new ones go to the library, whose answer is the definition.  Two
+    generations of ``keep`` stretches at most are held, so memory is bounded and what is common stays.
     """
 
     def __init__(self, path: str, keep: int = 400_000) -> None:
@@ -42,49 +48,70 @@ class WordEncoder:
         self._library.no_padding()
         self._library.no_truncation()
         self._keep = keep
-        self._young: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
-    def _find(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _find(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each of ``words``, none of which is in the young generation."""
-        if len(self._young) + 2 * len(words) > self._keep:
-            self._old, self._young = self._young, {}
-        young, old = self._young, self._old
-        new: dict[bytes, None] = {}
+        found: dict[str, bytes] = {"": b""}
+        new: dict[str, None] = {}
         for word in words:
-            if (known := old.get(word)) is not None:
-                young[word] = known
+            if (known := self._old.get(word)) is not None:
+                found[word] = known
                 continue
             for part in _stem(word):
-                if part and part not in young:
-                    if (known := old.get(part)) is not None:
-                        young[part] = known
-                    else:
-                        new[part] = None
-        found = self._library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for word, encoded in zip(new, found, strict=True):
-            ids = encoded.ids
-            young[word] = struct.pack(f"<{len(ids)}I", *ids)
+                known = self._young.get(part)
+                known = self._old.get(part) if known is None else known
+                if known is None:
+                    new[part] = None
+                else:
+                    found[part] = known
+        new.pop("", None)
+        encoded = self._library.encode_batch_fast(list(new), add_special_tokens=False)
+        for word, ids in zip(new, (x.ids for x in encoded), strict=True):
+            found[word] = struct.pack(f"<{len(ids)}I", *ids)
         for word in words:
-            if word not in young:
+            if word not in found:
                 stem, mark = _stem(word)
-                young[word] = young[stem] + young[mark]
-        return young
+                found[word] = found[stem] + found[mark]
+        if len(self._young) + len(found) > self._keep:
+            self._old, self._young = self._young, {}
+        self._young.update(found)
+        return found
+
+    def encode_texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+        """For slices of non-null ``texts``: the first row, all ids in a row, and where each text's end.
+
+        The last list has one more number than the slice has texts, from 0 on.
+        """
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            before = int(sizes[start - 1]) if start else 0
+            upto = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+            part = texts.take(pa.array(np.arange(start, upto))).cast(pa.large_string())
+            # The special tokens are spelt in lower case only.
+            part = pc.if_else(pc.match_substring(part, "<|"), part, pc.ascii_lower(part))
+            split = pc.ascii_split_whitespace(part)
+            numbers = split.flatten().dictionary_encode()
+            words = numbers.dictionary.to_pylist()
+            known = list(map(self._young.get, words))
+            if None in known:
+                found = self._find([w for w, k in zip(words, known, strict=True) if k is None])
+                known = [found[w] if k is None else k for w, k in zip(words, known, strict=True)]
+            index = numbers.indices.to_numpy(zero_copy_only=False)
+            length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            first = np.cumsum(length) - length
+            counts = length[index]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            place = np.repeat(first[index] - ends[:-1], counts) + np.arange(ends[-1])
+            ids = np.frombuffer(b"".join(known), "<u4")[place]
+            offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+            yield start, ids, ends[offsets].tolist()
+            start = upto
 
     def encode(self, text: str) -> bytes:
-        raw = text.encode()
-        if b"<|" not in raw:  # the special tokens are spelt in lower case only
-            raw = raw.lower()
-        words = raw.split()
-        out = []
-        for start in range(0, len(words), 8192):
-            part = words[start : start + 8192]
-            ids = list(map(self._young.get, part))
-            if None in ids:
-                found = self._find(list({w for w, i in zip(part, ids, strict=True) if i is None}))
-                ids = [found[w] if i is None else i for w, i in zip(part, ids, strict=True)]
-            out.append(b"".join(ids))
-        return b"".join(out)
+        return b"".join(ids.tobytes() for _, ids, _ in self.encode_texts(pa.array([text])))
 
 
 @lru_cache(maxsize=2)

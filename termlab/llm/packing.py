@@ -196,12 +196,15 @@ def pieces(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 0, capacity
         encoder = word_encoder(tokenizer)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
-                ids = encoder.encode(text) + end
-                for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start : start + 4 * capacity]
-                    for column, value in zip(out, (doc_id, k, start // 4, len(part) // 4, crc32(part)), strict=True):
-                        column.append(value)
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, found, ends in encoder.encode_texts(batch.column("text")):
+                for i, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    ids = found[low:high].tobytes() + end
+                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[start : start + 4 * capacity]
+                        row = (doc_ids[first + i], k, start // 4, len(part) // 4, crc32(part))
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
@@ -219,10 +222,8 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 0, capacity:
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = numbered(
-        pieces(docs, tokenizer, end_id, capacity), ["length", "doc_id", "piece", "start", "ids_crc32"], "_position"
-    )
-    rows = stage(rows, "pieces")
+    cut = stage(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    rows = stage(numbered(cut, ["length", "doc_id", "piece", "start", "ids_crc32"], "_position"), "ranked")
     # At most ``capacity`` rows, however large the corpus.
     sizes = sorted((r["length"], r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect())
     if not sizes:

@@ -214,14 +214,15 @@ def write_files(
             )
 
         for batch in batches:
-            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
-                encoded = encoder.encode(text) + end
-                held.append((doc_id, encoded))
-                size += len(encoded) // 4
-                if size >= shard_tokens:
-                    yield flush()
-                    place, size = place + 1, 0
-                    held.clear()
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, found, ends in encoder.encode_texts(batch.column("text")):
+                for i, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    held.append((doc_ids[first + i], found[low:high].tobytes() + end))
+                    size += high - low + 1
+                    if size >= shard_tokens:
+                        yield flush()
+                        place, size = place + 1, 0
+                        held.clear()
         if held:
             yield flush()
 
