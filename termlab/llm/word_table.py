@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from termlab.llm.chat import BYTE_BPE
 from termlab.llm.common import shuffle_tasks, texts_of
-from termlab.llm.memo import Tokenizer
+from termlab.llm.memo import SPELT, Tokenizer
 
 BLOCK_BYTES = 24 << 20
 KEEP = 400_000  # distinct words a task remembers before it starts anew
@@ -65,9 +65,7 @@ def library(path: str) -> Tokenizer:
 @lru_cache(maxsize=2)
 def pieces(path: str) -> list[bytes]:
     """Bytes of every id.  Byte-level vocabularies write each byte as one printable character."""
-    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    others = [b for b in range(256) if b not in set(printable)]
-    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    byte = {chr(SPELT.get(b, b)): b for b in range(256)}
     tokenizer = library(path)
     special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
     table = [b""] * (max(tokenizer.get_vocab().values()) + 1)
@@ -208,7 +206,8 @@ def joined(docs: DataFrame, finish: Finish, schema: str, tokenizer: str = BYTE_B
                     ]
                 found.update(zip(words, ids, strict=True))
             out.append(finish(table.column("doc_id").to_pylist(), map(words_of, block_texts), found, tokenizer))
-        return pa.concat_tables(out)
+        # Without texts there are answers to a block of another first pass only.
+        return pa.concat_tables(out) if out else finish([], iter(()), {}, tokenizer)
 
     return (
         _compressed(texts, size)
@@ -259,7 +258,12 @@ def digests(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
             text = b"".join([spelt[w] for w in row]).decode("utf-8", "replace")
             of_text.append(hashlib.sha256(text.encode()).hexdigest())
         return pa.table(
-            {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_text}
+            {
+                "doc_id": pa.array(doc_ids, pa.int64()),
+                "n_tokens": pa.array(counts, pa.int64()),
+                "ids_sha256": pa.array(of_ids, pa.string()),
+                "decoded_sha256": pa.array(of_text, pa.string()),
+            }
         )
 
     return joined(docs, finish, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", tokenizer)
