@@ -80,12 +80,12 @@ def nearest_quantiles(
        rank error is at most n/accuracy.  The sketch gives values just below and
        above each wanted rank.  A group of at most ``accuracy`` rows uses its
        extremes instead.
-    2. A second pass counts the rows under the lower value and keeps, as distinct
+    2. A second pass counts the rows under each lower value and keeps, as distinct
        value counts, only those between the two: about 8n/accuracy rows.  The wanted
        rank is found among them by a running count.
 
     The job stops if a rank is not inside its bounds, so a result is exact or absent.
-    ``df`` is read twice, the first time when this function is called: stage it
+    ``df`` is read three times: stage it
     first if it is costly to compute.
     """
     group = list(keys)
@@ -120,14 +120,23 @@ def nearest_quantiles(
         )
         .select(*group, specs.alias("_specs"))
     )
+    bounded = _with_group_values(rows, bounds, group)
+    # Rows under the lower bounds are counted, all bounds in one aggregate.
+    under = [F.count_if(F.col("_x") < F.col("_specs")[i]["_lo"]) for i in range(len(quantiles))]
+    below = (
+        bounded.groupBy(*group)
+        .agg(F.array(*under).alias("_under"), F.first("_specs").alias("_specs"))
+        .select(*group, F.explode(F.arrays_zip("_specs", "_under")).alias("_s"))
+        .select(*group, "_s._specs._label", "_s._specs._rank", F.lit(None).cast("double").alias("_x"), F.col("_s._under").alias("_c"))
+    )
+    # Only rows between some pair of bounds are repeated, once per pair they lie between.
+    between = F.filter("_specs", lambda s: (F.col("_x") >= s["_lo"]) & (F.col("_x") <= s["_hi"]))
     near = (
-        _with_group_values(rows, bounds, group)
-        .select(*group, "_x", F.explode("_specs").alias("_s"))
-        .select(*group, "_x", "_s.*")
-        .filter("_x <= _hi")
-        # Rows under the lower bound are only counted: they share one NULL value.
-        .groupBy(*group, "_label", "_rank", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_x"))
+        bounded.select(*group, "_x", F.explode(between).alias("_s"))
+        .groupBy(*group, F.col("_s._label").alias("_label"), F.col("_s._rank").alias("_rank"), "_x")
         .agg(F.count("*").alias("_c"))
+        .select(*group, "_label", "_rank", "_x", "_c")
+        .union(below)
     )
     order = Window.partitionBy(*group, "_label").orderBy(F.col("_x").asc_nulls_first())
     hit = (
