@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,20 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 SLICE_BYTES = 12 << 20
 
+#: Words of letters of ASCII and Latin-1 alone.  To these the tokenizer does nothing but lower-casing before it
+#: spells their bytes as printable characters and merges those, so the steps before can be left out.
+PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+
+
+def spelling() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as they are, the others from 256 on in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+SPELT = spelling()
+
 
 def _stem(word: str) -> tuple[str, str]:
     """A word without the comma or full stop behind its last ASCII letter or digit, and that mark.
@@ -67,8 +82,14 @@ class WordEncoder:
                 else:
                     found[part] = known
         new.pop("", None)
-        encoded = self._library.encode_batch_fast(list(new), add_special_tokens=False)
-        for word, ids in zip(new, (x.ids for x in encoded), strict=True):
+        plain = [w for w in new if PLAIN.fullmatch(w)]
+        other = [w for w in new if not PLAIN.fullmatch(w)]
+        encoded = self._library.encode_batch_fast(other, add_special_tokens=False)
+        for word, ids in zip(other, (x.ids for x in encoded), strict=True):
+            found[word] = struct.pack(f"<{len(ids)}I", *ids)
+        merge = self._library.model.tokenize
+        for word in plain:
+            ids = [t.id for t in merge(word.lower().encode().decode("latin-1").translate(SPELT))]
             found[word] = struct.pack(f"<{len(ids)}I", *ids)
         for word in words:
             if word not in found:
