@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termlab.llm.common import small_batches
 from termlab.llm.memo import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,11 +57,11 @@ def encoded_turns(conversations: DataFrame, tokenizer: str = BYTE_BPE) -> DataFr
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library(tokenizer)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = []
             for column in ("role", "text"):
                 texts = [escape(t) for t in batch.column(column).to_pylist()]
-                found = [x.ids for x in encoder.encode_batch(texts, add_special_tokens=False)]
+                found = [x.ids for x in encoder.encode_batch_fast(texts, add_special_tokens=False)]
                 ids.append(pa.array(found, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *ids], names=[*batch.schema.names, "role_ids", "text_ids"]
@@ -112,7 +113,7 @@ def format_conversations(
     )
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             made = [
                 splice(row["role_ids"], row["text_ids"], [r == learnt_role for r in row["roles"]])
                 for row in batch.select(["roles", "role_ids", "text_ids"]).to_pylist()
