@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlab.llm.common import texts_of
+from termlab.llm.common import small_batches, texts_of
 
 GRADES = 3
 SAMPLE = 20_000  # labelled documents a model is fitted on, at most
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [sorted(features(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.binary()))],
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     typical = np.array([r["b"] / n1 > 20 * max(r["n"] - r["b"], 0.5) / n0 for r in chosen])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             kept = [[number[x] for x in row if x in number] for row in batch.column("features").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array(kept, pa.list_(pa.int32()))], names=["toxic", "kept"]
