@@ -163,7 +163,8 @@ def _compressed(texts: DataFrame, size: int) -> DataFrame:
         for block, ids, block_texts in _blocks(batches, size):
             sink = pa.BufferOutputStream()
             table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(block_texts, pa.large_string())})
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            dense = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+            with pa.ipc.new_stream(sink, table.schema, options=dense) as out:
                 out.write_table(table)
             yield pa.RecordBatch.from_pydict({"block": [block], "texts": [sink.getvalue().to_pybytes()]})
 
