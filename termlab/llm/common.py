@@ -7,6 +7,7 @@ columns, whatever their names, never meet its own.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,6 +41,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(start, rows)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Python tasks started within get that many rows at a time: whole texts make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """Adds gapless global row numbers from 0 in the order of ``order``, nulls first.
 

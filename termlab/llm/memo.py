@@ -21,7 +21,7 @@ from tokenizers import Tokenizer  # noqa: E402
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 #: Words of letters of ASCII and Latin-1 alone.  To these the tokenizer does nothing but lower-casing before it
 #: spells their bytes as printable characters and merges those, so the steps before can be left out.
@@ -58,7 +58,7 @@ class WordEncoder:
     generations of ``keep`` stretches at most are held, so memory is bounded and what is common stays.
     """
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    def __init__(self, path: str, keep: int = 200_000) -> None:
         self._library = Tokenizer.from_file(path)
         self._library.no_padding()
         self._library.no_truncation()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlab.llm.common import numbered, texts_of
+from termlab.llm.common import numbered, short_batches, texts_of
 from termlab.llm.memo import WORD_BPE, crc32, word_encoder
 from termlab.sources.tables import stage
 
@@ -222,7 +222,8 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 0, capacity:
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    cut = stage(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    with short_batches(spark):
+        cut = stage(pieces(docs, tokenizer, end_id, capacity), "pieces")
     rows = stage(numbered(cut, ["length", "doc_id", "piece", "start", "ids_crc32"], "_position"), "ranked")
     # At most ``capacity`` rows, however large the corpus.
     sizes = sorted((r["length"], r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect())

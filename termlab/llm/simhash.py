@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlab.llm.common import text_hash, texts_of
+from termlab.llm.common import short_batches, text_hash, texts_of
 from termlab.llm.components import components
 from termlab.sources.tables import stage
 
@@ -117,7 +117,8 @@ def classified(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int =
     Rows with one fingerprint are joined before the search, which sees every distinct
     fingerprint once.  ``component`` is the class's smallest fingerprint.
     """
-    rows = stage(fingerprints(docs, width), "fingerprints")
+    with short_batches(docs.sparkSession):
+        rows = stage(fingerprints(docs, width), "fingerprints")
     distinct = stage(
         rows.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("least")), "distinct"
     )

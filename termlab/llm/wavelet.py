@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlab.llm.common import shuffle_tasks, texts_of
+from termlab.llm.common import short_batches, shuffle_tasks, texts_of
 from termlab.llm.memo import WORD_BPE, as_ids, crc32, word_encoder
 from termlab.sources.tables import stage
 
@@ -226,7 +226,8 @@ def write_files(
         if held:
             yield flush()
 
-    return stage(sorted_texts.mapInArrow(write, MANIFEST), "manifest")
+    with short_batches(docs.sparkSession):
+        return stage(sorted_texts.mapInArrow(write, MANIFEST), "manifest")
 
 
 class _store:
