@@ -1,6 +1,8 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests for everything else.
 
-Candidates are runs of key characters with a digit and a letter among them.  For each
+Candidates are runs of key characters with a digit and a letter among them; '=' only ends one, as padding, so
+names and values part there.  A run with '+' or '/' as well as '-' or '_' has no one alphabet, so its longest
+stretches of either are candidates instead.  For each
 distinct one an encoding is inferred and three tests of "drawn at random from that
 alphabet" are made: chi-squared on the symbols' counts, Wald-Wolfowitz runs of the alphabet's halves, and
 serial correlation of neighbouring symbols.  Their p-values are combined (Fisher).  Ordinary strings fail:
@@ -24,8 +26,19 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 SHORTEST = {"assign": 12, "access": 18, "hex": 16, "random": 20}
 
-#: Runs of key characters, at least 20 long, that hold a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+
+def _run(more: str) -> str:
+    """Whole runs of letters, digits and ``more`` with a digit and a letter, at least 20 long with the padding at the end."""
+    k = f"[A-Za-z0-9{more}]"
+    padding = f"=++(?!{k})"
+    return (
+        f"(?<!{k})(?=[A-Za-z0-9={more}]{{20}})(?=[A-Za-z{more}]*+[0-9])(?=[0-9{more}]*+[A-Za-z])"
+        f"(?:{k}{{20,}}+(?:{padding})?|{k}{{1,19}}+{padding})"
+    )
+
+
+CANDIDATE = _run("+/_-")
+STRETCHES = (_run("+/"), _run("_-"))  # of a candidate that mixes the two alphabets
 
 # Alphabets in order of their codes.
 UPPER, LOWER, NUMBERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -42,21 +55,34 @@ POWER_BITS = 90  # information a random string must carry to be told from an ord
 STEPS = 200  # p-values are rounded up to a twentieth of a power of ten
 
 
+def _quoted(pattern: str) -> str:
+    return "r'" + pattern.replace("'", "\\x27") + "'"
+
+
 def _positions(kind: str, pattern: str, group: int = 0) -> str:
     """SQL for the matches of one kind: piece lengths between them, the matches, and the tested group.
 
     Most texts match nothing, which one search tells.
     """
-    p = "r'" + pattern.replace("'", "\\x27") + "'"
+    p = _quoted(pattern)
     tested = f"regexp_extract_all(text, {p}, {group})" if group else "cast(NULL AS array<string>)"
     return f"""CASE WHEN text RLIKE {p} THEN named_struct('kind', '{kind}',
         'gaps', transform(split(text, {p}, -1), x -> char_length(x)),
         'found', regexp_extract_all(text, {p}, 0), 'tested', {tested}) END"""
 
 
+def _stretches(pattern: str) -> str:
+    """SQL for the matches of ``pattern`` in ``value`` and the lengths between them."""
+    p = _quoted(pattern)
+    return f"""named_struct('gaps', transform(split(value, {p}, -1), x -> char_length(x)),
+        'found', regexp_extract_all(value, {p}, 0))"""
+
+
 def matches(texts: DataFrame) -> DataFrame:
     """``key columns, kind, start, end, value`` of every match that passes its length rule.
 
+    A candidate that mixes alphabets is replaced by its stretches of each, which may overlap.
+
     ``texts`` has ``doc_id, text_hash, text``.  A text split at the matches gives what lies between them, so
     places are running sums of lengths; only numbers and matched values leave the text's
     row.  Rows alike in doc_id and text count once.
@@ -87,12 +113,37 @@ def matches(texts: DataFrame) -> DataFrame:
     upto = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("i")
     end = F.sum(F.col("x.gap") + F.char_length("x.value")).over(upto)
     shortest = F.create_map(*[F.lit(v) for kv in SHORTEST.items() for v in kv])
-    return (
+    rows = (
         rows.withColumn("end", end)
         .withColumn("start", F.col("end") - F.char_length("x.value"))
         .where(F.char_length("x.tested") >= shortest[F.col("kind")])
         .select("doc_id", "text_hash", "kind", "start", "end", F.col("x.value").alias("value"))
     )
+    mixed = "kind = 'random' AND value RLIKE '[+/]' AND value RLIKE '[-_]'"
+    whole = "named_struct('gaps', array(0, 0), 'found', array(value))"
+    cut = f"CASE WHEN {mixed} THEN array({', '.join(map(_stretches, STRETCHES))}) ELSE array({whole}) END"
+    rows = (
+        rows.select("doc_id", "text_hash", "kind", F.col("start").alias("from"), F.posexplode(F.expr(cut)).alias("way", "m"))
+        .select(
+            "doc_id",
+            "text_hash",
+            "kind",
+            "from",
+            "way",
+            F.posexplode(F.expr("transform(m.found, (v, k) -> named_struct('gap', m.gaps[k], 'value', v))")).alias("i", "x"),
+        )
+    )
+    # Dealt as above, so no row moves.
+    upto = Window.partitionBy("doc_id", "text_hash", "kind", "from", "way").orderBy("i")
+    end = F.col("from") + F.sum(F.col("x.gap") + F.char_length("x.value")).over(upto)
+    return rows.withColumn("end", end).select(
+        "doc_id",
+        "text_hash",
+        "kind",
+        (F.col("end") - F.char_length("x.value")).alias("start"),
+        "end",
+        F.col("x.value").alias("value"),
+    )
 
 
 def _p_normal(z: str) -> str:
@@ -190,6 +241,21 @@ def _order(kind: Column | str) -> Column:
     return F.array_position(F.array(*map(F.lit, KINDS)), F.col(kind) if isinstance(kind, str) else kind)
 
 
+def merged(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, kind, start, end`` of the random spans, those that overlap made into one."""
+    ordered = Window.partitionBy(*keys).orderBy("start", "end")
+    furthest = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("start") >= furthest).cast("int"), F.lit(1))
+    group = F.sum("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        spans.withColumn("_opens", opens)
+        .withColumn("_group", group)
+        .groupBy(*keys, "_group")
+        .agg(F.lit("random").alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"))
+        .drop("_group")
+    )
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, spans`` of the documents with any: the secrets by start, then kind.
 
@@ -210,7 +276,7 @@ def spans(docs: DataFrame) -> DataFrame:
     )
     clear = stage(clear.select(*keys, "kind", "start", "end", "value"), "clear")
     added = clear.where(~base)
-    added = added.join(random_values(added), "value").select(*keys, "kind", "start", "end")
+    added = merged(added.join(random_values(added), "value"), keys)
     every = clear.where(base).select(*keys, "kind", "start", "end").union(added)
     gathered = F.array_sort(F.collect_list(F.struct("start", _order("kind").alias("place"), "end", "kind")))
     return every.groupBy(*keys).agg(gathered.alias("spans"))

@@ -148,6 +148,39 @@ def test_battery_knows_random_strings(spark):
     assert len(found & good) > 0.9 * len(good) and len(found & bad) < 0.02 * len(bad)
 
 
+HIDDEN = [
+    ("AWS_SECRET_ACCESS_KEY={}", 62),
+    ("export x auth={} done", 62),
+    ("https://host.example/a?sig={}&x=1", 62),
+    ("run --key={}==", 64),
+    ("a=b={}", 62),
+    ("https://host.example/some-page/of/{}", 65),
+    ("old_name/{}", 64),
+]
+DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_secrets_behind_names_and_paths(spark):
+    r = random.Random(2)
+    secrets, rows = {}, []
+    for i in range(140):
+        frame, kind = HIDDEN[i % len(HIDDEN)]
+        symbols = DIGITS + {62: "", 64: "+/", 65: "-_"}[kind]
+        secrets[i] = "".join(r.choices(symbols, k=40)) if kind == 62 else symbols[-1] + "".join(r.choices(symbols, k=39))
+        rows.append((i, frame.format(secrets[i])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = docs.withColumn("text_hash", F.xxhash64("text"))
+    found = secret_scan.matches(texts).collect()
+    assert all(dict(rows)[x.doc_id][x.start : x.end] == x.value for x in found)
+    values = spark.createDataFrame([(x.value,) for x in found], "value string")
+    assert secret_scan.battery(values).where("p IS NULL").count() == 0
+    masked = {x.doc_id: x.text for x in secret_scan.redact(docs).collect()}
+    left = collections.Counter(i % len(HIDDEN) for i, s in secrets.items() if s.strip("/")[:25] in masked[i])
+    assert all(left[k] <= 3 for k in range(len(HIDDEN))), left
+    for row in secret_scan.spans(docs).collect():
+        assert all(a.end <= b.start for a, b in zip(row.spans, row.spans[1:])), row
+
+
 # --- sharding ---------------------------------------------------------------------------
 
 
