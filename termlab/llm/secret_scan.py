@@ -241,18 +241,27 @@ def _order(kind: Column | str) -> Column:
     return F.array_position(F.array(*map(F.lit, KINDS)), F.col(kind) if isinstance(kind, str) else kind)
 
 
-def merged(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, kind, start, end`` of the random spans, those that overlap made into one."""
-    ordered = Window.partitionBy(*keys).orderBy("start", "end")
-    furthest = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce((F.col("start") >= furthest).cast("int"), F.lit(1))
-    group = F.sum("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+def outside(base: DataFrame, random: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, kind, start, end``: what random spans cover and base spans don't; stretches that overlap become one."""
+
+    def edges(spans: DataFrame, in_base: int) -> DataFrame:
+        both = "array(named_struct('at', start, 'way', 1), named_struct('at', end, 'way', -1))"
+        return spans.select(*keys, F.explode(F.expr(both)).alias("x")).select(
+            *keys, "x.at", (F.col("x.way") * in_base).alias("b"), (F.col("x.way") * (1 - in_base)).alias("r")
+        )
+
+    order = Window.partitionBy(*keys).orderBy("at")
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Edges at one place have the same sums, so only the first of them can be a turn.
     return (
-        spans.withColumn("_opens", opens)
-        .withColumn("_group", group)
-        .groupBy(*keys, "_group")
-        .agg(F.lit("random").alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"))
-        .drop("_group")
+        edges(base, 1)
+        .union(edges(random, 0))
+        .withColumn("on", (F.sum("r").over(upto) > 0) & (F.sum("b").over(upto) == 0))
+        .withColumn("turn", F.col("on") != F.lag("on", 1, False).over(order))
+        .where("turn")
+        .withColumn("until", F.lead("at").over(order))
+        .where("on")
+        .select(*keys, F.lit("random").alias("kind"), F.col("at").alias("start"), F.col("until").alias("end"))
     )
 
 
@@ -260,23 +269,24 @@ def spans(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, spans`` of the documents with any: the secrets by start, then kind.
 
     Each span has ``start`` and ``end`` (code points, end exclusive) and ``kind``.  Base spans (assign, access,
-    hex) are all kept and may overlap one another; a random span overlaps none.  A document's
+    hex) are all kept and may overlap one another; a random span overlaps none: of a candidate that reaches
+    beyond the base spans in it, all is tested and what lies outside them is added.  A document's
     spans are gathered, which the length of its text bounds.
     """
     texts = texts_of(docs).withColumn("text_hash", text_hash()).select("doc_id", "text_hash", "text")
     found = stage(matches(texts), "matches")
     keys = ["doc_id", "text_hash"]
-    ahead = Window.partitionBy(*keys).orderBy("start", "end", _order("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy(*keys).orderBy(F.desc("start"), F.desc("end"), F.desc(_order("kind"))).rowsBetween(Window.unboundedPreceding, -1)
     base = F.col("kind") != "random"
-    clear = (
-        found.withColumn("_before", F.max(F.when(base, F.col("end"))).over(ahead))
-        .withColumn("_after", F.min(F.when(base, F.col("start"))).over(behind))
-        .where(base | ((F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.coalesce("_after", F.col("end")) >= F.col("end"))))
+    # Of a candidate, the part from its first letter or digit to its last has to reach beyond a base span.
+    first = F.when(base, F.col("start")).otherwise(F.expr("start + char_length(value) - char_length(trim(LEADING '+/_=-' FROM value))"))
+    last = F.expr("end - char_length(value) + char_length(trim(TRAILING '+/_=-' FROM value))")
+    ahead = Window.partitionBy(*keys).orderBy(first, _order("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    clear = found.withColumn("_covered", F.max(F.when(base, F.col("end"))).over(ahead)).where(
+        base | (F.coalesce("_covered", F.lit(0)) < last)
     )
     clear = stage(clear.select(*keys, "kind", "start", "end", "value"), "clear")
     added = clear.where(~base)
-    added = merged(added.join(random_values(added), "value"), keys)
+    added = outside(clear.where(base), added.join(random_values(added), "value"), keys)
     every = clear.where(base).select(*keys, "kind", "start", "end").union(added)
     gathered = F.array_sort(F.collect_list(F.struct("start", _order("kind").alias("place"), "end", "kind")))
     return every.groupBy(*keys).agg(gathered.alias("spans"))

@@ -181,6 +181,27 @@ def test_secrets_behind_names_and_paths(spark):
         assert all(a.end <= b.start for a, b in zip(row.spans, row.spans[1:])), row
 
 
+def test_random_strings_around_base_spans(spark):
+    r = random.Random(3)
+    rows, parts = [], {}
+    for i in range(60):
+        head, tail = "".join(r.choices(DIGITS, k=30)) + "Z", "".join(r.choices("0123456789abcdef", k=16))
+        rows.append((i, f"see {head}-{tail} or -{tail}="))
+        parts[i] = head
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: x for x in secret_scan.scan(docs).collect()}
+    n = 0
+    for i, text in rows:
+        base = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(text))
+        assert got[i].base_sha256 == sha(base) and got[i].n_hex == 2
+        start = text.index(parts[i])
+        n += f"random:{start}:{start + len(parts[i]) + 1}," in got[i].spans
+        assert got[i].n_random <= 1
+    assert n >= 50
+    masked = {x.doc_id: x.text for x in secret_scan.redact(docs).collect()}
+    assert sum(parts[i] in masked[i] for i in parts) == 60 - n
+
+
 # --- sharding ---------------------------------------------------------------------------
 
 
