@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlab.llm.common import small_batches, texts_of
+from termlab.llm.common import small_batches, text_hash, texts_of
 
 GRADES = 3
 SAMPLE = 20_000  # labelled documents a model is fitted on, at most
@@ -124,6 +124,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """``doc_id, toxic, text`` of up to ``sample`` labelled documents, chosen by a hash of their doc_id.
 
     Labels that repeat a doc_id count once, toxic if one says so; null labels and ids don't count.
+    Of rows that repeat a doc_id, the one with the text of least hash stands for all, so ``sample`` bounds rows.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -132,7 +133,10 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    return texts_of(docs).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
+    rows = texts_of(docs).join(F.broadcast(known), "doc_id")
+    # Reduced in each task first: a doc_id with a large part of the rows moves one text from each.
+    least = F.min(F.struct(text_hash().alias("hash"), "text"))
+    return rows.groupBy("doc_id", "toxic").agg(least.alias("x")).select("doc_id", "toxic", "x.text")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> OrdinalModel:

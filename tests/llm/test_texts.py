@@ -467,6 +467,22 @@ def test_toxicity_on_held_out_documents(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == 2 * len(ROWS)
 
 
+def test_repeated_ids_are_one_training_row(spark):
+    rows, labels = toxic_corpus(120, 1)
+    twice = [(3, f"{text} again {i}") for i, text in rows] * 2
+    docs = spark.createDataFrame(rows + twice, "doc_id bigint, text string").repartition(5)
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    got = toxicity.labelled(docs, marks).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
+    assert len(toxicity.labelled(docs, marks, 50).collect()) == 50
+    hashed = spark.createDataFrame([rows[3], *twice], "doc_id bigint, text string").orderBy(F.xxhash64("text"))
+    least = hashed.first().text
+    assert {r.doc_id: r.text for r in got} == {**dict(rows), 3: least}
+    once = spark.createDataFrame([(i, least if i == 3 else t) for i, t in rows], "doc_id bigint, text string")
+    one, many = toxicity.train(once, marks), toxicity.train(docs, marks)
+    assert one.weights == many.weights and one.thresholds == many.thresholds
+
+
 def test_without_toxic_labels_nothing_is_toxic(spark, odd_docs):
     marks = spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, toxic int")
     assert toxicity.toxicity(odd_docs, marks).where("toxic OR severity > 0").count() == 0
