@@ -15,6 +15,21 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
+#: Binary digits that values are compared on, about twelve decimal ones.
+STEADY_BITS = 40
+
+
+def steady(expr: str) -> str:
+    """SQL for a DOUBLE rounded to :data:`STEADY_BITS` significant binary digits.
+
+    Values that are equal but for rounding in the last bits become equal, so what is decided by comparing them
+    does not hang on the order of additions.  Scaling by a power of two is exact; only ``floor`` rounds.
+    Values beyond 1e-280 to 1e280 in size, and NaN, stay as they are.
+    """
+    grid = f"pow(2D, floor(log2(abs({expr}))) - {STEADY_BITS - 1})"
+    return f"if(abs({expr}) > 1e-280D AND abs({expr}) < 1e280D, floor({expr} / {grid} + 0.5D) * {grid}, {expr})"
+
+
 def log_ratio(num: Column, den: Column) -> Column:
     """``ln(num / den)``, NULL unless both are positive."""
     return F.when((num > 0) & (den > 0), F.ln(ratio(num, den)))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from termlab.functions.columns import change, ratio, running, whole
-from termlab.functions.quantiles import nearest_quantile, with_bucket
-from termlab.operators.signals import Signal, forward_return, signal_definitions, signal_table
+from termlab.functions.quantiles import nearest_quantile, with_buckets
+from termlab.operators.signals import CARRY_VOL_ROWS, Signal, forward_return, signal_definitions, signal_table
 from termlab.schema import DAY
 
 # State labels from the lowest quantile bucket up.
@@ -59,9 +59,7 @@ COUNTED_STATES = (
 
 def label_states(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Add ``<name>_state`` for each column, bucketed over the rows given."""
-    return reduce(
-        lambda out, name: with_bucket(out, name, STATE_LABELS[name], keys, f"{name}_state"), names, df
-    )
+    return with_buckets(df, {f"{name}_state": (name, STATE_LABELS[name]) for name in names}, keys)
 
 
 def pca_states(pnl: DataFrame, diagnostics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -104,6 +102,107 @@ def state_matrix(
     return pca.join(dispersion, on).join(carry, on).join(spot, on, "left")
 
 
+# The state columns by the table whose rows they are bucketed over.
+_TABLES = {
+    "_pca": ("pca_rotation", "pc1_var"),
+    "_dispersion": ("std_r", "max_abs_r"),
+    "_carry": ("carry", "carry_vol", "d_carry"),
+    "_spot": ("spot", "d_spot"),
+}
+
+
+def labelled_days(
+    pnl: DataFrame,
+    diagnostics: DataFrame,
+    cross_section: DataFrame,
+    attribution: DataFrame,
+    spot: DataFrame,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Every day of profit or cross-section with all state columns, in one frame partitioned by curve.
+
+    The five sources are stacked, moved once by curve and folded into one row per day; returns, rolling values, changes
+    and all breakpoints are then windows within that partitioning.  A column of a table the day does not belong to
+    (see :func:`pca_states`, :func:`dispersion_states`, :func:`carry_states`, :func:`spot_states`) is NULL.
+    ``_pnl`` marks profit days, ``_matrix`` the rows of :func:`state_matrix`.
+    """
+    sources = [
+        (pnl, ("strategy_ret",), "_pnl"),
+        (diagnostics, ("rotation", "pc1_var"), None),
+        (cross_section, ("std_r", "max_abs_r"), "_dispersion"),
+        (attribution, ("port_carry",), None),
+        (spot, ("spot",), None),
+    ]
+    values = [c for _, columns, _ in sources for c in columns]
+    stacked = [
+        source.select(
+            *keys,
+            DAY,
+            *[(F.col(c) if c in columns else F.lit(None)).cast("double").alias(c) for c in values],
+            *[F.lit(mark == flag).alias(flag) for flag in ("_pnl", "_dispersion")],
+        )
+        for source, columns, mark in sources
+    ]
+    rows = reduce(DataFrame.unionByName, stacked)
+    rows = rows.repartition(*keys) if keys else rows
+    days = rows.groupBy(*keys, DAY).agg(*[F.max(c).alias(c) for c in (*values, "_pnl", "_dispersion")])
+    days = days.filter("_pnl OR _dispersion")
+
+    def ordered(flag: str) -> WindowSpec:
+        return Window.partitionBy(*keys, flag).orderBy(DAY)
+
+    recent = ordered("_pnl").rowsBetween(1 - CARRY_VOL_ROWS, 0)
+    full = F.col("_pnl") & (F.count("port_carry").over(recent) == CARRY_VOL_ROWS)
+    days = days.withColumns(
+        {
+            "forward_ret": F.when(F.col("_pnl"), F.lead("strategy_ret").over(ordered("_pnl"))),
+            "carry_vol": F.when(full, F.stddev_samp("port_carry").over(recent)),
+        }
+    )
+    days = days.withColumns(
+        {
+            flag: F.expr(f"_pnl AND forward_ret IS NOT NULL AND {c} IS NOT NULL")
+            for flag, c in (("_pca", "rotation"), ("_carry", "carry_vol"), ("_spotted", "spot"))
+        }
+    )
+    days = days.withColumns(
+        {
+            f"d_{c}": F.when(F.col(flag), F.col(x) - F.lag(x).over(ordered(flag)))
+            for c, x, flag in (("carry", "port_carry", "_carry"), ("spot", "spot", "_spotted"))
+        }
+    )
+    days = days.withColumn("_spot", F.expr("_spotted AND d_spot IS NOT NULL"))
+    given = {"pca_rotation": "rotation", "carry": "port_carry"}
+    members = [(flag, c) for flag, columns in _TABLES.items() for c in columns]
+    days = days.select(
+        *keys, DAY, "strategy_ret", "forward_ret", "_pnl",
+        F.expr("_pca AND _dispersion AND _carry AS _matrix"),
+        *[F.when(F.col(flag), F.col(given.get(c, c))).alias(c) for flag, c in members],
+    )
+    return label_states(days, [c for _, c in members], keys)
+
+
+def matrix_rows(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """:func:`state_matrix` out of :func:`labelled_days`."""
+    columns = [c for names in _TABLES.values() for c in (*names, *(f"{n}_state" for n in names))]
+    return labelled.filter("_matrix").select(*keys, DAY, *columns)
+
+
+def strategy_days(
+    labelled: DataFrame, keys: Sequence[str] = (), cap: float = 3.0, boost: float | Column = 1.0
+) -> DataFrame:
+    """:func:`sized_strategy` of :func:`state_sizing`, within the partitioning of :func:`labelled_days`: no join."""
+    days = state_sizing(labelled.filter("_pnl"), boost=boost, cap=cap).drop("sized_ret")
+    states = [c for c in days.columns if c not in (*keys, DAY, "strategy_ret", "forward_ret", "_pnl", "_matrix")]
+    upto = running(keys)
+    carried = [F.last(F.when(F.col("_matrix"), F.col(c)), ignorenulls=True).over(upto).alias(c) for c in states]
+    return (
+        days.select(*keys, DAY, "strategy_ret", "forward_ret", *carried)
+        .withColumn("sized_ret", F.col("forward_ret") * F.col("scale"))
+        .dropna()
+    )
+
+
 def state_counts(
     matrix: DataFrame, keys: Sequence[str] = (), states: Sequence[str] = COUNTED_STATES
 ) -> DataFrame:

@@ -78,8 +78,15 @@ def cuts(column: str, n: int) -> str:
     return f"quantile_cont({column}, [{probs}])"
 
 
+def steady(x: str) -> str:
+    """A number on its first 40 binary digits: equal values stay equal whatever rounding did to their last bits."""
+    grid = f"pow(2.0::DOUBLE, floor(log2(abs({x}))) - 39)"
+    return f"CASE WHEN abs({x}) > 1e-280 AND abs({x}) < 1e280 THEN floor({x} / {grid} + 0.5::DOUBLE) * {grid} ELSE {x} END"
+
+
 def bucket(column: str, cut: str = "cut") -> str:
-    return f"CASE WHEN {column} IS NOT NULL THEN 1 + len(list_filter({cut}, lambda c: c < {column})) END"
+    below = f"{steady('c')} < {steady(f'{column}::DOUBLE')}"
+    return f"CASE WHEN {column} IS NOT NULL THEN 1 + len(list_filter({cut}, lambda c: {below})) END"
 
 
 def labelled(source: str, column: str, labels: list[str], out: str) -> str:

@@ -221,22 +221,22 @@ class Panel:
         return signals.signal_study(self.pnl, self.source(definition.source), definition, self.keys)
 
     @cached_property
-    def states(self) -> DataFrame:
-        return sizing.state_matrix(
-            sizing.pca_states(self.pnl, self.diagnostics, self.keys),
-            sizing.dispersion_states(self.cross_section, self.keys),
-            sizing.carry_states(self.pnl, self.attribution, self.keys),
-            sizing.spot_states(self.pnl, self.spot, self.keys),
-            self.keys,
+    def labelled(self) -> DataFrame:
+        return sizing.labelled_days(
+            self.pnl, self.diagnostics, self.cross_section, self.attribution, self.spot, self.keys
         )
 
+    @cached_property
+    def states(self) -> DataFrame:
+        return sizing.matrix_rows(self.labelled, self.keys)
+
     @cached_property
     def sized_states(self) -> DataFrame:
         return sizing.state_sizing(self.states, cap=2.0)
 
     @cached_property
     def strategy(self) -> DataFrame:
-        return sizing.sized_strategy(self.pnl, self.sized_states, self.keys)
+        return sizing.strategy_days(self.labelled, self.keys, cap=2.0)
 
 
 class StagedPanel(Panel):

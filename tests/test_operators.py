@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from termlab.functions import quantiles
-from termlab.functions.joins import salted_join
+from termlab.functions.columns import steady
+from termlab.functions.joins import heavy_groups, salted_join
 from termlab.operators import (
     contracts,
     drawdown,
@@ -238,16 +239,16 @@ def test_buckets(spark):
     assert [r.label for r in got] == [None if b is None else "ABC"[b - 1] for b in expected]
 
 
-@pytest.mark.parametrize("accuracy", [50, 100_000])
-def test_exact_quantiles_of_a_skewed_table(spark, accuracy):
+@pytest.mark.parametrize("fits", [1, 40, 50_000])
+def test_exact_quantiles_of_a_skewed_table(spark, fits):
     """One group holds most rows, and one value a third of them."""
     rng = random.Random(1)
     groups = {"hot": [7.0] * 2000 + [rng.gauss(0, 10) for _ in range(4000)], "small": [3.0, 1.0, 2.0], "one": [5.0]}
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [("hot", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(8)
     wanted = {"p001": 0.001, "p05": 0.05, "p50": 0.5, "p999": 0.999, "low": 0.0, "top": 1.0}
-    got = {r.g: r for r in quantiles.nearest_quantiles(df, "v", wanted, ["g"], accuracy).collect()}
-    whole = quantiles.nearest_quantiles(df, "v", wanted, [], accuracy).collect()[0]
+    got = {r.g: r for r in quantiles.nearest_quantiles(df, "v", wanted, ["g"], fits).collect()}
+    whole = quantiles.nearest_quantiles(df, "v", wanted, [], fits).collect()[0]
 
     def expected(values, q):
         return sorted(values)[math.floor((len(values) - 1) * q + 0.5)]
@@ -268,6 +269,57 @@ def test_salted_join_is_complete(spark):
     assert joined.filter("x > m").count() == 0
 
 
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([("a", None)], "g string, v double")
+    assert quantiles.nearest_quantiles(empty, "v", {"p": 0.5}, ["g"]).count() == 0
+    assert quantiles.nearest_quantiles(empty, "v", {"p": 0.5}, []).first().p is None
+
+
+def test_no_window_of_the_quantiles_holds_more_rows_than_fit(spark):
+    """200,000 rows of one group: what is sorted at last is within the bound."""
+    df = spark.range(0, 200_000, 1, 8).selectExpr("pmod(xxhash64(id), 1000003) / 7.0D AS v")
+    seen, sorted_answers = [], quantiles._sorted_answers
+
+    def watched(rows, asks, at):
+        seen.extend(asks.select("_n").collect())
+        return sorted_answers(rows, asks, at)
+
+    quantiles._sorted_answers = watched
+    try:
+        got = quantiles.nearest_quantiles(df, "v", {"p25": 0.25, "p99": 0.99}, [], 500).first()
+    finally:
+        quantiles._sorted_answers = sorted_answers
+    values = sorted(r.v for r in df.collect())
+    assert (got.p25, got.p99) == (values[round(199_999 * 0.25)], values[round(199_999 * 0.99)])
+    assert seen and max(r._n for r in seen) <= 500
+
+
+def test_only_heavy_groups_are_salted(spark):
+    """One group of 9,000 rows and 1,000 single ones: the small side grows by the heavy group's salts alone."""
+    rows = spark.range(10_000).selectExpr("if(id % 10 = 0, id + 1, 0) AS g", "id AS x", "'kept' AS _salt")
+    sizes = rows.groupBy("g").count()
+    heavy = heavy_groups(sizes, ["g"], "count", "n", 8).collect()
+    assert [(r.g, r.n) for r in heavy] == [(0, 8)]
+    per_group = rows.groupBy("g").agg(F.max("x").alias("m"))
+    joined = salted_join(rows, per_group, ["g"], F.col("x"))
+    assert joined.columns == ["g", "x", "_salt", "m"]
+    assert joined.where("_salt = 'kept' AND x <= m").count() == 10_000
+
+
+def test_equal_values_share_a_bucket_whatever_their_last_bits(spark):
+    """A value one ulp above or below a breakpoint is on it."""
+    base = 0.0008216463012716709
+    around = [base, math.nextafter(base, 1), math.nextafter(base, 0)]
+    values = [base * f for f in (0.1, 0.2, 0.3, 0.4)] + around + [base * f for f in (5, 6, 7, 8)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.bucket for r in quantiles.with_bucket(df, "v", ["A", "B"], [], "label", "bucket").orderBy("i").collect()]
+    assert got == [1] * 7 + [2] * 4
+    odd = spark.createDataFrame([(v,) for v in (0.0, -0.0, 1e-300, -base, 1e300, None)], "v double")
+    assert [r.v for r in odd.selectExpr(f"{steady('v')} AS v").collect()][:3] == [0.0, 0.0, 1e-300]
+    near = spark.createDataFrame([(2.0**k * (1 + s * 2**-52),) for k in range(-60, 60) for s in (-0.5, 0, 1)], "v double")
+    assert near.selectExpr(f"{steady('v')} AS v").distinct().count() == 120
+
+
 def test_legs_without_a_return_are_dropped_and_counted(spark):
     """Closes 10, 0, 12, then -3, -6: no step has a return."""
     closes = [10.0, 0.0, 12.0, -3.0, -6.0]

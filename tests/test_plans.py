@@ -93,6 +93,14 @@ def test_bar_pick_hash_aggregates_in_two_steps(spark):
     assert "props" not in plan
 
 
+@pytest.mark.parametrize("name", ["sized", "sized_with_pca", "state_matrix"])
+def test_states_of_all_sources_are_one_frame(spark, name):
+    """After the staged tables: returns and components by curve, the spot's days, and the stacked sources once."""
+    plan = plan_of(workload.queries()[name](spark, SF))
+    assert len(re.findall(r"[- ]Exchange", plan)) <= 5
+    assert "SortMergeJoin" not in plan
+
+
 @pytest.fixture(scope="module")
 def crowded(spark, tmp_path_factory):
     """A third of all contract rows on one day of one curve."""
@@ -135,7 +143,7 @@ def test_a_crowded_day_meets_its_hedge_salted(crowded, no_broadcast):
 
 
 WRITING = (
-    "csv_bars parquet_stage expiry_calendar contract_expiry leg_return_quantiles histogram nearest_quantile"
+    "csv_bars parquet_stage expiry_calendar contract_expiry leg_return_quantiles histogram nearest_quantile nearest_quantile_all"
 ).split()
 UNSTAGED = sorted(
     name
