@@ -16,6 +16,7 @@ from termlab.schema import (
     TARGET_MINUTE,
     TARGET_ZONE,
 )
+from termlab.sources.bars import fill_symbols
 from termlab.sources.tables import require_columns
 
 
@@ -125,9 +126,11 @@ def term_structure(
 ) -> DataFrame:
     """Raw bars with ``file_path`` to (keys, symbol, tradingDay, ts_ct, close, expiry, ttm_days).
 
-    The pick is made per file, then the first file in path order wins.  The second
-    aggregate sees one row per file, contract and day.
+    The pick is made per file; files without symbols are then named, and the first file in path order wins.  All
+    that follows the pick sees one row per file, contract and day.  ``strict`` stops the job on a row that has
+    no symbol, or one that is no contract's.
     """
     picked = pick_nearest(parse_bars(bars), [*keys, "file_path"], unique_times)
-    first = keep_first(picked, [*keys, SYMBOL, DAY], ["file_path"], ["ts_ct", "close"])
+    named = fill_symbols(picked, root, strict)
+    first = keep_first(named, [*keys, SYMBOL, DAY], ["file_path"], ["ts_ct", "close"])
     return live_contracts(add_expiry(first, calendar, root, strict))

@@ -40,7 +40,7 @@ def brackets(
         below, above = f"coalesce(_lo_{t}, _shortest)", f"coalesce(_hi_{t}, _longest)"
         lowest = f"abs({below}.d)"
         if not clamp:
-            message = f"concat('Target of {t} days outside available maturities on ', {DAY})"
+            message = f"concat('no contract on one side of {t} days on ', {DAY})"
             lowest = f"if(_lo_{t} IS NULL OR _hi_{t} IS NULL, raise_error({message}), {lowest})"
         return (
             f"named_struct('d1', {lowest}, 'sym1', {below}.sym, 'px1', {below}.px, "
@@ -50,6 +50,24 @@ def brackets(
     return grouped.select(*keys, DAY, *[F.expr(bracket(t)) for t in tenors])
 
 
+def bracket_gaps(term: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, day, tenor, side, nearest, gap_days): the sides of tenors that a day has no contract for.
+
+    ``side`` is ``below`` if the shortest maturity is longer than the tenor, ``above`` if the longest is shorter;
+    ``nearest`` is the maturity that stands in when :func:`brackets` clamps, and ``gap_days`` how far it is.  Empty where
+    a run with ``clamp`` off goes through; each row is a reason why it stops.  One aggregate of two integers per day.
+    """
+    require_columns(term, [*keys, DAY, "ttm_days"])
+    ends = term.groupBy(*keys, DAY).agg(F.min("ttm_days").alias("_short"), F.max("ttm_days").alias("_long"))
+    sides = ", ".join(
+        f"if(_short > {t}, named_struct('tenor', {t}, 'side', 'below', 'nearest', _short), "
+        f"if(_long < {t}, named_struct('tenor', {t}, 'side', 'above', 'nearest', _long), NULL))"
+        for t in tenors
+    )
+    rows = ends.select(*keys, DAY, F.expr(f"explode(filter(array({sides}), x -> x IS NOT NULL)) AS _gap"))
+    return rows.select(*keys, DAY, "_gap.*").withColumn("gap_days", F.expr("abs(tenor - nearest)"))
+
+
 def _side_weights(t: int) -> tuple[str, str]:
     """Weights of the lower and the upper contract of a bracket, d1 < d2."""
     d1, d2 = f"b_{t}.d1", f"b_{t}.d2"
@@ -139,7 +157,7 @@ def prices_from_weights(
     require_columns(weighted, [*keys, DAY, price_col])
     found = [c for c in weighted.columns if c.startswith(weight_prefix)]
     if not found:
-        raise ValueError(f"No weight columns found with prefix {weight_prefix!r}")
+        raise ValueError(f"no column of the table starts with {weight_prefix!r}")
     sums = [
         F.expr(f"coalesce(sum(`{price_col}` * `{c}`), 0D) AS `{out_prefix}{c.removeprefix(weight_prefix)}`")
         for c in found

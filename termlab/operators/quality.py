@@ -8,18 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlab.schema import DAY, SYMBOL, TENORS, px
+from termlab.sources.bars import symbol_from_path
 
 
-def bar_quality(bars: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts over parsed bars: unreadable times and days, no symbol, no close."""
-    return bars.groupBy(*keys).agg(
+def bar_quality(bars: DataFrame, keys: Sequence[str] = (), root: str = "VI") -> DataFrame:
+    """Counts over parsed bars: unreadable times and days, no symbol, no close.
+
+    A bar of a file without any symbol has one if the file's name does.  Bars are counted by file first, where each
+    task reduces its own.
+    """
+    by_file = bars.groupBy(*dict.fromkeys([*keys, "file_path"])).agg(
         F.count("*").alias("n_bars"),
         F.count_if(F.col("timestamp").isNull()).alias("n_bad_time"),
         F.count_if(F.col(DAY).isNull()).alias("n_bad_day"),
-        F.count_if(F.col(SYMBOL).isNull()).alias("n_no_symbol"),
+        F.count_if(F.col(SYMBOL).isNull()).alias("_without"),
         F.count_if(F.col("close").isNull()).alias("n_no_close"),
         F.count_if(F.col("close") <= 0).alias("n_nonpositive_close"),
     )
+    named = symbol_from_path(F.col("file_path"), root).isNotNull() & (F.col("_without") == F.col("n_bars"))
+    by_file = by_file.withColumn("n_no_symbol", F.when(named, 0).otherwise(F.col("_without")))
+    counts = ("n_bars", "n_bad_time", "n_bad_day", "n_no_symbol", "n_no_close", "n_nonpositive_close")
+    return by_file.groupBy(*keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in counts])
 
 
 def term_quality(term: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

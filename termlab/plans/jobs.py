@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termlab.functions.quantiles import bucket_labels, with_bucket
 from termlab.operators import (
     contracts,
     drawdown,
@@ -31,7 +32,8 @@ from termlab.operators import (
     signals,
     sizing,
 )
-from termlab.schema import DAY, SYMBOL, TENORS
+from termlab.schema import DAY, SYMBOL, TENORS, px
+from termlab.schema import returns as return_names
 from termlab.session import build_session
 from termlab.sources.bars import read_bars
 from termlab.sources.calendar import read_expiry_calendar
@@ -69,7 +71,7 @@ def build_term_structure(
     keys: Sequence[str] = (),
 ) -> None:
     """Bars and calendar to ``term_structure``; ``keys`` is empty or ``curve_id``."""
-    bars = read_bars(spark, bars_dir, strict=strict, symbol_root=root)
+    bars = read_bars(spark, bars_dir)
     bars = with_curve(bars) if keys else bars
     term = contracts.term_structure(bars, read_expiry_calendar(spark, expiries), root, strict, unique_times, keys)
     _write_contracts(term, f"{out_dir}/term_structure")
@@ -133,6 +135,17 @@ def run_strategy(
     prices = returns.daily_rows(read_table(spark, f"{out_dir}/synthetic_prices"), keys)
     ret = stage("returns", returns.add_carry(returns.log_returns(prices, tenors, keys), tenors, days))
 
+    names, p = return_names(tenors), px(tenors)
+    near, far = 0, min(2, len(tenors) - 1)
+    residuals = returns.add_residual(ret, names[near], names[far], keys).withColumn("slope", F.col(p[far]) - F.col(p[near]))
+    residuals = stage("pair_residuals", residuals)
+    stage("pair_beta", returns.pair_regression(ret, names[near], names[far], keys))
+    stage("residual_stats", returns.residual_stats(residuals, names[near], keys))
+    priced = residuals.join(spot.select(*keys, DAY, "spot"), [*keys, DAY], "left")
+    for level in ("slope", "spot"):
+        by_level = with_bucket(priced, level, bucket_labels(5, "Q"), keys, "label")
+        stage(f"residual_by_{level}", returns.residual_by_bucket(by_level, "label", keys))
+
     moments = rolling_pca.rolling_moments(ret, tenors, keys, window, every)
     components = stage("components", rolling_pca.principal_components(moments, tenors))
     diagnostics = stage("diagnostics", rolling_pca.diagnostics(components, tenors, keys))
@@ -159,15 +172,14 @@ def run_strategy(
     for name, definition in signals.signal_definitions(tenors).items():
         stage(f"signal_{name}", signals.signal_study(pnl, sources[definition.source], definition, keys))
 
-    matrix = sizing.state_matrix(
-        sizing.pca_states(pnl, diagnostics, keys),
-        sizing.dispersion_states(leg_days, keys),
-        sizing.carry_states(pnl, attribution, keys),
-        sizing.spot_states(pnl, spot, keys),
-        keys,
-    )
+    labelled = stage("labelled_days", sizing.labelled_days(pnl, diagnostics, leg_days, attribution, spot, keys))
+    matrix = sizing.matrix_rows(labelled, keys)
     sized = stage("sized_states", sizing.state_sizing(matrix, boost=boost, cap=cap))
-    strategy = stage("strategy", sizing.sized_strategy(pnl, sized, keys))
+    strategy = stage("strategy", sizing.strategy_days(labelled, keys, cap, boost))
+
+    stage("boost", sizing.global_boost(matrix, keys))
+    stage("scaled_vs_unscaled", report.scaled_against_unscaled(strategy, keys))
+    stage("annual_sharpe_comparison", report.annual_sharpe_comparison(strategy, keys))
 
     exposures = stage("exposure", legs.exposure(_read_contracts(spark, f"{out_dir}/legs"), keys))
     stage("exposure_summary", legs.exposure_summary(exposures, keys))
@@ -178,7 +190,11 @@ def run_strategy(
 
     log_curve = drawdown.log_equity(pnl, keys)
     stage("drawdown", log_curve)
-    stage("loss_days", drawdown.losses_by_size(drawdown.worst_episode(log_curve, keys), keys))
+    losses = stage("loss_days", drawdown.losses_by_size(drawdown.worst_episode(log_curve, keys), keys))
+    regime = drawdown.regime_source(prices, spot, tenors, keys)
+    stage("loss_regime", drawdown.loss_regime(drawdown.concentrated_losses(losses), pnl, regime, keys))
+    targeted = stage("vol_target", signals.volatility_target(pnl, keys))
+    stage("vol_target_summary", signals.volatility_target_summary(targeted, keys))
     stage("horizons", legs.horizon_stats(pnl, keys))
     equity = report.compounded_equity(strategy, keys)
     stage("equity", equity)

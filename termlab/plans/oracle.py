@@ -114,6 +114,33 @@ _PICK = """SELECT symbol, CAST(day AS VARCHAR) AS "tradingDay", close, at_us FRO
 ) WHERE rn = 1"""
 for _name in ("nearest_pick", "nearest_pick_any_times", "csv_bars"):
     answer(_name, "bars", _PICK.replace(" close,", f" {rd('close', 'close')},", 1))
+# The five layouts of the mixed tree: what each file holds once it is written and read.
+stage(
+    "mixed",
+    "",
+    f"""SELECT event_type AS layout, value AS close,
+       CASE WHEN event_type = 'error' THEN 'VI' || code || '24'
+            WHEN event_type = 'signup' AND user_id % 3 = 0 THEN NULL ELSE 'VI' || code || yy END AS symbol,
+       CASE WHEN event_type = 'view' AND user_id % 4 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS day,
+       CASE WHEN event_type = 'signup' AND user_id % 5 = 0 THEN NULL ELSE epoch_us(ts) END AS at_us,
+       epoch_us(timezone('America/Chicago', CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 895 MINUTE)) AS target
+FROM (SELECT *, ('{CODES}')[CAST(user_id % 12 AS INTEGER) + 1] AS code, lpad(CAST((user_id // 12) % 100 AS VARCHAR), 2, '0') AS yy
+      FROM events) WHERE event_type <> 'purchase'""",
+)
+answer(
+    "csv_bars_mixed",
+    "mixed",
+    f"""SELECT layout, symbol, CAST(day AS VARCHAR) AS "tradingDay", {rd('close', 'close')}, at_us FROM (
+  SELECT *, row_number() OVER (PARTITION BY layout, symbol, day ORDER BY abs(at_us - target) NULLS LAST, at_us, close) AS rn
+  FROM mixed WHERE day IS NOT NULL) WHERE rn = 1""",
+)
+answer(
+    "csv_bar_quality",
+    "mixed",
+    """SELECT layout, count(*) AS n_bars, count(*) - count(at_us) AS n_bad_time, count(*) - count(day) AS n_bad_day,
+       count(*) - count(symbol) AS n_no_symbol, count(*) - count(close) AS n_no_close,
+       count(*) FILTER (WHERE close <= 0) AS n_nonpositive_close FROM mixed GROUP BY 1""",
+)
 answer(
     "keep_first",
     "bars",
@@ -214,6 +241,16 @@ answer(
     + ", ".join(f"{big(f'{f}_{t}', f'{f}_{t}')}" for t in TENORS for f in ("d1", "d2", "sym1", "sym2"))
     + " FROM sides",
 )
+answer(
+    "bracket_gaps",
+    "term",
+    " UNION ALL ".join(
+        f"SELECT {KEYS}, {t}::BIGINT AS tenor, '{side}' AS side, {big(end, 'nearest')}, {big(f'abs({end} - {t})', 'gap_days')} "
+        f"FROM (SELECT curve_id, tradingDay, min(ttm_days) AS short, max(ttm_days) AS long FROM term GROUP BY 1, 2) WHERE {test}"
+        for t in TENORS
+        for side, end, test in (("below", "short", f"short > {t}"), ("above", "long", f"long < {t}"))
+    ),
+)
 stage(
     "weighted",
     "term sides",

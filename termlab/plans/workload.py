@@ -46,7 +46,7 @@ from termlab.plans.panel import (
 from termlab.schema import DAY, SYMBOL, hedges, px
 from termlab.schema import returns as return_names
 from termlab.sources import tables
-from termlab.sources.bars import read_bars
+from termlab.sources.bars import fill_symbols, read_bars
 from termlab.sources.calendar import read_expiry_calendar
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,67 @@ def _(p):
     return _picked(contracts.pick_nearest(bars, unique_times=True))
 
 
+def _mixed_tree(p: Panel) -> str:
+    """The bars as CSV files of five layouts, one folder for each event type, each contract within one file.
+
+    click     the four columns
+    error     other columns' order, one more column, no symbols: a file per contract, named by it
+    purchase  no close, so its files are skipped
+    signup    some symbols missing, some times unreadable
+    view      some days unreadable
+    """
+    path = tables.scratch_path(p.spark, "bars-mixed")
+    month = F.substring(F.lit("FGHJKMNQUVXZ"), F.pmod("user_id", F.lit(12)).cast("int") + 1, F.lit(1))
+    year = F.lpad((F.floor(F.col("user_id") / 12) % 100).cast("string"), 2, "0")
+    rows = p.table("events").select(
+        "event_type",
+        "user_id",
+        F.concat(F.lit("VI"), month, year).alias("symbol"),
+        F.concat(F.lit("vi"), F.lower(month), F.lit("24")).alias("file"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
+        F.date_format("ts", "yyyy-MM-dd").alias(DAY),
+        F.col("value").alias("close"),
+    )
+
+    def bad(column: str, divisor: int, text: str | None):
+        return F.when(F.col("user_id") % divisor == 0, F.lit(text)).otherwise(F.col(column)).alias(column)
+
+    layouts = {
+        "click": ["symbol", "timestamp", DAY, "close"],
+        "error": ["close", F.lit("x").alias("venue"), F.lit(None).cast("string").alias("symbol"), DAY, "timestamp"],
+        "purchase": ["symbol", "timestamp", DAY],
+        "signup": [DAY, bad("symbol", 3, None), "close", bad("timestamp", 5, "junk")],
+        "view": ["symbol", "timestamp", bad(DAY, 4, "not-a-day"), "close"],
+    }
+    for name, columns in layouts.items():
+        mine = rows.where(F.col("event_type") == name)
+        if name == "error":
+            mine.select("file", *columns).repartition("file").write.partitionBy("file").option("header", True).csv(f"{path}/{name}")
+            tables.name_by_folder(p.spark, f"{path}/{name}", "file=")
+        else:
+            mine.repartition("symbol").select(*columns).write.option("header", True).csv(f"{path}/{name}")
+    return path
+
+
+def _layout(p: Panel):
+    return F.regexp_extract("file_path", "bars-mixed-[^/]*/([a-z]+)", 1).alias("layout")
+
+
+@query("csv_bars_mixed")
+def _(p):
+    """Files of several layouts, without symbols, with some, and with unreadable times, picked per file and named."""
+    bars = contracts.parse_bars(read_bars(p.spark, _mixed_tree(p)))
+    named = fill_symbols(contracts.pick_nearest(bars, ["file_path"]))
+    return _picked(named.withColumn("layout", _layout(p)).drop("file_path"))
+
+
+@query("csv_bar_quality")
+def _(p):
+    """Bars, and those without readable time, day, symbol or close, of each layout of the same files."""
+    bars = contracts.parse_bars(read_bars(p.spark, _mixed_tree(p)))
+    return quality.bar_quality(bars.withColumn("layout", _layout(p)), ["layout"])
+
+
 @query("parquet_stage", digits=4)
 def _(p):
     """Constant-maturity prices written partitioned by curve and read back."""
@@ -197,6 +258,12 @@ def _(p):
     return day.selectExpr(*p.keys, DAY, *[f"b_{t}.{f} AS {f}_{t}" for t in p.tenors for f in fields])
 
 
+@query("bracket_gaps")
+def _(p):
+    """Sides of tenors without a contract, and how far the nearest one is."""
+    return maturity.bracket_gaps(p.term, p.tenors, p.keys)
+
+
 @query("cm_weights", digits=9)
 def _(p):
     return p.weighted.drop("expiry", "close")

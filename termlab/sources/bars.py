@@ -77,19 +77,29 @@ def symbol_from_file_name(file_name, root: str = "VI"):
     return F.when(month != "", F.concat(F.lit(root), F.upper(month), year))
 
 
-def read_bars(
-    spark: SparkSession, root: str, glob: str = "*.csv", strict: bool = False, symbol_root: str = "VI"
-) -> DataFrame:
-    """Bars as (symbol, timestamp, tradingDay, close, file_path), text times.
+def symbol_from_path(file_path, root: str = "VI"):
+    """:func:`symbol_from_file_name` of a path's last part."""
+    return symbol_from_file_name(F.regexp_extract(file_path, "([^/]*)$", 1), root)
+
+
+#: Files whose layouts are broadcast, at 24 bytes each; beyond that Spark chooses the join.
+BROADCAST_FILES = 2_000_000
+
+
+def _file_key(file_path) -> list:
+    """Two 64-bit hashes of a path: narrow to ship, and together never the same for two files."""
+    return [F.xxhash64(file_path).alias("_key"), F.xxhash64(file_path, F.lit("layout")).alias("_check")]
+
+
+def read_bars(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """Bars as (symbol, timestamp, tradingDay, close, file_path), text times, as the files have them.
 
     Files without the four columns are skipped.  Headers are read in one parallel job and staged; the driver sees
-    the distinct ones.  One scan of the tree as lines follows, each line parsed by the layout of its file, so a
-    file that arrives in between is left for the next run.  A line is a row: quoted line
+    the distinct ones.  One scan of the tree as lines follows, each line parsed by the layout of its file, which it finds
+    by a narrow key; a file that arrives in between is left for the next run.  A line is a row: quoted line
     breaks are not supported.
 
-    A file without a single symbol takes it from its name.  In a file with some, a row
-    without keeps NULL and is counted by ``quality``; so does one whose file name holds no code.
-    ``strict`` stops the job on either.
+    A symbol that the file doesn't give is NULL here; :func:`fill_symbols` names it after the bars are picked.
     """
     headers = stage(header_table(spark, root, glob), "headers")
     layouts = sorted(r["header"] for r in headers.select("header").distinct().collect())
@@ -101,7 +111,9 @@ def read_bars(
 
     number = {h: i for i, h in enumerate(usable)}
     known = spark.createDataFrame([(h, i) for h, i in number.items()], "header string, layout int")
-    files = headers.join(F.broadcast(known), "header")  # one row per layout
+    files = headers.join(F.broadcast(known), "header").select(*_file_key("file_path"), "layout")  # one row per layout
+    if headers.count() <= BROADCAST_FILES:
+        files = F.broadcast(files)
     lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
@@ -109,26 +121,37 @@ def read_bars(
         .select(
             F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
             F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_name").alias("_name"),
         )
     )
-    rows = lines.join(files, "file_path").where("line != header AND trim(line) != ''")
+    rows = lines.select("*", *_file_key("file_path")).join(files, ["_key", "_check"])
     options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    parsed = None
-    for header, i in number.items():
-        bar = F.from_csv("line", usable[header], options)
+    parsed = header = None
+    for text, i in number.items():
+        bar = F.from_csv("line", usable[text], options)
         fields = F.struct(*[bar[c].alias(c) for c in BAR_COLUMNS])
-        parsed = F.when(F.col("layout") == i, fields) if parsed is None else parsed.when(F.col("layout") == i, fields)
-    bars = rows.select(parsed.alias("bar"), "file_path", "_name").select("bar.*", "file_path", "_name")
+        here = F.col("layout") == i
+        parsed = F.when(here, fields) if parsed is None else parsed.when(here, fields)
+        header = F.when(here, F.lit(text)) if header is None else header.when(here, F.lit(text))
+    rows = rows.where((F.col("line") != header) & (F.trim("line") != ""))
+    return rows.select(parsed.alias("bar"), "file_path").select("bar.*", "file_path")
 
-    named = bars.groupBy("file_path").agg(F.max("symbol").isNull().alias("_unnamed"))
-    inferred = symbol_from_file_name(F.col("_name"), symbol_root)
+
+def fill_symbols(picked: DataFrame, root: str = "VI", strict: bool = False) -> DataFrame:
+    """Rows with ``symbol`` and ``file_path``, the symbols of files that give none taken from the file's name.
+
+    A file without a single symbol takes it from its name.  In a file with some, a row without keeps
+    NULL; so does one whose file name holds no code.  ``strict`` stops the job on either.
+
+    Meant for picked bars, one row per file, symbol and day: bars of a file without symbols form one group per day
+    whether they are named before the pick or after it.  The rows are staged, so that the files are read
+    once and only these few rows twice.
+    """
+    picked = stage(picked, "picked")
+    unnamed = picked.groupBy("file_path").agg(F.max("symbol").alias("_any")).where("_any IS NULL")
+    rows = picked.join(unnamed.select("file_path", F.lit(True).alias("_unnamed")), "file_path", "left")
+    kind = picked.schema["symbol"].dataType
+    symbol = F.coalesce("symbol", F.when(F.col("_unnamed"), symbol_from_path(F.col("file_path"), root)).cast(kind))
     if strict:
-        message = F.concat(F.lit("no symbol can be found for a row of "), F.col("_name"))
-        inferred = F.when(F.col("_unnamed"), inferred)
-        symbol = F.coalesce("symbol", inferred, F.raise_error(message).cast("string"))
-    else:
-        symbol = F.coalesce("symbol", F.when(F.col("_unnamed"), inferred))
-    return bars.join(named, "file_path").select(
-        symbol.alias("symbol"), "timestamp", "tradingDay", "close", "file_path"
-    )
+        message = F.concat(F.lit("no symbol can be found for a row of "), F.col("file_path"))
+        symbol = F.coalesce(symbol, F.raise_error(message).cast(kind))
+    return rows.withColumn("symbol", symbol).select(*picked.columns)

@@ -45,25 +45,71 @@ def write_table(
     writer.parquet(path)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The session's own folder in storage that the driver and all executors share.
+def scratch_base(checkpoints: str | None, warehouse: str, master: str) -> str:
+    """The folder for staged tables: the one the cluster names for checkpoints, else the warehouse.
 
-    That is ``spark.checkpoint.dir`` where it is set, else the warehouse folder.
+    A warehouse on a local disk is refused unless the master is local: other machines would not see it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/termlab-{spark.sparkContext.applicationId}"
+    if checkpoints:
+        return checkpoints.rstrip("/")
+    on_disk = warehouse.startswith("file:") or "://" not in warehouse
+    if on_disk and not master.startswith("local[") and master != "local":
+        raise ValueError(
+            f"staged tables need storage that all machines share: set spark.checkpoint.dir ({warehouse} is a local folder)"
+        )
+    return warehouse.rstrip("/")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The session's own folder below :func:`scratch_base`."""
+    context = spark.sparkContext
+    base = scratch_base(
+        spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir"), context.master
+    )
+    return f"{base}/termlab-{context.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under :func:`scratch_root`."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under :func:`scratch_root`, which is deleted when the session's JVM ends."""
+    root = scratch_root(spark)
+    if root not in _TIDIED:
+        path, system = _hadoop(spark, root)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _TIDIED.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all that this session staged.  Frames read from it end with it."""
+#: Roots that will be deleted.
+_TIDIED: set[str] = set()
+
+
+def _hadoop(spark: SparkSession, name: str):
+    """A Hadoop path and its file system."""
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this session staged, now.  Frames read from it end with it."""
+    root = scratch_root(spark)
+    path, system = _hadoop(spark, root)
+    system.delete(path, True)
+    _TIDIED.discard(root)
+
+
+def name_by_folder(spark: SparkSession, path: str, prefix: str) -> None:
+    """Name the files of a tree written with ``partitionBy`` after their folder ``<prefix><name>``: a rename, no copy."""
+    root, system = _hadoop(spark, path)
+    for folder in system.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith(prefix):
+            for i, file in enumerate(system.listStatus(folder.getPath())):
+                old = file.getPath()
+                if old.getName().startswith("part-"):
+                    new = f"{folder.getPath().toString()}/{name.removeprefix(prefix)}-{i}.csv"
+                    system.rename(old, _hadoop(spark, new)[0])
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -143,7 +143,7 @@ def test_a_crowded_day_meets_its_hedge_salted(crowded, no_broadcast):
 
 
 WRITING = (
-    "csv_bars parquet_stage expiry_calendar contract_expiry leg_return_quantiles histogram nearest_quantile nearest_quantile_all"
+    "csv_bars csv_bars_mixed csv_bar_quality parquet_stage expiry_calendar contract_expiry leg_return_quantiles histogram nearest_quantile nearest_quantile_all"
 ).split()
 UNSTAGED = sorted(
     name

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import subprocess
+import sys
 
 import pytest
 
 from termlab.operators import contracts, quality
 from termlab.plans import jobs
 from termlab.sources import tables
-from termlab.sources.bars import read_bars
+from termlab.sources.bars import fill_symbols, read_bars
 from termlab.sources.calendar import read_expiry_calendar
 
 HEADER = "symbol,timestamp,tradingDay,close"
@@ -92,9 +94,10 @@ def test_single_layout_and_missing_files(spark, tmp_path):
 
 def test_symbol_that_cannot_be_inferred(spark, tmp_path):
     write(tmp_path / "z" / "plain.csv", HEADER, ",2023-12-01 20:55:00,2023-12-01,1.5")
-    assert read_bars(spark, str(tmp_path / "z")).collect()[0].symbol is None
+    bars = read_bars(spark, str(tmp_path / "z"))
+    assert fill_symbols(bars).collect()[0].symbol is None
     with pytest.raises(Exception, match="no symbol can be found"):
-        read_bars(spark, str(tmp_path / "z"), strict=True).collect()
+        fill_symbols(bars, strict=True).collect()
 
 
 def test_a_partly_filled_file_invents_no_contract(spark, tmp_path):
@@ -104,10 +107,22 @@ def test_a_partly_filled_file_invents_no_contract(spark, tmp_path):
         "VIF24,2023-12-01 20:55:00,2023-12-01,1.5",
         ",2023-12-02 20:55:00,2023-12-02,2.5",
     )
-    rows = sorted(read_bars(spark, str(tmp_path / "p")).collect(), key=lambda r: r.close)
+    bars = read_bars(spark, str(tmp_path / "p"))
+    rows = sorted(fill_symbols(bars).collect(), key=lambda r: r.close)
     assert [r.symbol for r in rows] == ["VIF24", None]
     with pytest.raises(Exception, match="no symbol can be found"):
-        read_bars(spark, str(tmp_path / "p"), strict=True).collect()
+        fill_symbols(bars, strict=True).collect()
+
+
+def test_the_bar_tree_is_read_once(spark, bar_tree, expiries):
+    """By the job that picks, in one scan of lines; names are looked up among the picked rows."""
+    picked = contracts.pick_nearest(contracts.parse_bars(read_bars(spark, bar_tree)), ["file_path"])
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "BroadcastHashJoin [_key" in plan
+    term = contracts.term_structure(read_bars(spark, bar_tree), read_expiry_calendar(spark, expiries))
+    plan = term._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "FileScan text" in x and "bars" in x]
+    assert not lines and "FileScan parquet" in plan
 
 
 def test_scratch_is_shared_and_cleared(spark):
@@ -125,6 +140,29 @@ def test_times_do_not_depend_on_the_session_zone(spark, bar_tree):
     assert [(r.symbol, r.tradingDay, r.close) for r in got] == [(r.symbol, r.tradingDay, r.close) for r in expected]
 
 
+def test_scratch_on_a_local_disk_is_refused_on_a_cluster():
+    assert tables.scratch_base("hdfs://n/c/", "file:/w", "yarn") == "hdfs://n/c"
+    assert tables.scratch_base(None, "s3a://b/w", "yarn") == "s3a://b/w"
+    assert tables.scratch_base(None, "file:/w", "local[4]") == "file:/w"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077", "k8s://h"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.scratch_base(None, "file:/w", master)
+
+
+def test_what_a_session_staged_goes_when_it_ends(tmp_path):
+    code = f"""
+from termlab.session import build_session
+from termlab.sources.tables import scratch_root, stage
+spark = build_session("ends", "local[1]", 1, {{"spark.ui.enabled": "false", "spark.checkpoint.dir": {str(tmp_path)!r}}})
+assert stage(spark.range(3), "three").count() == 3
+import os
+assert os.path.isdir(scratch_root(spark))
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=jobs.__file__.rsplit("/termlab/", 1)[0], timeout=120)
+    assert not list(tmp_path.glob("termlab-*"))
+
+
 def test_require_columns(spark):
     with pytest.raises(ValueError, match="b"):
         tables.require_columns(spark.range(1), ["id", "b"])
