@@ -71,12 +71,16 @@ def pick_nearest(
 
 
 def keep_first(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str]
+    df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], rank: Column | None = None
 ) -> DataFrame:
     """One row per ``group``: the smallest by ``order``, then by ``columns``.
 
-    A partial and a final aggregate, so duplicates are removed before the shuffle.
+    A partial and a final aggregate, so duplicates are removed before the shuffle.  ``rank`` is a BIGINT that orders
+    as ``order`` does and that no two rows of a group share; with it, and columns that are numbers or dates,
+    rows are hashed and never sorted.
     """
+    if rank is not None:
+        return df.groupBy(*group).agg(*[F.min_by(c, rank).alias(c) for c in columns])
     best = F.min(F.struct(*order, *[c for c in columns if c not in order]))
     return df.groupBy(*group).agg(best.alias("_b")).select(*group, *[f"_b.{c}" for c in columns])
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from termlab.schema import DAY, SYMBOL, TENORS, px, weights
 from termlab.sources.tables import require_columns
@@ -22,19 +24,21 @@ def brackets(
     maturity there is, or stops the job when ``clamp`` is off.
 
     All tenors come from one aggregate whose partial results are one row per
-    (task, keys, day), so a crowded day is reduced before the shuffle.
+    (task, keys, day), so a crowded day is reduced before the shuffle.  Where symbols are whole numbers, maturity and
+    symbol are packed into one BIGINT and the close goes along by it: all buffers are plain numbers, so rows are hashed
+    and never sorted (symbols from 0 to 2^40 - 1, or the job stops).  Text symbols order as structs.
     """
     require_columns(term, [*keys, DAY, SYMBOL, "ttm_days"])
     close = "close" if "close" in term.columns else "CAST(NULL AS DOUBLE)"
-    contract = f"'sym', {SYMBOL}, 'px', {close}"
-    upward = f"named_struct('d', ttm_days, {contract})"
-    downward = f"named_struct('d', -ttm_days, {contract})"
+    kind = term.schema[SYMBOL].dataType
+    least = _least_packed(close, kind.simpleString()) if isinstance(kind, IntegralType) else _least_struct(close)
 
-    aggregates = [f"min({upward}) AS _shortest", f"min({downward}) AS _longest"]
+    ends = {"_shortest": (False, "true"), "_longest": (True, "true")}
     for t in tenors:
-        aggregates.append(f"min(CASE WHEN ttm_days <= {t} THEN {downward} END) AS _lo_{t}")
-        aggregates.append(f"min(CASE WHEN ttm_days >= {t} THEN {upward} END) AS _hi_{t}")
-    grouped = term.groupBy(*keys, DAY).agg(*[F.expr(a) for a in aggregates])
+        ends |= {f"_lo_{t}": (True, f"ttm_days <= {t}"), f"_hi_{t}": (False, f"ttm_days >= {t}")}
+    aggregates = [F.expr(x) for name, (down, where) in ends.items() for x in least.collected(name, down, where)]
+    grouped = term.groupBy(*keys, DAY).agg(*aggregates)
+    grouped = grouped.select(*keys, DAY, *[F.expr(least.unpacked(name, down)) for name, (down, _) in ends.items()])
 
     def bracket(t: int) -> str:
         below, above = f"coalesce(_lo_{t}, _shortest)", f"coalesce(_hi_{t}, _longest)"
@@ -50,6 +54,41 @@ def brackets(
     return grouped.select(*keys, DAY, *[F.expr(bracket(t)) for t in tenors])
 
 
+@dataclass(frozen=True)
+class _Least:
+    """How the row of least (or, downward, greatest) maturity and then least symbol is found: aggregates, and the
+    struct (d, sym, px) made of their results, ``d`` negative for downward ones."""
+
+    collected: Callable[[str, bool, str], list[str]]
+    unpacked: Callable[[str, bool], str]
+
+
+def _least_struct(close: str) -> _Least:
+    def collected(name: str, down: bool, where: str) -> list[str]:
+        row = f"named_struct('d', {'-' if down else ''}ttm_days, 'sym', {SYMBOL}, 'px', {close})"
+        return [f"min(CASE WHEN {where} THEN {row} END) AS {name}"]
+
+    return _Least(collected, lambda name, down: name)
+
+
+_SYMBOL_BITS = 40
+
+
+def _least_packed(close: str, kind: str) -> _Least:
+    top = 1 << _SYMBOL_BITS
+    symbol = f"if({SYMBOL} >= 0 AND {SYMBOL} < {top}, {SYMBOL}, raise_error('a symbol is no whole number below 2^{_SYMBOL_BITS}'))"
+
+    def collected(name: str, down: bool, where: str) -> list[str]:
+        packed = f"CASE WHEN {where} THEN {'-' if down else ''}ttm_days * {top}L + {symbol} END"
+        return [f"min({packed}) AS {name}", f"min_by({close}, {packed}) AS {name}_px"]
+
+    def unpacked(name: str, down: bool) -> str:
+        fields = f"'d', shiftright({name}, {_SYMBOL_BITS}), 'sym', CAST({name} & {top - 1}L AS {kind}), 'px', {name}_px"
+        return f"if({name} IS NULL, NULL, named_struct({fields})) AS {name}"
+
+    return _Least(collected, unpacked)
+
+
 def bracket_gaps(term: DataFrame, tenors: Sequence[int] = TENORS, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, day, tenor, side, nearest, gap_days): the sides of tenors that a day has no contract for.
 

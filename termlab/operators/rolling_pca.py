@@ -37,42 +37,39 @@ def rolling_moments(
     """One row per rebalance: (keys, rebalance, day, sigma, cov, corr).
 
     ``sigma`` are population deviations (0 becomes 1); ``cov`` and ``corr`` are
-    row-major square matrices.  Rows are summed once into blocks of
-    gcd(window, every) days, of which every window is a whole number, and a frame
-    over blocks adds them up: a row is read once, not once per window.
+    row-major square matrices.  Rows are reduced once to blocks of gcd(window, every) days, of which
+    every window is a whole number: a row is read once, not once per window.  The covariance of a window is the
+    mean of its blocks' covariances plus the covariance of their means, blocks being equally long.  Both are
+    centred sums, so a level far from 0 costs no digits and a constant return has deviation 0 exactly.
     """
     names = returns(tenors)
     size = len(names)
     step = gcd(window, every)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
 
-    measures = {f"s_{i}": names[i] for i in range(size)}
-    measures |= {f"p_{i}_{j}": f"{names[i]} * {names[j]}" for i, j in pairs}
+    means = {f"m_{i}": f"avg({names[i]})" for i in range(size)}
+    within = {f"c_{i}_{j}": f"covar_pop({names[i]}, {names[j]})" for i, j in pairs}
     blocks = (
         returned.withColumn("_block", F.floor(_row_index(keys) / step))
         .groupBy(*keys, "_block")
-        .agg(F.min(DAY).alias(DAY), *[F.expr(f"sum({x}) AS {m}") for m, x in measures.items()])
+        .agg(F.min(DAY).alias(DAY), *[F.expr(f"{x} AS {m}") for m, x in (means | within).items()])
     )
 
     partition = f"PARTITION BY {', '.join(keys)} " if keys else ""
     frame = f"({partition}ORDER BY _block ROWS BETWEEN {window // step} PRECEDING AND 1 PRECEDING)"
     first_row = f"_block * {step}"
+    total = [f"avg(c_{i}_{j}) OVER {frame} + covar_pop(m_{i}, m_{j}) OVER {frame} AS c_{i}_{j}" for i, j in pairs]
     framed = blocks.select(
         *keys,
         DAY,
         F.expr(f"({first_row} - {window}) DIV {every} AS rebalance"),
         F.expr(f"{first_row} >= {window} AND ({first_row} - {window}) % {every} = 0 AS _due"),
-        *[F.expr(f"sum({m}) OVER {frame} / {window} AS {m}") for m in measures],
+        *[F.expr(x) for x in total],
     ).filter("_due")
 
-    def covariance(i: int, j: int) -> str:
-        i, j = min(i, j), max(i, j)
-        value = f"p_{i}_{j} - s_{i} * s_{j}"
-        return f"greatest({value}, 0D)" if i == j else value
-
     cells = [(i, j) for i in range(size) for j in range(size)]
-    deviations = ", ".join(f"coalesce(nullif(sqrt({covariance(i, i)}), 0D), 1D)" for i in range(size))
-    covariances = ", ".join(covariance(i, j) for i, j in cells)
+    deviations = ", ".join(f"coalesce(nullif(sqrt(c_{i}_{i}), 0D), 1D)" for i in range(size))
+    covariances = ", ".join(f"c_{min(i, j)}_{max(i, j)}" for i, j in cells)
     correlations = ", ".join(f"cov[{i * size + j}] / (sigma[{i}] * sigma[{j}])" for i, j in cells)
     return (
         framed.select(

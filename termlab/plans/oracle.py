@@ -472,22 +472,46 @@ answer(
     "diag",
     f"SELECT curve_id, {rd('median(pc1_var)', 'median_pc1_var', 5)}, count(*) AS n_rebalances FROM diag GROUP BY 1",
 )
-answer(
-    "pca_spectrum_checks",
-    "starts",
-    "SELECT curve_id, rebalance, true AS eigen_equation, true AS unit_length, true AS orthogonal, "
-    "true AS ordered, true AS shares_sum_to_one FROM starts",
+# Without PC1's part the same squaring converges to the projection on PC2.
+stage(
+    "deflated",
+    "pc",
+    f"""SELECT curve_id, rebalance, c, first_value, list_transform(range(36), lambda x: c[x + 1] - first_value * m[x + 1]) AS d
+FROM (SELECT *, {_LAMBDA} AS first_value FROM pc)""",
 )
-answer(
-    "pca_neutrality",
-    "starts",
-    f"SELECT curve_id, rebalance, {DAY}, true AS neutral_standardised, true AS neutral_tradable FROM starts",
+stage(
+    "powers_2",
+    "deflated",
+    f"""SELECT curve_id, rebalance, 0 AS step, d AS m FROM deflated
+UNION ALL
+SELECT curve_id, rebalance, step + 1, list_transform(sq, lambda v: v / ({_TRACE})) FROM (
+  SELECT curve_id, rebalance, step, list_transform(range(36), lambda x: {_PRODUCT}) AS sq FROM powers_2 WHERE step < 40)""",
+)
+stage(
+    "spectrum",
+    "deflated powers_2",
+    f"""SELECT *, CASE WHEN {' + '.join(f'd[{7 * i + 1}]' for i in K)} < 1e-9 THEN 0.0::DOUBLE
+       ELSE {_LAMBDA.replace('c[x', 'd[x')} END AS second_value, {' + '.join(f'c[{7 * i + 1}]' for i in K)} AS power_1,
+       list_sum(list_transform(range(36), lambda x: c[x + 1] * c[x + 1])) AS power_2,
+       list_sum(list_transform(range(36), lambda x: ({_PRODUCT.replace('m[', 'c[')}) * c[x + 1])) AS power_3
+FROM deflated JOIN (SELECT * FROM powers_2 WHERE step = 40) USING (curve_id, rebalance)""",
 )
 answer(
-    "neutrality_summary",
-    "starts",
-    'SELECT curve_id, count(*) AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS std, 0.0::DOUBLE AS min, '
-    "0.0::DOUBLE AS p25, 0.0::DOUBLE AS p50, 0.0::DOUBLE AS p75, 0.0::DOUBLE AS max FROM starts GROUP BY 1",
+    "pca_spectrum_checks",
+    "spectrum",
+    "SELECT curve_id, rebalance, "
+    + ", ".join(
+        rd(e, n, 5)
+        for e, n in [
+            *[(f"power_{k}", f"power_{k}") for k in (1, 2, 3)],
+            ("first_value", "value_1"),
+            ("second_value", "value_2"),
+            ("first_value / power_1", "var_1"),
+            ("second_value / power_1", "var_2"),
+            *[(f"c[{6 * i + j + 1}]", f"rebuilt_{i + 1}_{j + 1}") for i, j in _CELLS],
+        ]
+    )
+    + " FROM spectrum",
 )
 for _space, _v in (("standardised", "e[{0}]"), ("tradable", "e[{0}] * sd[{0}]")):
     _v1 = _v.format(1)
@@ -505,11 +529,40 @@ for _space, _v in (("standardised", "e[{0}]"), ("tradable", "e[{0}] * sd[{0}]"))
         f"SELECT r.*, {', '.join(W)} FROM ret r LEFT JOIN hedge_{_space} h ON h.curve_id = r.curve_id "
         "AND r.i >= 90 AND h.rebalance = (r.i - 90) // 5",
     )
+    stage(
+        f"exposed_{_space}",
+        f"pc hedge_{_space}",
+        f"SELECT p.curve_id, p.rebalance, p.tradingDay, {' + '.join(f'{W[i]} * e[{i + 1}]' for i in K)} AS in_standardised, "
+        f"{' + '.join(f'{W[i]} * e[{i + 1}] * sd[{i + 1}]' for i in K)} AS in_tradable "
+        f"FROM pc p JOIN hedge_{_space} USING (curve_id, rebalance)",
+    )
     answer(
         f"hedge_weights_{_space}",
         f"hedged_{_space}",
         f"SELECT {KEYS}, " + ", ".join(rd(w, w) for w in W) + f" FROM hedged_{_space}",
     )
+answer(
+    "pca_neutrality",
+    "exposed_standardised exposed_tradable",
+    f"SELECT curve_id, rebalance, {text('s.tradingDay', '"tradingDay"')}, "
+    + ", ".join(
+        rd(f"{x}.in_{space}", f"{hedge}_in_{space}")
+        for x, hedge in (("s", "standardised"), ("t", "tradable"))
+        for space in ("standardised", "tradable")
+    )
+    + " FROM exposed_standardised s JOIN exposed_tradable t USING (curve_id, rebalance)",
+)
+_DESCRIBED = {
+    "mean": "avg(x)", "std": "stddev_samp(x)", "min": "min(x)", "max": "max(x)",
+    **{f"p{q}": f"quantile_cont(x, {q / 100})" for q in (25, 50, 75)},
+}
+answer(
+    "neutrality_summary",
+    "exposed_tradable",
+    "SELECT curve_id, count(*) AS n, "
+    + ", ".join(rd(e, n) for n, e in _DESCRIBED.items())
+    + " FROM (SELECT curve_id, in_standardised AS x FROM exposed_tradable) GROUP BY 1",
+)
 answer(
     "hedge_gross_exposure",
     "hedged_tradable",

@@ -372,33 +372,28 @@ def _(p):
     return p.diagnostics
 
 
-@query("pca_spectrum_checks", panel=StagedPanel)
+@query("pca_spectrum_checks", digits=5, panel=StagedPanel)
 def _(p):
-    """Every component: eigen equation, unit length, orthogonality, order, total share."""
+    """The whole spectrum by value: power sums of all eigenvalues, the two largest, and the matrix built again from all components."""
     size = len(p.tenors)
     span = range(size)
-
-    def inner(u: list[str], v: list[str]) -> str:
-        return "(" + " + ".join(f"{a} * {b}" for a, b in zip(u, v, strict=True)) + ")"
-
-    vectors = [[f"vectors[{i * size + a}]" for a in span] for i in span]
-    matrix = [[f"corr[{a * size + b}]" for b in span] for a in span]
-    shares = [f"var_{i + 1}" for i in span]
-    checks = {
-        "eigen_equation": [
-            f"abs({inner(matrix[a], vectors[i])} - values[{i}] * {vectors[i][a]}) < 1e-9D" for i in span for a in span
-        ],
-        "unit_length": [f"abs({inner(v, v)} - 1) < 1e-9D" for v in vectors],
-        "orthogonal": [f"abs({inner(vectors[i], vectors[j])}) < 1e-9D" for i in span for j in range(i)],
-        "ordered": [f"values[{i}] >= values[{i + 1}]" for i in range(size - 1)],
+    powers = {f"power_{k}": " + ".join(f"pow(values[{i}], {k})" for i in span) for k in (1, 2, 3)}
+    rebuilt = {
+        f"rebuilt_{a + 1}_{b + 1}": " + ".join(
+            f"values[{i}] * vectors[{i * size + a}] * vectors[{i * size + b}]" for i in span
+        )
+        for a in span
+        for b in range(a, size)
     }
+    shares = rolling_pca.explained_variance(p.components, p.tenors, p.keys)
     held = p.components.selectExpr(
-        *p.keys, "rebalance", *[f"{' AND '.join(tests)} AS {name}" for name, tests in checks.items()]
+        *p.keys,
+        "rebalance",
+        *[f"{x} AS {name}" for name, x in (powers | rebuilt).items()],
+        "values[0] AS value_1",
+        "values[1] AS value_2",
     )
-    sums = rolling_pca.explained_variance(p.components, p.tenors, p.keys).selectExpr(
-        *p.keys, "rebalance", f"abs({' + '.join(shares)} - 1) < 1e-9D AS shares_sum_to_one"
-    )
-    return held.join(sums, [*p.keys, "rebalance"])
+    return held.join(shares.select(*p.keys, "rebalance", "var_1", "var_2"), [*p.keys, "rebalance"])
 
 
 @query("pca_var_median", digits=5)
@@ -410,20 +405,20 @@ def _(p):
 
 @query("pca_neutrality", panel=StagedPanel)
 def _(p):
-    """Neither hedge has any exposure to PC1 in its own space."""
-    sides = []
-    for space in ("standardised", "tradable"):
-        checked = rolling_pca.neutrality(p.components, p.hedge(space), p.tenors, p.keys, space)
-        sides.append(
-            checked.select(*p.keys, "rebalance", DAY, (F.abs("neutrality") < 1e-9).alias(f"neutral_{space}"))
-        )
-    return sides[0].join(sides[1], [*p.keys, "rebalance", DAY])
+    """The exposure of either hedge to PC1 in its own space, which rounds to 0, and that of the other space's, which does not."""
+    out = p.components.select(*p.keys, "rebalance", DAY)
+    for hedge in ("standardised", "tradable"):
+        for space in ("standardised", "tradable"):
+            checked = rolling_pca.neutrality(p.components, p.hedge(hedge), p.tenors, p.keys, space)
+            name = f"{hedge}_in_{space}"
+            out = out.join(checked.select(*p.keys, "rebalance", F.col("neutrality").alias(name)), [*p.keys, "rebalance"])
+    return out
 
 
 @query("neutrality_summary", panel=StagedPanel)
 def _(p):
-    """Distribution of the exposure; all of it rounds to 0."""
-    checked = rolling_pca.neutrality(p.components, p.hedge("tradable"), p.tenors, p.keys)
+    """Distribution of the tradable hedge's exposure to PC1 of standardised returns."""
+    checked = rolling_pca.neutrality(p.components, p.hedge("tradable"), p.tenors, p.keys, "standardised")
     return rolling_pca.describe_neutrality(checked, p.keys)
 
 

@@ -269,6 +269,55 @@ def test_salted_join_is_complete(spark):
     assert joined.filter("x > m").count() == 0
 
 
+def moments_of(spark, rows, **kw):
+    names = [f"r_px_{t}d" for t in (30, 60)]
+    df = spark.createDataFrame([(day(i), *map(float, r)) for i, r in enumerate(rows)], f"tradingDay date, {names[0]} double, {names[1]} double")
+    return rolling_pca.rolling_moments(df, (30, 60), **kw).orderBy("rebalance").collect()
+
+
+def test_a_constant_return_has_no_deviation(spark):
+    got = moments_of(spark, [(0.1, 0.3)] * 40, window=20, every=5)
+    assert len(got) == 4 and all(r.sigma == [1.0, 1.0] and r.cov == [0.0] * 4 for r in got)
+
+
+def test_moments_far_from_zero(spark):
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(60, 2)) @ np.array([[1.0, 0.6], [0.0, 0.8]])
+    near, far = (moments_of(spark, rows + shift, window=20, every=5) for shift in (0.0, 1e6))
+    for k, (a, b) in enumerate(zip(near, far, strict=True)):
+        expected = np.corrcoef(rows[5 * k : 5 * k + 20].T)
+        assert a.corr == pytest.approx(expected.ravel().tolist(), abs=1e-12)
+        assert b.corr == pytest.approx(a.corr, abs=1e-9)
+
+
+def test_packed_symbols_bracket_as_text_does(spark):
+    rng = random.Random(8)
+    rows = [(day(i % 5), s, rng.choice([20, 30, 45, 60, 90]), rng.random()) for i in range(5) for s in range(12)]
+    rows += [(day(9), 3, 100, 1.0), (day(9), (1 << 40) - 1, 100, 2.0)]
+    df = spark.createDataFrame(rows, "tradingDay date, symbol bigint, ttm_days int, close double")
+    text = df.withColumn("symbol", F.lpad(F.col("symbol").cast("string"), 14, "0"))
+    packed = maturity.brackets(df, (10, 30, 50, 200)).orderBy("tradingDay").collect()
+    plain = maturity.brackets(text, (10, 30, 50, 200)).orderBy("tradingDay").collect()
+    for a, b in zip(packed, plain, strict=True):
+        for t in (10, 30, 50, 200):
+            x, y = a[f"b_{t}"].asDict(), b[f"b_{t}"].asDict()
+            assert x == y | {"sym1": int(y["sym1"]), "sym2": int(y["sym2"])}
+    assert "SortAggregate" not in maturity.brackets(df, (30,))._jdf.queryExecution().executedPlan().toString()
+    for bad in (-1, 1 << 40):
+        with pytest.raises(Exception, match="whole number below"):
+            maturity.brackets(df.withColumn("symbol", F.lit(bad)), (30,)).collect()
+
+
+def test_bracket_gaps_are_what_strict_mode_stops_on(spark):
+    rows = [(day(0), "A", 20, 1.0), (day(0), "B", 70, 1.0), (day(1), "A", 40, 1.0), (day(1), "B", 50, 1.0)]
+    df = spark.createDataFrame(rows, "tradingDay date, symbol string, ttm_days int, close double")
+    got = maturity.bracket_gaps(df, (30, 60)).orderBy("tenor").collect()
+    assert [tuple(r) for r in got] == [(day(1), 30, "below", 40, 10), (day(1), 60, "above", 50, 10)]
+    maturity.brackets(df.where(F.col("tradingDay") == day(0)), (30, 60), clamp=False).collect()
+    with pytest.raises(Exception, match="no contract on one side"):
+        maturity.brackets(df, (30, 60), clamp=False).collect()
+
+
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([("a", None)], "g string, v double")
     assert quantiles.nearest_quantiles(empty, "v", {"p": 0.5}, ["g"]).count() == 0
@@ -430,6 +479,48 @@ def test_multipliers_scale_and_boost(spark):
     assert scaled.agg(F.avg("raw_scale")).collect()[0][0] == pytest.approx(1.25)
 
 
+def test_one_frame_of_states_equals_the_tables_joined(spark):
+    """Days without a rebalance, without spot, without carry, and cross-section days without profit."""
+    rng = random.Random(5)
+    frames = {"pnl": [], "diagnostics": [], "cross": [], "carry": [], "spot": []}
+    for curve in ("x", "y"):
+        for i in range(120):
+            d = day(i)
+            frames["cross"].append((curve, d, rng.random() if i % 13 else None, rng.random()))
+            if i % 11 == 10:
+                continue
+            frames["pnl"].append((curve, d, rng.gauss(0, 0.01)))
+            if i % 3 == 0:
+                frames["diagnostics"].append((curve, d, rng.random() if i % 9 else None, rng.random()))
+            if i % 17:
+                frames["carry"].append((curve, d, rng.gauss(0, 1)))
+            if i % 7:
+                frames["spot"].append((curve, d, 10 + rng.random()))
+        frames["spot"].append((curve, day(500), 12.0))
+    columns = {
+        "pnl": "strategy_ret double", "diagnostics": "rotation double, pc1_var double",
+        "cross": "std_r double, max_abs_r double", "carry": "port_carry double", "spot": "spot double",
+    }
+    t = {n: spark.createDataFrame(rows, f"c string, tradingDay date, {columns[n]}") for n, rows in frames.items()}
+    # The rolling deviation needs 21 values in a row of 21 profit days, which the gaps in carry would never give.
+    full = t["pnl"].select("c", "tradingDay", (F.col("strategy_ret") * 3).alias("port_carry"))
+    for carry in (full, t["carry"].unionByName(full.where("tradingDay > '2024-02-15'")).dropDuplicates(["c", "tradingDay"])):
+        labelled = sizing.labelled_days(t["pnl"], t["diagnostics"], t["cross"], carry, t["spot"], ["c"])
+        matrix = sizing.state_matrix(
+            sizing.pca_states(t["pnl"], t["diagnostics"], ["c"]),
+            sizing.dispersion_states(t["cross"], ["c"]),
+            sizing.carry_states(t["pnl"], carry, ["c"]),
+            sizing.spot_states(t["pnl"], t["spot"], ["c"]),
+            ["c"],
+        )
+        got = sizing.matrix_rows(labelled, ["c"]).select(*matrix.columns)
+        assert sorted(got.collect(), key=str) == sorted(matrix.collect(), key=str)
+        strategy = sizing.sized_strategy(t["pnl"], sizing.state_sizing(matrix, cap=2.0), ["c"])
+        quick = sizing.strategy_days(labelled, ["c"], cap=2.0).select(*strategy.columns)
+        assert sorted(quick.collect(), key=str) == sorted(strategy.collect(), key=str)
+        assert matrix.count() > 10 and strategy.count() > 10
+
+
 def test_sized_strategy_fills_states_not_returns(spark):
     pnl = pnl_frame(spark, [0.1, 0.2, 0.3, 0.4]).union(pnl_frame(spark, [0.5, 0.6], "y"))
     states = spark.createDataFrame([("x", day(1), "S", 2.0)], "c string, tradingDay date, s_state string, scale double")
