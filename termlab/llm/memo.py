@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import os
-import re
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 # The library's own threads would compete with the other tasks of the machine.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -21,11 +20,17 @@ from tokenizers import Tokenizer  # noqa: E402
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 6 << 20
+KEPT_BYTES = 64 << 20  # of remembered words, about 300,000
+#: What a remembered word takes besides its ids: a string, a number and their place in a table.
+WORD_BYTES = 200
 
+#: Marks behind a plain letter or digit and before white space, which the tokenizer parts from it anyway.
+MARKS = r"([a-z0-9À-ÖØ-öø-ÿ])([.,!?;:%#$&*]+)(\s|$)"
+ASCII_LETTERS = "^[a-z]+$"
 #: Words of letters of ASCII and Latin-1 alone.  To these the tokenizer does nothing but lower-casing before it
 #: spells their bytes as printable characters and merges those, so the steps before can be left out.
-PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+PLAIN_LETTERS = "^[a-zÀ-ÖØ-öø-ÿ]+$"
 
 
 def spelling() -> dict[int, int]:
@@ -38,14 +43,8 @@ def spelling() -> dict[int, int]:
 SPELT = spelling()
 
 
-def _stem(word: str) -> tuple[str, str]:
-    """A word without the comma or full stop behind its last ASCII letter or digit, and that mark.
-
-    The tokenizer parts letters from marks, so the mark is a word of its own to it.
-    """
-    if len(word) > 1 and word[-1] in ",." and word[-2] in "abcdefghijklmnopqrstuvwxyz0123456789":
-        return word[:-1], word[-1]
-    return word, ""
+def _matching(words: pa.Array, pattern: str) -> list[bool]:
+    return pc.match_substring_regex(words, pattern).to_pylist()
 
 
 class WordEncoder:
@@ -53,52 +52,56 @@ class WordEncoder:
 
     The vocabulary drops white space and its words end at it, so the ids of a text are those of the
     stretches between ASCII white space in a row.  It drops case too, so A to Z are lower-cased
-    first.  Arrow cuts a slice of texts into stretches and numbers the distinct ones; those are looked up
-    among the ones met before, and new ones go to the library, whose answer is the definition.  Two
-    generations of ``keep`` stretches at most are held, so memory is bounded and what is common stays.
+    first, and it parts letters from marks, so the marks behind a word are made a stretch of their own.  Arrow cuts a
+    slice of texts into stretches and numbers the distinct ones; those met before are remembered by number, with all
+    ids in one array, and new ones go to the library, whose answer is the definition.  When the remembered words take
+    ``keep`` bytes, all but those of the slice at hand are forgotten, so memory is bounded and what is common stays.
     """
 
-    def __init__(self, path: str, keep: int = 200_000) -> None:
+    def __init__(self, path: str, keep: int = KEPT_BYTES) -> None:
         self._library = Tokenizer.from_file(path)
         self._library.no_padding()
         self._library.no_truncation()
         self._keep = keep
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _find(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each of ``words``, none of which is in the young generation."""
-        found: dict[str, bytes] = {"": b""}
-        new: dict[str, None] = {}
-        for word in words:
-            if (known := self._old.get(word)) is not None:
-                found[word] = known
-                continue
-            for part in _stem(word):
-                known = self._young.get(part)
-                known = self._old.get(part) if known is None else known
-                if known is None:
-                    new[part] = None
-                else:
-                    found[part] = known
-        new.pop("", None)
-        plain = [w for w in new if PLAIN.fullmatch(w)]
-        other = [w for w in new if not PLAIN.fullmatch(w)]
-        encoded = self._library.encode_batch_fast(other, add_special_tokens=False)
-        for word, ids in zip(other, (x.ids for x in encoded), strict=True):
-            found[word] = struct.pack(f"<{len(ids)}I", *ids)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: dict[str, int] = {}
+        self._length = np.zeros(0, np.int64)
+        self._ids = np.zeros(0, "<u4")
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and all ids in a row."""
+        listed, plain = words.to_pylist(), _matching(words, PLAIN_LETTERS)
         merge = self._library.model.tokenize
-        for word in plain:
-            ids = [t.id for t in merge(word.lower().encode().decode("latin-1").translate(SPELT))]
-            found[word] = struct.pack(f"<{len(ids)}I", *ids)
-        for word in words:
-            if word not in found:
-                stem, mark = _stem(word)
-                found[word] = found[stem] + found[mark]
-        if len(self._young) + len(found) > self._keep:
-            self._old, self._young = self._young, {}
-        self._young.update(found)
-        return found
+        other = [w for w, letters in zip(listed, plain, strict=True) if not letters]
+        rest = iter(self._library.encode_batch_fast(other, add_special_tokens=False))
+        found = []
+        for word, letters, ascii_letters in zip(listed, plain, _matching(words, ASCII_LETTERS), strict=True):
+            if ascii_letters:
+                found.append([t.id for t in merge(word)])
+            elif letters:
+                found.append([t.id for t in merge(word.lower().encode().decode("latin-1").translate(SPELT))])
+            else:
+                found.append(next(rest).ids)
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        return length, np.fromiter(chain.from_iterable(found), "<u4", int(length.sum()))
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The numbers under which distinct ``words`` are remembered, new ones included."""
+        listed = words.to_pylist()
+        at = np.fromiter(map(self._number.get, listed, repeat(-1)), np.int64, len(listed))
+        missing = np.flatnonzero(at < 0)
+        if len(missing) and len(self._number) * WORD_BYTES + self._ids.nbytes > self._keep:
+            self._forget()
+            missing = np.arange(len(listed))
+        if len(missing):
+            length, ids = self._encode_words(words.take(pa.array(missing)))
+            at[missing] = len(self._length) + np.arange(len(missing))
+            self._number.update(zip([listed[i] for i in missing.tolist()], at[missing].tolist(), strict=True))
+            self._length = np.concatenate([self._length, length])
+            self._ids = np.concatenate([self._ids, ids])
+        return at
 
     def encode_texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[int]]]:
         """For slices of non-null ``texts``: the first row, all ids in a row, and where each text's end.
@@ -113,22 +116,17 @@ class WordEncoder:
             part = texts.take(pa.array(np.arange(start, upto))).cast(pa.large_string())
             # The special tokens are spelt in lower case only.
             part = pc.if_else(pc.match_substring(part, "<|"), part, pc.ascii_lower(part))
+            part = pc.replace_substring_regex(part, pattern=MARKS, replacement=r"\1 \2\3")
             split = pc.ascii_split_whitespace(part)
             numbers = split.flatten().dictionary_encode()
-            words = numbers.dictionary.to_pylist()
-            known = list(map(self._young.get, words))
-            if None in known:
-                found = self._find([w for w, k in zip(words, known, strict=True) if k is None])
-                known = [found[w] if k is None else k for w, k in zip(words, known, strict=True)]
-            index = numbers.indices.to_numpy(zero_copy_only=False)
-            length = np.fromiter(map(len, known), np.int64, len(known)) // 4
-            first = np.cumsum(length) - length
-            counts = length[index]
+            at = self._places(numbers.dictionary)
+            index = at[numbers.indices.to_numpy(zero_copy_only=False)]
+            first = np.cumsum(self._length) - self._length
+            counts = self._length[index]
             ends = np.concatenate([[0], np.cumsum(counts)])
             place = np.repeat(first[index] - ends[:-1], counts) + np.arange(ends[-1])
-            ids = np.frombuffer(b"".join(known), "<u4")[place]
             offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-            yield start, ids, ends[offsets].tolist()
+            yield start, self._ids[place], ends[offsets].tolist()
             start = upto
 
     def encode(self, text: str) -> bytes:

@@ -307,7 +307,7 @@ def test_close_values_in_crowded_blocks(spark, crowd):
 
 def test_word_encoder_gives_the_library_ids():
     texts = random_texts(4000, 3) + [t or "" for _, t in ROWS]
-    encoder = memo.WordEncoder(memo.WORD_BPE, keep=500)
+    encoder = memo.WordEncoder(memo.WORD_BPE, keep=100_000)
     for first, ids, ends in encoder.encode_texts(pa.array(texts)):
         for i in range(len(ends) - 1):
             expected = WORD.encode(texts[first + i], add_special_tokens=False).ids
