@@ -6,8 +6,9 @@ columns, whatever their names, never meet its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,6 +42,25 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(start, rows)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidied(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work`` for ``mapInArrow`` that gives the memory of its batches back at the end.
+
+    Spark keeps Python workers for later tasks, and Arrow keeps what its buffers took.
+    """
+
+    @wraps(work)
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 @contextmanager
 def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Python tasks started within get that many rows at a time: whole texts make large batches."""

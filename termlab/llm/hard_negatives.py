@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlab.llm.common import short_batches, shuffle_tasks
+from termlab.llm.common import short_batches, shuffle_tasks, tidied
 from termlab.sources.tables import stage
 
 TILE = 4096  # rows of a tile
@@ -211,6 +211,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def nearest_of_label(blocks: DataFrame, tiles: DataFrame, n: int) -> DataFrame:
     """``uid, positive_uid, positive_id, positive_score``: an anchor's first ``n`` other rows of its label."""
 
+    @tidied
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, block, tile, columns in _pairs(batches):
             found = [[], [], [], []]
@@ -240,6 +241,7 @@ def nearest_of_label(blocks: DataFrame, tiles: DataFrame, n: int) -> DataFrame:
 def in_windows(blocks: DataFrame, tiles: DataFrame, n: int, low: int, high: int) -> DataFrame:
     """For each anchor and positive the first ``n`` rows of other labels with low * p <= 100 * score <= high * p."""
 
+    @tidied
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, block, tile, columns in _pairs(batches):
             positives = batch.column("a_positives")[i].as_py()

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlab.llm.common import short_batches
+from termlab.llm.common import short_batches, tidied
 from termlab.sources.tables import stage
 
 HELD = 200_000  # distinct words a task counts before it hands them on
@@ -47,6 +47,7 @@ def word_counts(
     whenever it holds ``HELD`` words, so its memory is bounded.  The counts are staged.
     """
 
+    @tidied
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
 

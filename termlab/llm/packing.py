@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlab.llm.common import numbered, short_batches, texts_of
+from termlab.llm.common import numbered, short_batches, texts_of, tidied
 from termlab.llm.memo import WORD_BPE, crc32, word_encoder
 from termlab.sources.tables import stage
 
@@ -192,6 +192,7 @@ def pieces(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 0, capacity
     """
     end = int(end_id).to_bytes(4, "little")
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         for batch in batches:

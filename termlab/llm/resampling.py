@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlab.llm.common import numbered, short_batches
+from termlab.llm.common import numbered, short_batches, tidied
 from termlab.llm.lexicon import frequent, slices, spaced, word_counts
 from termlab.sources.tables import stage
 
@@ -157,6 +157,7 @@ class Hashing:
 def bucket_counts(df: DataFrame, hashing: Hashing) -> dict[int, int]:
     """How many features of all texts fall into each bucket.  A task hands on one row per bucket at most."""
 
+    @tidied
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(hashing.buckets, np.int64)
         for batch in batches:
@@ -214,6 +215,7 @@ def resample(
     hashing = Hashing(longest_run, buckets, b" ".join(w for w, _ in known))
     gain = gains(bucket_counts(docs, hashing), bucket_counts(target, hashing), buckets)
 
+    @tidied
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_features, weight, n_words = [], [], []

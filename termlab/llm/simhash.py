@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlab.llm.common import short_batches, text_hash, texts_of
+from termlab.llm.common import short_batches, text_hash, texts_of, tidied
 from termlab.llm.components import components
 from termlab.sources.tables import stage
 
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """
     texts = texts_of(docs).withColumn("text_hash", text_hash())
 
+    @tidied
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([simhash(t, width) for t in batch.column("text").to_pylist()], np.uint64)

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlab.llm.common import small_batches, text_hash, texts_of
+from termlab.llm.common import small_batches, text_hash, texts_of, tidied
+from termlab.sources.tables import stage
 
 GRADES = 3
 SAMPLE = 20_000  # labelled documents a model is fitted on, at most
@@ -63,7 +64,7 @@ class OrdinalModel:
         for word in set(text.lower().encode().split()):
             known = met.get(word)
             if known is None:
-                if len(met) > 200_000:
+                if len(met) > 50_000:
                     met.clear()
                 known = met[word] = tuple(x for x in _of_word(word) if x in self.weights)
             if known:
@@ -133,10 +134,12 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    rows = texts_of(docs).join(F.broadcast(known), "doc_id")
-    # Reduced in each task first: a doc_id with a large part of the rows moves one text from each.
-    least = F.min(F.struct(text_hash().alias("hash"), "text"))
-    return rows.groupBy("doc_id", "toxic").agg(least.alias("x")).select("doc_id", "toxic", "x.text")
+    rows = texts_of(docs).join(F.broadcast(known), "doc_id").withColumn("hash", text_hash())
+    # Only numbers are aggregated.  One row per labelled id, so the bound of the sample bounds the broadcast too.
+    least = F.broadcast(rows.groupBy("doc_id").agg(F.min("hash").alias("hash")))
+    chosen = rows.join(least, ["doc_id", "hash"])
+    # Rows alike in both are one document: any of them has the text.
+    return chosen.dropDuplicates(["doc_id", "hash"]).select("doc_id", "toxic", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> OrdinalModel:
@@ -146,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     label, in three documents at least, come to the driver with the sample's rows.
     """
 
+    @tidied
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = [sorted(features(t)) for t in batch.column("text").to_pylist()]
@@ -155,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
             )
 
     rows = labelled(docs, labels, sample).mapInArrow(listed, "doc_id bigint, toxic int, features array<binary>")
-    sizes = {r["toxic"]: r["n"] for r in labelled(docs, labels, sample).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = stage(rows, "labelled")
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return OrdinalModel()
@@ -180,9 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
                 [batch.column("toxic"), pa.array(kept, pa.list_(pa.int32()))], names=["toxic", "kept"]
             )
 
-    got = rows.mapInArrow(encoded, "toxic int, kept array<int>").orderBy("toxic", "kept").toPandas()
-    sparse = [np.asarray(r, np.int64) for r in got["kept"]]
-    toxic = got["toxic"].to_numpy()
+    got = rows.mapInArrow(encoded, "toxic int, kept array<int>").toPandas()
+    # In an order of their own, so that sums don't depend on which task ended first.
+    ordered = sorted(zip(got["toxic"].tolist(), (list(r) for r in got["kept"]), strict=True))
+    sparse = [np.asarray(r, np.int64) for _, r in ordered]
+    toxic = np.array([t for t, _ in ordered])
     weight = np.array([typical[r].sum() for r in sparse])
     cuts = np.quantile(weight[toxic == 1], [(i + 1) / GRADES for i in range(GRADES - 1)])
     grades = np.where(toxic == 1, 1 + (weight[:, None] > cuts).sum(axis=1), 0)
@@ -198,8 +205,9 @@ def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """
     texts = texts_of(docs).withColumn("text_hash", F.xxhash64("text"))
 
+    @tidied
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             above = [model.above(model.score(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -226,8 +234,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with all their columns, without the rows whose text is toxic.  Moves no row."""
     model = train(docs, labels)
 
+    @tidied
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("text").to_pylist()
             yield batch.filter(pa.array([model.above(model.score(t or ""))[0] < 0.5 for t in texts], pa.bool_()))
 

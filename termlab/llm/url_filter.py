@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termlab.llm.common import tidied
 from termlab.llm.lexicon import frequent, spaced, word_counts
 from termlab.sources.tables import stage
 
@@ -174,6 +175,7 @@ def token_counts(urls: DataFrame, rules: Rules, unigrams: Unigrams) -> DataFrame
     A task counts before anything moves and hands its counts on whenever it holds many.
     """
 
+    @tidied
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, held = Tokens(unigrams), {}
 
@@ -230,6 +232,7 @@ def judge(
     unigrams = Unigrams.of(frequent(word_counts(own_texts(whole), "text", _words, LONGEST, SHORTEST), lexicon))
     model = train(urls, known, unigrams, tokens)
 
+    @tidied
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Tokens(unigrams)
         for batch in batches:
