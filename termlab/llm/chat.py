@@ -16,11 +16,12 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlab.llm.common import small_batches
+from termlab.llm.common import numbered, small_batches, tidied
 from termlab.llm.memo import Tokenizer
+from termlab.sources.tables import stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 HEAD, SEP, END = 50257, 50258, 50259
@@ -52,30 +53,15 @@ def library(path: str) -> Tokenizer:
     return tokenizer
 
 
-def encoded_turns(conversations: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
-    """``conv_id, turn, role, text, role_ids, text_ids``: both segments of each row, escaped and encoded apart."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library(tokenizer)
-        for batch in small_batches(batches):
-            ids = []
-            for column in ("role", "text"):
-                texts = [escape(t) for t in batch.column(column).to_pylist()]
-                found = [x.ids for x in encoder.encode_batch_fast(texts, add_special_tokens=False)]
-                ids.append(pa.array(found, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *ids], names=[*batch.schema.names, "role_ids", "text_ids"]
-            )
-
+def ordered_turns(conversations: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text, position``: rows numbered over the whole table by conversation, turn (nulls first), role and text."""
     turns = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
         F.col("turn").cast("bigint").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    return turns.mapInArrow(
-        encode, "conv_id bigint, turn bigint, role string, text string, role_ids array<int>, text_ids array<int>"
-    )
+    return numbered(turns, ["conv_id", "turn", "role", "text"], "position")
 
 
 def splice(roles: list[list[int]], texts: list[list[int]], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,38 +82,57 @@ def splice(roles: list[list[int]], texts: list[list[int]], learn: list[bool]) ->
     return ids, np.cumsum(step)[:-1].astype(bool)
 
 
+SAMPLES = "conv_id bigint, position bigint, ids array<int>, mask array<boolean>, n bigint"
+STRETCH = 10_000  # turns whose lengths are summed up in one window
+
+
 def format_conversations(
     conversations: DataFrame, tokenizer: str = BYTE_BPE, learnt_role: str = "assistant"
 ) -> DataFrame:
-    """``conv_id, ids, mask``: one training sample per conversation.
+    """``conv_id, position, start, ids, mask``: the training sample of each conversation, one row per turn.
 
+    A sample is its conversation's ``ids`` in order of ``position``; ``start`` is how many ids of it come before the row.
     ``mask`` marks the texts of ``learnt_role`` with their end marks.  Rows are ordered by turn (nulls
     first), then by role and text; repeated rows are turns of their own.  Null roles and texts are empty, and
-    rows with a null conv_id make up one conversation.  A conversation is one sample and meets in one task;
-    so many of them as there may be are spread over all.
+    rows with a null conv_id make up one conversation.  An empty table gives no rows.
+
+    No task holds a conversation: turns are numbered by a sort that splits long ones, encoded wherever they are, and
+    ``start`` is a running sum over stretches of ``STRETCH`` turns and then within them.
     """
-    turns = encoded_turns(conversations, tokenizer)
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "role_ids", "text_ids"))).alias("turns")
-    samples = turns.groupBy("conv_id").agg(ordered).select(
-        "conv_id", F.col("turns.role").alias("roles"), F.col("turns.role_ids").alias("role_ids"), F.col("turns.text_ids").alias("text_ids")
-    )
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = library(tokenizer)
         for batch in small_batches(batches):
-            made = [
-                splice(row["role_ids"], row["text_ids"], [r == learnt_role for r in row["roles"]])
-                for row in batch.select(["roles", "role_ids", "text_ids"]).to_pylist()
-            ]
+            roles = batch.column("role").to_pylist()
+            parts = []
+            for texts in (roles, batch.column("text").to_pylist()):
+                found = encoder.encode_batch_fast([escape(t) for t in texts], add_special_tokens=False)
+                parts.append([x.ids for x in found])
+            made = [splice([r], [t], [x == learnt_role]) for r, t, x in zip(*parts, roles, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("conv_id"),
+                    batch.column("position"),
                     pa.array([i for i, _ in made], pa.list_(pa.int32())),
                     pa.array([m for _, m in made], pa.list_(pa.bool_())),
+                    pa.array([len(i) for i, _ in made], pa.int64()),
                 ],
-                names=["conv_id", "ids", "mask"],
+                names=["conv_id", "position", "ids", "mask", "n"],
             )
 
-    return samples.mapInArrow(assemble, "conv_id bigint, ids array<int>, mask array<boolean>")
+    turns = ordered_turns(conversations).select("conv_id", "position", "role", "text")
+    turns = stage(turns.mapInArrow(tidied(assemble), SAMPLES), "turns").withColumn("stretch", F.expr(f"position div {STRETCH}"))
+    sums = turns.groupBy("conv_id", "stretch").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        F.col("conv_id").alias("its_id"), F.col("stretch").alias("its_stretch"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")
+    )
+    # Most stretches hold many whole conversations, so they are dealt by both.
+    order = Window.partitionBy("conv_id", "stretch").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    brief = turns.select("conv_id", "stretch", "position", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("within"))
+    same = F.col("conv_id").eqNullSafe(F.col("its_id")) & (F.col("stretch") == F.col("its_stretch"))
+    starts = brief.join(sums, same).select(F.col("position").alias("at"), (F.col("before") + F.col("within")).alias("start"))
+    return turns.join(starts, F.col("position") == F.col("at")).select("conv_id", "position", "start", "ids", "mask")
 
 
 def parse(ids: np.ndarray, mask: np.ndarray, decoder: Tokenizer) -> tuple[list[tuple[str, str]], str, str]:
@@ -151,28 +156,61 @@ def parse(ids: np.ndarray, mask: np.ndarray, decoder: Tokenizer) -> tuple[list[t
     return [(r, t) for r, t in turns], "".join(learnt), "".join(written)
 
 
+class _Digest:
+    """Running digests of one conversation."""
+
+    def __init__(self) -> None:
+        self.n_turns = self.loss_chars = self.formatted_chars = 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: np.ndarray, mask: np.ndarray, decoder: Tokenizer) -> None:
+        turns, learnt, written = parse(ids, mask, decoder)
+        self.n_turns += len(turns)
+        for role, text in turns:
+            self.turns.update(f"{role}\n{text}\n".encode())
+        self.loss_chars += len(learnt)
+        self.loss.update(learnt.encode())
+        self.formatted_chars += len(written)
+
+    def row(self) -> tuple:
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars
+
+
+DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+
+
 def read_back(samples: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
-    """Digests of :func:`format_conversations`, decoded from its ids and masks."""
+    """Digests of each conversation of :func:`format_conversations`, decoded from its ids and masks.
 
-    def digest(text: str) -> str:
-        return hashlib.sha256(text.encode()).hexdigest()
+    A digest runs over a conversation from its first turn to its last, so one task reads it, but a
+    batch of turns at a time: memory doesn't grow with the conversation.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = library(tokenizer)
-        for batch in batches:
-            out: dict[str, list] = {"n_turns": [], "turns_sha256": [], "loss_chars": [], "loss_sha256": [], "formatted_chars": []}
-            for ids, mask in zip(batch.column("ids"), batch.column("mask"), strict=True):
-                turns, learnt, written = parse(
-                    ids.values.to_numpy(), mask.values.to_numpy(zero_copy_only=False), decoder
-                )
-                out["n_turns"].append(len(turns))
-                out["turns_sha256"].append(digest("".join(f"{r}\n{t}\n" for r, t in turns)))
-                out["loss_chars"].append(len(learnt))
-                out["loss_sha256"].append(digest(learnt))
-                out["formatted_chars"].append(len(written))
-            yield pa.RecordBatch.from_pydict({"conv_id": batch.column("conv_id"), **out})
-
-    return samples.mapInArrow(
-        read,
-        "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
-    )
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        current, digest, done = None, None, []
+
+        def handed() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [()] * len(kinds)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in small_batches(batches):
+            for conv_id, ids, mask in zip(
+                batch.column("conv_id").to_pylist(), batch.column("ids"), batch.column("mask"), strict=True
+            ):
+                if digest is None or conv_id != current:
+                    if digest:
+                        done.append((current, *digest.row()))
+                    current, digest = conv_id, _Digest()
+                digest.add(ids.values.to_numpy(), mask.values.to_numpy(zero_copy_only=False), decoder)
+            yield handed()
+        if digest:
+            done.append((current, *digest.row()))
+        yield handed()
+
+    rows = samples.select("conv_id", "position", "ids", "mask")
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    return dealt.mapInArrow(tidied(read), DIGESTS)
