@@ -1,8 +1,8 @@
 """Packing token sequences by patterns of few lengths, fitted by non-negative least squares.
 
 The corpus is summed up as a histogram of piece lengths, at most ``capacity`` numbers,
-whatever its size.  On the driver the plan is made from that histogram alone: patterns of two or
-three length bins that fill a sequence are fitted to it, their counts are rounded down, and what is
+whatever its size.  On the driver the plan is made from that histogram alone: patterns that fill a sequence, of up to
+three length bins or of one or two bins many times over, are fitted to it, their counts are rounded down, and what is
 left is packed best fit first into the gaps and new sequences.  Back in Spark each
 piece finds its place by its rank among the pieces of its length.
 """
@@ -10,7 +10,7 @@ piece finds its place by its rank among the pieces of its length.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator, Mapping
+from collections.abc import Collection, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -28,11 +28,10 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-7) -> np.ndarray:
     """The x >= 0 of least ``|a x - b|``, by active sets (Lawson and Hanson)."""
     n = a.shape[1]
-    gram, right = a.T @ a, a.T @ b
     x, active = np.zeros(n), np.zeros(n, bool)
-    limit = tolerance * max(1.0, float(np.abs(right).max(initial=0)))
+    limit = tolerance * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(3 * a.shape[0] + 10):
-        gain = right - gram @ x
+        gain = a.T @ (b - a @ x)
         gain[active] = -np.inf
         j = int(np.argmax(gain)) if n else 0
         if not n or gain[j] <= limit:
@@ -40,7 +39,7 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-7) -> np.ndarray:
         active[j] = True
         while True:
             at = np.flatnonzero(active)
-            z = np.linalg.lstsq(gram[np.ix_(at, at)], right[at], rcond=None)[0]
+            z = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
             if (z > 0).all():
                 break
             low = z <= 0
@@ -67,6 +66,25 @@ def patterns(n_bins: int) -> list[tuple[int, ...]]:
     return found
 
 
+def repeated(n_bins: int, some: Collection[int]) -> list[tuple[int, ...]]:
+    """One or two of the bins ``some``, four pieces or more in all, that fill ``n_bins`` if pieces are as long as their bin's middle.
+
+    Twice the middle of bin b is 2b - 1, so a pattern's bins sum to 2 ``n_bins`` or one less on that scale.
+    """
+    found = set()
+    middles = sorted(2 * b - 1 for b in some)
+    for total in (2 * n_bins, 2 * n_bins - 1):
+        for i, u in enumerate(middles):
+            for m in range(1, total // u + 1):
+                rest = total - m * u
+                if not rest:
+                    found.add((*[(u + 1) // 2] * m,))
+                for v in middles[:i]:
+                    if rest and rest % v == 0:
+                        found.add((*[(u + 1) // 2] * m, *[(v + 1) // 2] * (rest // v)))
+    return sorted(p for p in found if len(p) > 3)
+
+
 class _Pool:
     """Unplaced pieces: how many of each length, and which lengths there are."""
 
@@ -81,6 +99,15 @@ class _Pool:
             i -= 1
         return self.lengths[i] if i >= 0 else 0
 
+    def between(self, low: int, high: int) -> list[int]:
+        """The lengths above ``low`` up to ``high``."""
+        return self.lengths[bisect.bisect_right(self.lengths, low) : bisect.bisect_right(self.lengths, high)]
+
+    def most(self, low: int, high: int, taken: Mapping[int, int]) -> int:
+        """The length above ``low`` up to ``high`` with most pieces besides those ``taken``, or 0."""
+        best = max(self.between(low, high), key=lambda x: self.left[x] - taken.get(x, 0), default=0)
+        return best if best and self.left[best] > taken.get(best, 0) else 0
+
     def take(self, length: int, n: int) -> None:
         self.left[length] -= n
         if not self.left[length]:
@@ -94,8 +121,9 @@ def plan(histogram: Mapping[int, int], capacity: int, width: int = 16) -> list[t
     """Sequences as ((length, how many of it), ...) with their number.
 
     Every piece of ``histogram`` (lengths 1 to ``capacity``) is in exactly one; no sequence
-    exceeds ``capacity``.  The fit sees bins of ``width`` lengths.  A fitted pattern takes the longest
-    piece of each of its bins but the last, and the longest that still fits for that.
+    exceeds ``capacity``.  The fit sees bins of ``width`` lengths; :func:`_few` and :func:`_many` choose a fitted
+    pattern's lengths.  Of the fit to all patterns and that to those of up to three
+    bins alone, the one with fewer sequences counts.
     """
     done: list[tuple[Pattern, int]] = []
     lengths = {int(k): int(v) for k, v in histogram.items() if v}
@@ -105,33 +133,84 @@ def plan(histogram: Mapping[int, int], capacity: int, width: int = 16) -> list[t
     have = np.zeros(n_bins)
     for length, n in lengths.items():
         have[min(n_bins, -(-length // width)) - 1] += n
-    usable = [p for p in patterns(n_bins) if all(have[b - 1] for b in p)]
-    a = np.zeros((n_bins, len(usable)))
+    some = {b + 1 for b in np.flatnonzero(have).tolist()}
+    few = [p for p in patterns(n_bins) if some.issuperset(p)]
+    # The shortest pieces are left to fill gaps.
+    many = repeated(n_bins, some - {1})
+    # A bin that no pattern fills a sequence with goes alone, as often as its longest piece fits.
+    for b in sorted(some.difference({1}, *few, *many)):
+        many.append((b,) * (capacity // max(x for x in lengths if min(n_bins, -(-x // width)) == b)))
+    tries = [_fitted(lengths, have, usable, capacity, width) for usable in (few + many, few)]
+    return done + min(tries, key=lambda planned: sum(n for _, n in planned))
+
+
+def _fitted(
+    lengths: Mapping[int, int], have: np.ndarray, usable: list[tuple[int, ...]], capacity: int, width: int
+) -> list[tuple[Pattern, int]]:
+    """Sequences by ``usable`` patterns, their repeats fitted to the bins' counts and rounded down, and the rest best fit."""
+    a = np.zeros((len(have), len(usable)))
     for k, pattern in enumerate(usable):
         for b in pattern:
             a[b - 1, k] += 1
     fitted = nnls(a, have) if usable else np.zeros(0)
     pool, gaps = _Pool(lengths), {}
     for k in sorted(range(len(usable)), key=lambda k: (-fitted[k], k)):
-        pattern, repeats = usable[k], int(fitted[k] + 1e-6)
+        repeats = int(fitted[k] + 1e-6)
         while repeats > 0:
-            chosen: list[int] = []
-            for b in pattern:
-                rest = capacity - sum(chosen)
-                last = len(chosen) == len(pattern) - 1
-                length = pool.longest(rest if last else b * width, chosen)
-                if length <= (b - 1) * width:
-                    break
-                chosen.append(length)
-            if len(chosen) < len(pattern):
+            content = (_few if len(usable[k]) <= 3 else _many)(pool, usable[k], capacity, width)
+            if not content:
                 break
-            content = {x: chosen.count(x) for x in chosen}
             n = min(repeats, *(pool.left[x] // m for x, m in content.items()))
             for x, m in content.items():
                 pool.take(x, n * m)
-            gaps.setdefault(capacity - sum(chosen), []).append((tuple(content.items()), n))
+            gap = capacity - sum(x * m for x, m in content.items())
+            gaps.setdefault(gap, []).append((tuple(content.items()), n))
             repeats -= n
-    return done + _best_fit(pool.left, gaps, capacity)
+    return _best_fit(pool.left, gaps, capacity)
+
+
+def _few(pool: _Pool, pattern: tuple[int, ...], capacity: int, width: int) -> dict[int, int]:
+    """Lengths for a pattern of up to three bins: the longest piece of each, and the longest that still fits for the last."""
+    chosen: list[int] = []
+    for b in pattern:
+        rest = capacity - sum(chosen)
+        last = len(chosen) == len(pattern) - 1
+        length = pool.longest(rest if last else b * width, chosen)
+        if length <= (b - 1) * width:
+            return {}
+        chosen.append(length)
+    return {x: chosen.count(x) for x in chosen}
+
+
+def _many(pool: _Pool, pattern: tuple[int, ...], capacity: int, width: int) -> dict[int, int]:
+    """Lengths for a pattern of repeated bins: the commonest of each bin or near it, and for the last two pieces those that fill best."""
+    taken: dict[int, int] = {}
+    ahead = 0.0  # how much longer the pieces so far are than the middles of their bins
+    for b in pattern[:-2]:
+        low, middle, high = (b - 1) * width, (b - 0.5) * width, b * width
+        half = (low, int(middle)) if ahead > 0 else (int(middle), high)
+        # The last two pieces of other patterns may have emptied a bin before its own are done.
+        near = (pool.most(*span, taken) for span in (half, (low, high), (low - width, high + width), (low - 3 * width, high + width)))
+        length = next(filter(None, near), 0)
+        if not length:
+            return {}
+        ahead += length - middle
+        taken[length] = taken.get(length, 0) + 1
+    rest = capacity - sum(x * m for x, m in taken.items())
+    listed = [x for x, m in taken.items() for _ in range(m)]
+    best: tuple[int, int, int] = (0, 0, 0)
+    first = pattern[-2]
+    span = pool.between((first - 3) * width, (first + 2) * width)
+    for x in span:
+        if x < rest and pool.left[x] > taken.get(x, 0):
+            y = pool.longest(rest - x, [*listed, x])
+            best = max(best, (x + y, pool.left[x], x))
+    if not best[2]:
+        return {}
+    for x in (best[2], best[0] - best[2]):
+        if x:
+            taken[x] = taken.get(x, 0) + 1
+    return taken
 
 
 def _best_fit(
