@@ -4,7 +4,8 @@ Texts are cut into words where the tokenizer's own splitting can't reach across.
 blocks of bounded size.  Each block asks for its distinct words, dealt out by a hash of the word, so
 that all blocks' requests for one word meet in one task, which encodes it once; the answers go
 back to the blocks in the order asked, and each block puts the ids in the places of its words.
-Decoding looks the ids up in the table of the vocabulary's pieces, which has a fixed size.
+Decoding joins ids to the table of the vocabulary's pieces, whose size the vocabulary fixes: :func:`decode` as a
+broadcast join of rows, and :func:`digests` within Arrow for the ids of distinct words.
 
 Words travel once per block instead of once per occurrence, and texts travel compressed by block.
 """
@@ -18,15 +19,18 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlab.llm.chat import BYTE_BPE
 from termlab.llm.common import shuffle_tasks, texts_of
 from termlab.llm.memo import SPELT, Tokenizer
+from termlab.sources.tables import stage
 
 BLOCK_BYTES = 24 << 20
 KEEP = 400_000  # distinct words a task remembers before it starts anew
@@ -62,16 +66,32 @@ def library(path: str) -> Tokenizer:
     return tokenizer
 
 
-@lru_cache(maxsize=2)
-def pieces(path: str) -> list[bytes]:
-    """Bytes of every id.  Byte-level vocabularies write each byte as one printable character."""
+def piece_table(path: str) -> pa.Table:
+    """``id, piece, decimal`` of every id in order, whatever is no id with an empty piece.
+
+    Byte-level vocabularies write each byte of a piece as one printable character.
+    """
     byte = {chr(SPELT.get(b, b)): b for b in range(256)}
     tokenizer = library(path)
     special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
     table = [b""] * (max(tokenizer.get_vocab().values()) + 1)
     for token, i in tokenizer.get_vocab().items():
         table[i] = special[i].encode() if i in special else bytes(byte[c] for c in token)
-    return table
+    ids = range(len(table))
+    return pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array(table, pa.binary()), "decimal": [str(i).encode() for i in ids]})
+
+
+@lru_cache(maxsize=2)
+def _piece_columns(path: str) -> tuple[pa.Array, pa.Array]:
+    table = piece_table(path)
+    return table.column("piece").combine_chunks(), table.column("decimal").combine_chunks().cast(pa.binary())
+
+
+def _joined_to(column: pa.Array, counts: np.ndarray, ids: np.ndarray, between: bytes) -> list[bytes]:
+    """For each word the rows of ``column`` that its ids meet, ``between`` each other.  Row i is that of id i."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    words = pa.ListArray.from_arrays(pa.array(ends), column.take(pa.array(ids)))
+    return pc.binary_join(words, pa.scalar(between, pa.binary())).to_pylist()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list, list[str]]]:
@@ -79,10 +99,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
     part, k = TaskContext.get().partitionId(), 0
     ids, texts, held = [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        columns = (batch.column("doc_id"), batch.column("text"), pc.binary_length(batch.column("text")))
+        for doc_id, text, length in zip(*(c.to_pylist() for c in columns), strict=True):
             ids.append(doc_id)
             texts.append(text)
-            held += len(text)
+            held += length
             if held >= size:
                 yield part << 32 | k, ids, texts
                 ids, texts, held, k = [], [], 0, k + 1
@@ -171,11 +192,15 @@ def _compressed(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(pack, "block bigint, texts binary")
 
 
-Finish = Callable[[list, Iterator[list[bytes]], dict[bytes, np.ndarray], str], pa.Table]
+#: Makes a block's rows of its doc_ids, the words of text after text, and its distinct words with the number of ids of
+#: each and all ids in a row.
+Finish = Callable[[list, Iterator[list[bytes]], list[bytes], np.ndarray, np.ndarray], pa.Table]
+#: Partitions that blocks are dealt into, for each of the session's shuffle tasks: most then hold one block or none.
+SPREAD = 4
 
 
 def joined(docs: DataFrame, finish: Finish, schema: str, tokenizer: str = BYTE_BPE, size: int = BLOCK_BYTES) -> DataFrame:
-    """What ``finish`` makes of each block: its doc_ids, the words of text after text, and the ids of each word.
+    """What ``finish`` makes of each block.
 
     The texts are cut into blocks twice, once to ask and once to be joined.  Should the input come in
     another order the second time, an answer doesn't bear the mark of its words, and
@@ -191,29 +216,32 @@ def joined(docs: DataFrame, finish: Finish, schema: str, tokenizer: str = BYTE_B
         out = []
         for blob in blocks.column("texts"):
             table = pa.ipc.open_stream(blob.as_buffer()).read_all()
-            found: dict[bytes, np.ndarray] = {}
+            distinct: list[bytes] = []
+            counts, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             block_texts = table.column("text").to_pylist()
             for j, words in enumerate(_asked(block_texts, buckets)):
                 if not words:
                     continue
+                distinct += words
                 if j in by_bucket and by_bucket[j]["mark"] == _mark(words):
-                    counts = replied.column("counts")[row_of[j]].values.to_numpy()
-                    flat = replied.column("ids")[row_of[j]].values.to_numpy()
-                    ids = np.split(flat, np.cumsum(counts)[:-1])
+                    counts.append(replied.column("counts")[row_of[j]].values.to_numpy())
+                    ids.append(replied.column("ids")[row_of[j]].values.to_numpy())
                 else:
-                    ids = [
-                        np.array(x.ids, np.int32)
-                        for x in library(tokenizer).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-                    ]
-                found.update(zip(words, ids, strict=True))
-            out.append(finish(table.column("doc_id").to_pylist(), map(words_of, block_texts), found, tokenizer))
+                    again = library(tokenizer).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+                    counts.append(np.array([len(x.ids) for x in again], np.int32))
+                    ids += [np.array(x.ids, np.int32) for x in again]
+            by_text = map(words_of, block_texts)
+            out.append(finish(table.column("doc_id").to_pylist(), by_text, distinct, np.concatenate(counts), np.concatenate(ids)))
         # Without texts there are answers to a block of another first pass only.
-        return pa.concat_tables(out) if out else finish([], iter(()), {}, tokenizer)
+        none = np.zeros(0, np.int32)
+        return pa.concat_tables(out) if out else finish([], iter(()), [], none, none)
 
+    parts = SPREAD * buckets
     return (
         _compressed(texts, size)
+        .repartition(parts, "block")
         .groupBy("block")
-        .cogroup(replies.groupBy("block"))
+        .cogroup(replies.repartition(parts, "block").groupBy("block"))
         .applyInArrow(join, schema)
     )
 
@@ -221,24 +249,44 @@ def joined(docs: DataFrame, finish: Finish, schema: str, tokenizer: str = BYTE_B
 def encode(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
     """``doc_id, ids``, one row per document row.  Null and empty texts have no ids."""
 
-    def finish(doc_ids: list, words: Iterator[list[bytes]], found: dict[bytes, np.ndarray], _: str) -> pa.Table:
+    def finish(doc_ids: list, texts: Iterator[list[bytes]], words: list[bytes], counts: np.ndarray, ids: np.ndarray) -> pa.Table:
+        found = dict(zip(words, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if words else {}
         none = np.zeros(0, np.int32)
-        ids = [np.concatenate([found[w] for w in row]) if row else none for row in words]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
+        rows = [np.concatenate([found[w] for w in row]) if row else none for row in texts]
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(rows, pa.list_(pa.int32()))})
 
     return joined(docs, finish, "doc_id bigint, ids array<int>", tokenizer)
 
 
 def decode(encoded: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
-    """``doc_id, text`` of ``doc_id, ids``, by the table of pieces.  Null ids give an empty text."""
+    """``doc_id, text`` of ``doc_id, ids``, one row per row: each id is joined to its piece, and pieces go back by position.
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(tokenizer)
-        for batch in batches:
-            texts = [b"".join([table[i] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    Null ids give an empty text, and so does an id outside the vocabulary or a null one.  Bytes that are no UTF-8 become
+    replacement characters.  Pieces of a row meet in one task, as its text does.  The input is staged, so that
+    the rows' numbers hold.
+    """
+    rows = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    table = encoded.sparkSession.createDataFrame(piece_table(tokenizer).select(["id", "piece"]))
+    # As many rows as the vocabulary has ids.
+    spelt = (
+        rows.select("row", F.posexplode("ids").alias("place", "id"))
+        .join(F.broadcast(table), "id")
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("pieces"))
+    )
+    texts = spelt.select("row", _as_text(F.col("pieces.piece")).alias("text"))
+    return rows.join(texts, "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _as_text(pieces: Column) -> Column:
+    """Pieces in a row as text, ill-formed bytes as Python's ``replace`` has them."""
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: b"".join(map(bytes, v)).decode("utf-8", "replace"))
 
-    return encoded.select("doc_id", "ids").mapInArrow(spell, "doc_id bigint, text string")
+    return text(pieces)
 
 
 def digests(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
@@ -247,12 +295,12 @@ def digests(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
     The ids are written in decimal, joined by commas.  One row per document row; an empty table gives none.
     """
 
-    def finish(doc_ids: list, words: Iterator[list[bytes]], found: dict[bytes, np.ndarray], path: str) -> pa.Table:
-        table = pieces(path)
-        spelt = {w: b"".join([table[i] for i in ids.tolist()]) for w, ids in found.items()}
-        listed = {w: ",".join(map(str, ids.tolist())).encode() for w, ids in found.items()}
+    def finish(doc_ids: list, texts: Iterator[list[bytes]], words: list[bytes], n: np.ndarray, ids: np.ndarray) -> pa.Table:
+        pieces, decimals = _piece_columns(tokenizer)
+        spelt = dict(zip(words, _joined_to(pieces, n, ids, b""), strict=True))
+        listed = dict(zip(words, _joined_to(decimals, n, ids, b","), strict=True))
         counts, of_ids, of_text = [], [], []
-        for row in words:
+        for row in texts:
             ids = b",".join([listed[w] for w in row])
             counts.append(ids.count(b",") + 1 if ids else 0)
             of_ids.append(hashlib.sha256(ids).hexdigest())
