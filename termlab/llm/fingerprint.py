@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlab.llm.common import numbered, text_hash, texts_of
+from termlab.functions.joins import heavy_groups
+from termlab.llm.common import numbered, shuffle_tasks, text_hash, texts_of
 from termlab.sources.tables import stage
 
 SAMPLES = 64
@@ -81,7 +82,7 @@ def signatures(parts: DataFrame, keys: list[str]) -> DataFrame:
 
     ``parts`` has ``keys``, ``piece`` (text cut at white space), ``here`` and ``there`` (1 if the piece is in the
     text, or in its second version).  The two versions share the draws of their common words.  If ``parts``
-    is partitioned by the first key, nothing is moved.
+    is partitioned by some of the keys, nothing is moved.
     """
     words = parts.select(*keys, "here", "there", F.explode(F.split(F.lower("piece"), SPACE)).alias("word"))
     counts = (
@@ -114,42 +115,55 @@ def signatures(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 FIRST_KEY = -(1 << 63)
+KEYS = ["key", "part", "text_hash"]
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """Texts with the heads that replace their ends: ``key, text_hash, text, next_key, next_hash, head``.
+    """Texts with the heads that replace their ends: ``key, part, text_hash, text, next_key, next_part, next_hash, head``.
 
     ``key`` is doc_id with nulls as the least BIGINT, so they come first.  The next document is that of the next
     larger key, after the last the first; where several texts share that key, it is the one of
     least text hash.  ``head`` is at least as long as the part it replaces, if the next text is.
 
-    All uses of the texts read the same three columns hashed by ``key``, so they are moved once.
+    All uses of the texts read the same columns hashed by ``key, part``, so they are moved once.  ``part`` is 0 but
+    for keys with so many rows that they would fill more than one task: their texts are dealt by hash.
     """
     base = texts_of(docs).select(
         F.coalesce("doc_id", F.lit(FIRST_KEY)).alias("key"), text_hash().alias("text_hash"), "text"
     )
     ids = base.groupBy("key").agg(
-        F.min("text_hash").alias("pick"), F.max(F.expr("char_length(text) div 4")).cast("int").alias("most")
+        F.min("text_hash").alias("pick"),
+        F.max(F.expr("char_length(text) div 4")).cast("int").alias("most"),
+        F.count("*").alias("n"),
     )
     placed = numbered(ids, ["key"], "place")
     last = placed.agg(F.max("place")).first()[0] or 0
+    # Fewer rows than the session has shuffle tasks.
+    heavy = stage(heavy_groups(placed, ["key"], "n", "parts", shuffle_tasks(docs.sparkSession)), "heavy")
+    parts = F.coalesce("parts", F.lit(1))
     after = placed.select(
         F.when(F.col("place") == 0, F.lit(last)).otherwise(F.col("place") - 1).alias("place"),
         F.col("key").alias("next_key"),
         F.col("pick").alias("next_hash"),
-    )
+    ).join(F.broadcast(heavy.withColumnRenamed("key", "next_key")), "next_key", "left")
+    after = after.select("place", "next_key", "next_hash", F.pmod("next_hash", parts).cast("int").alias("next_part"))
     following = stage(
-        placed.join(after, "place").select(F.col("key").alias("prior"), "most", "next_key", "next_hash"), "next"
+        placed.join(after, "place").select(F.col("key").alias("prior"), "most", "next_key", "next_part", "next_hash"), "next"
+    )
+    base = base.join(F.broadcast(heavy), "key", "left").select(
+        "key", F.pmod("text_hash", parts).cast("int").alias("part"), "text_hash", "text"
     )
-    # The hashes are compared by order, not as a join key, so that the texts stay hashed by key alone.
+    # The hashes are compared by order, not as a join key, so that the texts stay hashed by key and part alone.
     chosen = F.col("text_hash").between(F.col("next_hash"), F.col("next_hash"))
     heads = (
-        base.join(following, (F.col("key") == F.col("next_key")) & chosen)
-        .select(F.col("prior").alias("key"), "next_key", "next_hash", F.expr("substring(text, 1, most)").alias("head"))
-        .groupBy("key")
-        .agg(F.max("next_key").alias("next_key"), F.max("next_hash").alias("next_hash"), F.max("head").alias("head"))
+        base.join(following, (F.col("key") == F.col("next_key")) & (F.col("part") == F.col("next_part")) & chosen)
+        .select(F.col("prior").alias("key"), "next_key", "next_part", "next_hash", F.expr("substring(text, 1, most)").alias("head"))
+        .join(F.broadcast(heavy), "key", "left")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .groupBy("key", "part")
+        .agg(*[F.max(c).alias(c) for c in ("next_key", "next_part", "next_hash", "head")])
     )
-    return base.join(heads, "key")
+    return base.join(heads, ["key", "part"])
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -164,21 +178,20 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     kept = "substring(text, 1, cast(char_length(text) - char_length(text) div 4 as int))"
     new = "substring(head, 1, cast(char_length(text) div 4 as int))"
     brief = pairs.select(
-        "key",
-        "text_hash",
+        *KEYS,
         F.char_length("text").cast("bigint").alias("n_chars"),
         "next_key",
+        "next_part",
         "next_hash",
         F.sha2(F.expr(f"concat({kept}, {new})").cast("binary"), 256).alias("edited_sha256"),
     )
     # What both texts share ends at the last space before the replaced part.
     cut = (
-        pairs.dropDuplicates(["key", "text_hash"])
-        .select("key", "text_hash", "text", F.expr(kept).alias("kept"), F.expr(new).alias("new"))
+        pairs.dropDuplicates(KEYS)
+        .select(*KEYS, "text", F.expr(kept).alias("kept"), F.expr(new).alias("new"))
         .withColumn("shared", F.expr("char_length(kept) - char_length(substring_index(kept, ' ', -1))"))
         .select(
-            "key",
-            "text_hash",
+            *KEYS,
             F.explode(
                 F.expr(
                     """array(
@@ -188,21 +201,20 @@ def compare_edited(docs: DataFrame) -> DataFrame:
                 )
             ).alias("p"),
         )
-        .select("key", "text_hash", "p.*")
+        .select(*KEYS, "p.*")
     )
-    prints = signatures(cut, ["key", "text_hash"])
+    prints = signatures(cut, KEYS)
     found = stage(
-        brief.join(prints, ["key", "text_hash"], "left").select(
+        brief.join(prints, KEYS, "left").select(
             *brief.columns,
             F.coalesce("fingerprint", F.lit(EMPTY)).alias("fingerprint"),
             F.coalesce("edited_fingerprint", F.lit(EMPTY)).alias("edited_fingerprint"),
         ),
         "fingerprints",
     )
-    nexts = found.select(
-        F.col("key").alias("next_key"), F.col("text_hash").alias("next_hash"), F.col("fingerprint").alias("next_fingerprint")
-    ).dropDuplicates(["next_key", "next_hash"])
-    return found.join(nexts, ["next_key", "next_hash"]).select(
+    its = ["next_key", "next_part", "next_hash"]
+    nexts = found.select(*[F.col(c).alias(x) for c, x in zip(KEYS, its, strict=True)], F.col("fingerprint").alias("next_fingerprint"))
+    return found.join(nexts.dropDuplicates(its), its).select(
         F.nullif("key", F.lit(FIRST_KEY)).alias("doc_id"),
         "n_chars",
         "edited_sha256",
