@@ -203,7 +203,10 @@ def battery(values: DataFrame) -> DataFrame:
         + ln({_p_normal('z_runs')}) + ln({_p_normal('z_serial')}))"""
     return (
         tested.withColumn("fisher", F.expr(fisher))
-        .withColumn("p", F.expr("greatest(1e-300D, exp(-fisher / 2) * (1D + fisher / 2 + fisher * fisher / 8))"))
+        .withColumn(
+            "p",
+            F.expr("if(encoding IS NULL, NULL, greatest(1e-300D, exp(-fisher / 2) * (1D + fisher / 2 + fisher * fisher / 8)))"),
+        )
         .select("value", "encoding", (F.col("n") * F.log2("a")).alias("bits"), F.col("n").cast("int").alias("symbols"), "p")
     )
 
@@ -322,22 +325,28 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with all rows and columns, each secret in ``text`` replaced by ``mark``.
 
     Overlapping spans are replaced by one mark.  ``n_chars``, if there is one, is counted anew for changed texts.
+    Null and empty texts stay as they are, repeated rows are all masked alike, and an empty table gives no rows.
+    Rows are carried as one struct, so no column of theirs, whatever its name, meets a helper's.
     """
-    found = spans(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    found = spans(docs).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "spans")
     # Spans are in order of start: one that starts before the furthest end so far adds nothing but its end.
-    merged = """aggregate(__spans, array(struct(0L AS s, 0L AS e)), (r, x) ->
+    merged = """aggregate(spans, array(struct(0L AS s, 0L AS e)), (r, x) ->
         if(x.start < element_at(r, -1).e,
            concat(slice(r, 1, size(r) - 1), array(struct(element_at(r, -1).s AS s, greatest(element_at(r, -1).e, x.end) AS e))),
            concat(r, array(struct(x.start AS s, x.end AS e)))))"""
-    pieces = """transform(sequence(1, size(__m)), i -> substring(text, cast(__m[i - 1].e + 1 AS int),
-        cast(if(i < size(__m), __m[i].s, char_length(text)) - __m[i - 1].e AS int)))"""
-    keyed = docs.withColumn("__hash0", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].cast("bigint").eqNullSafe(found["__id"]) & (keyed["__hash0"] == found["__hash"])
-    joined = keyed.join(found, same, "left").withColumn("__m", F.expr(merged))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(F.expr(pieces), mark))
-    out = joined.withColumn("__text", text)
-    changed = {"text": F.col("__text")}
+    pieces = """transform(sequence(1, size(merged)), i -> substring(row.text, cast(merged[i - 1].e + 1 AS int),
+        cast(if(i < size(merged), merged[i].s, char_length(row.text)) - merged[i - 1].e AS int)))"""
+    keyed = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("bigint").alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
+    )
+    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("hash") == F.col("found_hash"))
+    joined = keyed.join(found, same, "left").withColumn("merged", F.expr(merged))
+    clean = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(F.expr(pieces), mark))
+    out = joined.select("row", "spans", clean.alias("clean"))
+    changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        counted = F.char_length("__text").cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(counted)
-    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+        counted = F.char_length("clean").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(counted)
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termlab.functions.joins import unused
 from termlab.llm.common import numbered
 
 ROUNDS = 6  # double rounds
@@ -79,20 +80,26 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 1) -> DataF
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, seed: int = 1) -> None:
     """Write whole documents as ``shard=N`` folders, files being slot ranges in order.
 
-    Documents meet their places on doc_id and text hash; repeated rows are told apart by number.
+    Documents meet their places on doc_id and text hash; repeated rows are told apart by number.  A column of the
+    documents named ``shard`` or ``slot`` stays, and the place's gets underscores in front.  Null texts are written
+    as they are; an empty table writes no folder.
     """
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    brief = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "_hash")
-    counts = brief.groupBy("doc_id", "_hash").agg(F.count("*").alias("_copies"))
+    keyed = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("bigint").alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
+    )
+    counts = keyed.groupBy("id", "hash").agg(F.count("*").alias("copies"))
     rows = numbered(
-        counts.select("doc_id", "_hash", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")),
-        ["doc_id", "_hash", "_copy"],
-        "_position",
+        counts.select("id", "hash", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")),
+        ["id", "hash", "copy"],
+        "position",
     )
-    placed = assign_shards(rows, "_position", docs.count(), n_shards, seed)
-    unique = keyed.dropDuplicates(["doc_id", "_hash"])
-    same = unique["doc_id"].eqNullSafe(placed["doc_id"]) & (unique["_hash"] == placed["_hash"])
-    out = unique.join(placed, same).select(*(unique[c] for c in docs.columns), placed["shard"], placed["slot"])
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    placed = assign_shards(rows, "position", docs.count(), n_shards, seed)
+    placed = placed.select(F.col("id").alias("its_id"), F.col("hash").alias("its_hash"), "shard", "slot")
+    unique = keyed.dropDuplicates(["id", "hash"])
+    same = F.col("id").eqNullSafe(F.col("its_id")) & (F.col("hash") == F.col("its_hash"))
+    shard, slot = (unused(c, docs.columns) for c in ("shard", "slot"))
+    out = unique.join(placed, same).select("row.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+    dealt = out.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot)
+    dealt.write.partitionBy(shard).parquet(path)

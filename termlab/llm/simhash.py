@@ -149,15 +149,16 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int = 4
     """One row of ``docs`` for each class, with all its columns.
 
     It is the row of smallest doc_id (nulls last), then of smallest text hash; of rows alike in
-    both any one stays.
+    both any one stays.  A null text is an empty one; an empty table gives no rows.  Rows are carried as one struct, so no
+    column of theirs, whatever its name, meets a helper's.  Rows that repeat both doc_id and text are reduced in each
+    task before they move.
     """
     last = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
     chosen = (
         classified(docs, width, distance, blocks)
         .groupBy("component")
-        .agg(F.min(F.struct(last.alias("__id"), F.col("text_hash").alias("__hash"))).alias("k"))
+        .agg(F.min(F.struct(last.alias("id"), F.col("text_hash").alias("hash"))).alias("k"))
         .select("k.*")
     )
-    keyed = docs.withColumn("__id", last).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(chosen, ["__id", "__hash"], "left_semi")
-    return kept.dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    rows = docs.select(F.struct("*").alias("row"), last.alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    return rows.dropDuplicates(["id", "hash"]).join(chosen, ["id", "hash"], "left_semi").select("row.*")
