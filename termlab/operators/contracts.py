@@ -80,7 +80,10 @@ def keep_first(
     rows are hashed and never sorted.
     """
     if rank is not None:
-        return df.groupBy(*group).agg(*[F.min_by(c, rank).alias(c) for c in columns])
+        first = df.groupBy(*group).agg(F.min(rank).alias("_rank"), *[F.min_by(c, rank).alias(c) for c in columns])
+        # Always true.  It ties the columns together: branches of a plan that need different ones share one shuffle.
+        kept = first.filter(" OR ".join(f"`{c}` IS NOT NULL" for c in ("_rank", *columns)))
+        return kept.select(*group, *columns)
     best = F.min(F.struct(*order, *[c for c in columns if c not in order]))
     return df.groupBy(*group).agg(best.alias("_b")).select(*group, *[f"_b.{c}" for c in columns])
 

@@ -7,14 +7,15 @@ kept that way.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlab.functions.columns import by_day, change, ratio, rolling_std, sharpe
-from termlab.functions.quantiles import bucket_labels, nearest_quantile, with_bucket
+from termlab.functions.days import fold_days
+from termlab.functions.quantiles import bucket_labels, nearest_quantile, with_bucket, with_buckets
 from termlab.schema import DAY, TENORS, TRADING_DAYS, px
 
 CARRY_VOL_ROWS = 21  # fixed value
@@ -106,6 +107,34 @@ def signal_study(
     return forward_stats(bucketed, keys)
 
 
+def signal_studies(
+    pnl: DataFrame, sources: Mapping[str, DataFrame], signals: Mapping[str, Signal], keys: Sequence[str] = (), n: int = 10
+) -> DataFrame:
+    """:func:`signal_study` of all ``signals`` at once, told apart by ``signal``; ``sources`` by the names signals use.
+
+    The sources are folded into one frame of profit days, where forward returns, signals and the breakpoints of all
+    of them are windows by curve; only the labelled days move again, to be summed up by signal and bucket.
+    """
+    wanted: dict[str, list[str]] = {}
+    for signal in signals.values():
+        mine = wanted.setdefault(signal.source, [])
+        mine += [c for c in signal.columns if c not in mine]
+    tables = {name: (sources[name], columns) for name, columns in wanted.items()}
+    days = fold_days({"pnl": (pnl, ("strategy_ret",)), **tables}, keys).filter("_in_pnl")
+    days = forward_return(days, keys)
+    values = [signal.value(keys).alias(f"_s_{name}") for name, signal in signals.items()]
+    days = days.select(*keys, DAY, "forward_ret", *values).filter("forward_ret IS NOT NULL")
+    labels = bucket_labels(n)
+    bucketed = with_buckets(
+        days, {f"_l_{s}": (f"_s_{s}", labels) for s in signals}, keys, {f"_l_{s}": f"_b_{s}" for s in signals}
+    )
+    each = [
+        F.struct(F.lit(s).alias("signal"), F.col(f"_b_{s}").alias("bucket"), F.col(f"_l_{s}").alias("label")) for s in signals
+    ]
+    tall = bucketed.select(*keys, "forward_ret", F.explode(F.array(*each)).alias("_e")).select(*keys, "forward_ret", "_e.*")
+    return forward_stats(tall.filter("bucket IS NOT NULL"), [*keys, "signal"])
+
+
 # Fixed values of the volatility target.
 TARGET_VOL, VOL_ROWS, VOL_MINIMUM = 0.16, 20, 10
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from termlab.functions.columns import change, ratio, running, whole
+from termlab.functions.days import fold_days
 from termlab.functions.quantiles import nearest_quantile, with_buckets
 from termlab.operators.signals import CARRY_VOL_ROWS, Signal, forward_return, signal_definitions, signal_table
 from termlab.schema import DAY
@@ -126,27 +127,17 @@ def labelled_days(
     (see :func:`pca_states`, :func:`dispersion_states`, :func:`carry_states`, :func:`spot_states`) is NULL.
     ``_pnl`` marks profit days, ``_matrix`` the rows of :func:`state_matrix`.
     """
-    sources = [
-        (pnl, ("strategy_ret",), "_pnl"),
-        (diagnostics, ("rotation", "pc1_var"), None),
-        (cross_section, ("std_r", "max_abs_r"), "_dispersion"),
-        (attribution, ("port_carry",), None),
-        (spot, ("spot",), None),
-    ]
-    values = [c for _, columns, _ in sources for c in columns]
-    stacked = [
-        source.select(
-            *keys,
-            DAY,
-            *[(F.col(c) if c in columns else F.lit(None)).cast("double").alias(c) for c in values],
-            *[F.lit(mark == flag).alias(flag) for flag in ("_pnl", "_dispersion")],
-        )
-        for source, columns, mark in sources
-    ]
-    rows = reduce(DataFrame.unionByName, stacked)
-    rows = rows.repartition(*keys) if keys else rows
-    days = rows.groupBy(*keys, DAY).agg(*[F.max(c).alias(c) for c in (*values, "_pnl", "_dispersion")])
-    days = days.filter("_pnl OR _dispersion")
+    days = fold_days(
+        {
+            "pnl": (pnl, ("strategy_ret",)),
+            "diagnostics": (diagnostics, ("rotation", "pc1_var")),
+            "dispersion": (cross_section, ("std_r", "max_abs_r")),
+            "attribution": (attribution, ("port_carry",)),
+            "spot": (spot, ("spot",)),
+        },
+        keys,
+    )
+    days = days.withColumnsRenamed({"_in_pnl": "_pnl", "_in_dispersion": "_dispersion"}).filter("_pnl OR _dispersion")
 
     def ordered(flag: str) -> WindowSpec:
         return Window.partitionBy(*keys, flag).orderBy(DAY)

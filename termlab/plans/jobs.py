@@ -169,8 +169,10 @@ def run_strategy(
     sources = {
         "attribution": attribution, "prices": ret, "spot": spot, "diagnostics": diagnostics, "cross_section": leg_days,
     }
-    for name, definition in signals.signal_definitions(tenors).items():
-        stage(f"signal_{name}", signals.signal_study(pnl, sources[definition.source], definition, keys))
+    definitions = signals.signal_definitions(tenors)
+    studies = stage("signals", signals.signal_studies(pnl, sources, definitions, keys))
+    for name in definitions:
+        stage(f"signal_{name}", studies.filter(F.col("signal") == name).drop("signal"))
 
     labelled = stage("labelled_days", sizing.labelled_days(pnl, diagnostics, leg_days, attribution, spot, keys))
     matrix = sizing.matrix_rows(labelled, keys)

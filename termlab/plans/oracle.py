@@ -999,17 +999,23 @@ answer("scale_histogram", "sized_states_h", _HIST.format("sized_states_h", "scal
 
 # -- signals -----------------------------------------------------------------
 
-for _sig in _SOURCES:
-    answer(
-        f"signal_{_sig}",
-        f"sig_{_sig}",
-        f"""SELECT curve_id, {big('bucket', 'bucket')}, label, n_days, {rd('mean', 'mean_daily')}, {rd('sd', 'std_daily')},
+
+def study(signal: str) -> str:
+    return f"""SELECT curve_id, {big('bucket', 'bucket')}, label, n_days, {rd('mean', 'mean_daily')}, {rd('sd', 'std_daily')},
        {rd('p05', 'p05')}, {rd('p01', 'p01')}, {rd('mean / nullif(sd, 0) * sqrt(252.0)', 'sharpe_ann')},
        {rd('mean * 252', 'mean_ann')} FROM (
   SELECT curve_id, bucket, label, count(*) AS n_days, avg(forward_ret) AS mean, stddev_samp(forward_ret) AS sd,
          {nearest('forward_ret', 0.05)} AS p05, {nearest('forward_ret', 0.01)} AS p01
-  FROM ({bucketed(f'sig_{_sig}', 'signal')}) GROUP BY 1, 2, 3)""",
-    )
+  FROM ({bucketed(f'sig_{signal}', 'signal')}) GROUP BY 1, 2, 3)"""
+
+
+for _sig in _SOURCES:
+    answer(f"signal_{_sig}", f"sig_{_sig}", study(_sig))
+answer(
+    "signal_studies",
+    " ".join(f"sig_{_sig}" for _sig in _SOURCES),
+    " UNION ALL ".join(f"SELECT *, '{_sig}' AS signal FROM ({study(_sig)})" for _sig in _SOURCES),
+)
 stage(
     "vt",
     "pnl",

@@ -222,6 +222,13 @@ class Panel:
         definition = signals.signal_definitions(self.tenors)[name]
         return signals.signal_study(self.pnl, self.source(definition.source), definition, self.keys)
 
+    @cached_property
+    def studies(self) -> DataFrame:
+        """All signals at once."""
+        definitions = signals.signal_definitions(self.tenors)
+        sources = {d.source: self.source(d.source) for d in definitions.values()}
+        return signals.signal_studies(self.pnl, sources, definitions, self.keys)
+
     @cached_property
     def labelled(self) -> DataFrame:
         return sizing.labelled_days(

@@ -699,6 +699,12 @@ for _name, _definition in signals.signal_definitions(PANEL_TENORS).items():
     _register_signal(_name, _definition.source)
 
 
+@query("signal_studies", panel=StagedPanel)
+def _(p):
+    """The twelve studies from one frame of days."""
+    return p.studies
+
+
 @query("vol_target")
 def _(p):
     return signals.volatility_target(p.pnl, p.keys)

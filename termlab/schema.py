@@ -9,8 +9,8 @@ Grains
 
 A day-grain curve holds at most one row per calendar day (about 250 a year), and
 so does one contract.  Windows partitioned by the curve or by the contract are
-therefore small whatever the size of the input.  The only other window, in
-``nearest_quantiles``, runs over the distinct values near one wanted rank.
+therefore small whatever the size of the input.  The only other windows, in
+``nearest_quantiles``, run over a stated number of rows or cells at most.
 """
 
 from __future__ import annotations

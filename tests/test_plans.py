@@ -160,3 +160,15 @@ def test_no_cross_join_and_python_only_for_components(spark, name):
     assert ("Python" in plan or "Pandas" in plan) == bool(WITH_COMPONENTS.search(name))
     for window in re.finditer(r"Window \[.*\n(.*\n){0,6}", plan):
         assert "SinglePartition" not in window.group(0)
+
+
+def scans_of(plan: str, table: str) -> int:
+    return len(re.findall(rf"FileScan parquet [^\n]*{table}.parquet", plan))
+
+
+@pytest.mark.parametrize("name", sorted(workload.queries()))
+def test_lineitem_is_read_once(spark, name):
+    """In the plan that ran, where shuffles that several branches need are made once."""
+    df = workload.queries()[name](spark, SF)
+    if scans_of(plan_of(df), "lineitem") > 1:
+        assert scans_of(final_plan(df), "lineitem") <= 1
