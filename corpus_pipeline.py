@@ -47,6 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to ``documents``, each result written and read again: pieces with their sequence and place.
+
+    Null texts are empty ones to every stage and end as a piece of the end id alone.  Rows with a null doc_id go through like
+    others; of rows that repeat doc_id and text, and of each class of near copies, one stays.  Columns of the documents
+    beside doc_id and text pass the first three stages.  An empty table gives no rows.
+    """
     docs = read_documents(spark, sf_dir)
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
