@@ -201,7 +201,8 @@ def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``doc_id, text_hash, severity, p_toxic, grade`` of every document row, over its whole text.
 
     ``severity`` is the expected grade, ``p_toxic`` the probability of a grade above 0 and ``grade`` the
-    highest one that is as likely reached as not.  A null or empty text is graded by the thresholds alone.
+    highest one that is as likely reached as not.  A null or empty text is graded by the thresholds alone.  Repeated
+    rows and null doc_ids are graded like others, other columns are left behind, and an empty table gives no rows.
     """
     texts = texts_of(docs).withColumn("text_hash", F.xxhash64("text"))
 
@@ -224,14 +225,21 @@ def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """:func:`grade` by a model trained on ``labels``, with the decision ``toxic`` (a grade above 0)."""
+    """:func:`grade` by a model trained on ``labels``, with the decision ``toxic`` (a grade above 0).
+
+    Without labelled documents of both kinds all are graded 0; an empty table gives no rows.
+    """
     return grade(docs, train(docs, labels)).select(
         "doc_id", "severity", "p_toxic", "grade", (F.col("grade") > 0).alias("toxic")
     )
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with all their columns, without the rows whose text is toxic.  Moves no row."""
+    """``docs`` with all their columns, without the rows whose text is toxic.  Moves no row.
+
+    A null text is an empty one and never toxic by its words.  Repeated rows stay or go together; an empty table, or one
+    without toxic labels, stays as it is.
+    """
     model = train(docs, labels)
 
     @tidied
