@@ -88,7 +88,7 @@ def fit_ordinal(
     """
     n, k = len(rows), GRADES
     which = np.repeat(np.arange(n), [len(r) for r in rows])
-    column = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, np.int64)
+    column = np.concatenate(rows).astype(np.intp) if n else np.zeros(0, np.intp)
     share = np.array([(grades > j).mean() for j in range(k)]).clip(1e-4, 1 - 1e-4)
     start = np.log((1 - share) / share)
     free = np.concatenate([[start[0]], np.log(np.maximum(np.diff(start), 0.1))])
@@ -185,15 +185,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
                 [batch.column("toxic"), pa.array(kept, pa.list_(pa.int32()))], names=["toxic", "kept"]
             )
 
-    got = rows.mapInArrow(encoded, "toxic int, kept array<int>").toPandas()
+    got = rows.mapInArrow(encoded, "toxic int, kept array<int>").toArrow().combine_chunks()
+    toxic, lists = got.column("toxic").to_numpy(), got.column("kept").combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    found = [values[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
     # In an order of their own, so that sums don't depend on which task ended first.
-    ordered = sorted(zip(got["toxic"].tolist(), (list(r) for r in got["kept"]), strict=True))
-    sparse = [np.asarray(r, np.int64) for _, r in ordered]
-    toxic = np.array([t for t, _ in ordered])
+    order = sorted(range(len(found)), key=lambda i: (toxic[i], found[i].tobytes()))
+    sparse, toxic = [found[i] for i in order], toxic[order]
     weight = np.array([typical[r].sum() for r in sparse])
     cuts = np.quantile(weight[toxic == 1], [(i + 1) / GRADES for i in range(GRADES - 1)])
     grades = np.where(toxic == 1, 1 + (weight[:, None] > cuts).sum(axis=1), 0)
     w, thresholds = fit_ordinal(sparse, grades, len(number))
+    del got, lists, values, found, sparse
+    pa.default_memory_pool().release_unused()
     return OrdinalModel({x: float(w[i]) for x, i in number.items()}, tuple(float(t) for t in thresholds))
 
 
