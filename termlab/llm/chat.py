@@ -86,18 +86,15 @@ SAMPLES = "conv_id bigint, position bigint, ids array<int>, mask array<boolean>,
 STRETCH = 10_000  # turns whose lengths are summed up in one window
 
 
-def format_conversations(
-    conversations: DataFrame, tokenizer: str = BYTE_BPE, learnt_role: str = "assistant"
-) -> DataFrame:
-    """``conv_id, position, start, ids, mask``: the training sample of each conversation, one row per turn.
+def format_turns(conversations: DataFrame, tokenizer: str = BYTE_BPE, learnt_role: str = "assistant") -> DataFrame:
+    """``conv_id, position, ids, mask, n``: the training sample of each conversation, one row per turn, staged.
 
-    A sample is its conversation's ``ids`` in order of ``position``; ``start`` is how many ids of it come before the row.
+    A sample is its conversation's ``ids`` in order of ``position``; ``n`` is the number of a row's ids.
     ``mask`` marks the texts of ``learnt_role`` with their end marks.  Rows are ordered by turn (nulls
     first), then by role and text; repeated rows are turns of their own.  Null roles and texts are empty, and
     rows with a null conv_id make up one conversation.  An empty table gives no rows.
 
-    No task holds a conversation: turns are numbered by a sort that splits long ones, encoded wherever they are, and
-    ``start`` is a running sum over stretches of ``STRETCH`` turns and then within them.
+    No task holds a conversation: turns are numbered by a sort that splits long ones and encoded wherever they are.
     """
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +118,17 @@ def format_conversations(
             )
 
     turns = ordered_turns(conversations).select("conv_id", "position", "role", "text")
-    turns = stage(turns.mapInArrow(tidied(assemble), SAMPLES), "turns").withColumn("stretch", F.expr(f"position div {STRETCH}"))
+    return stage(turns.mapInArrow(tidied(assemble), SAMPLES), "turns")
+
+
+def format_conversations(
+    conversations: DataFrame, tokenizer: str = BYTE_BPE, learnt_role: str = "assistant"
+) -> DataFrame:
+    """:func:`format_turns` with ``start``, how many ids of the conversation come before the row, instead of ``n``.
+
+    It is a running sum over stretches of ``STRETCH`` turns and then within them.
+    """
+    turns = format_turns(conversations, tokenizer, learnt_role).withColumn("stretch", F.expr(f"position div {STRETCH}"))
     sums = turns.groupBy("conv_id", "stretch").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
@@ -180,7 +187,7 @@ DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigin
 
 
 def read_back(samples: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
-    """Digests of each conversation of :func:`format_conversations`, decoded from its ids and masks.
+    """Digests of each conversation of :func:`format_turns`, decoded from its ids and masks.
 
     A digest runs over a conversation from its first turn to its last, so one task reads it, but a
     batch of turns at a time: memory doesn't grow with the conversation.

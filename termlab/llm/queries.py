@@ -76,7 +76,7 @@ EXTRA = "</s>[INST] ok [/INST]"
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", EXTRA), (-1, 1, "assistant", EXTRA)], given.schema)
-    return chat.read_back(chat.format_conversations(given.union(extra)))
+    return chat.read_back(chat.format_turns(given.union(extra)))
 
 
 OP6_SQL = f"""
