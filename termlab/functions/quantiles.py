@@ -129,9 +129,16 @@ def _sorted_answers(rows: DataFrame, asks: DataFrame, at: Sequence[str]) -> Data
 
 
 def _cell() -> Column:
-    """The cell of ``_x`` among ``_pivots``: odd for a value that is a pivot, even between two."""
-    above = " + ".join(f"int(_x > get(_pivots, {i}))" for i in range(PIVOTS))
-    return F.expr(f"2 * ({above}) + int(array_contains(_pivots, _x))")
+    """The cell of ``_x`` among the sorted ``_pivots``: odd for a value that is a pivot, even between two.
+
+    A binary search, so a row meets six pivots and the expression stays small: one term for each pivot makes a method too long for the
+    JVM to compile.
+    """
+    steps = ", ".join(str(1 << k) for k in reversed(range(PIVOTS.bit_length())))
+    return F.expr(
+        f"aggregate(array({steps}), 0, (below, step) -> below + if(_x > get(_pivots, below + step - 1), step, 0), "
+        "below -> 2 * below + int(coalesce(get(_pivots, below) = _x, false)))"
+    )
 
 
 def _cells(rows: DataFrame, wide: DataFrame, at: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +146,8 @@ def _cells(rows: DataFrame, wide: DataFrame, at: Sequence[str]) -> tuple[DataFra
     sizes = wide.select(*at, "_n")
     probabilities = [i / (PIVOTS - 1) for i in range(PIVOTS)]
     held = salted_join(rows, wide.select(*at), at, F.col("_x"), sizes)
-    pivots = stage(held.groupBy(*at).agg(F.percentile_approx("_x", probabilities, ACCURACY).alias("_pivots")), "pivots")
+    sketched = F.sort_array(F.percentile_approx("_x", probabilities, ACCURACY))
+    pivots = stage(held.groupBy(*at).agg(sketched.alias("_pivots")), "pivots")
     counted = (
         salted_join(rows, pivots, at, F.col("_x"), sizes)
         .groupBy(*at, _cell().alias("_cell"))
