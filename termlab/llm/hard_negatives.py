@@ -21,6 +21,7 @@ from termlab.sources.tables import stage
 
 TILE = 4096  # rows of a tile
 BLOCK = 512  # anchors of a block
+CELL = 16  # tiles that a task holds at most
 STRIDE = 8  # dimensions read between two looks at the bounds
 POSITIVE = "struct<positive_uid: bigint, positive_id: bigint, positive_score: bigint>"
 
@@ -133,19 +134,22 @@ def _highest(score: np.ndarray, vec_id: np.ndarray, n: int) -> np.ndarray:
 def _cut(rows: DataFrame, size: int, factor: int, extra: str = "", kind: str = "") -> DataFrame:
     """Rows in tiles of ``size`` at most, of one vector length and mostly of one label.
 
-    ``part`` is the partition that made a tile; the number of partitions is a setting.  A label or vec_id with a
+    ``part`` numbers the cells: the tiles that one partition made, ``CELL`` of them at most.  A label or vec_id with a
     large part of the rows is spread by the rows' ``uid``.  A tile's vectors, floor(factor * x) of each component, are
     one binary, dimension by dimension.  ``extra`` is a further column of type ``kind`` to take along.
     """
     keys = ["width", "label", "vec_id", "uid"]
     names = [extra] if extra else []
-    dealt = rows.withColumn("width", F.size("vector")).repartitionByRange(shuffle_tasks(rows.sparkSession), *keys)
+    tasks = shuffle_tasks(rows.sparkSession)
+    dealt = rows.withColumn("width", F.size("vector")).repartitionByRange(tasks, *keys)
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held, rows_held = [], 0
+        task = TaskContext.get().partitionId()
+        held, rows_held, made = [], 0, 0
 
         def cut(table: pa.Table) -> pa.RecordBatch:
+            nonlocal made
+            part, made = task + tasks * (made // CELL), made + 1
             vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             columns = np.floor(float(factor) * vectors.astype(np.float64).reshape(table.num_rows, -1).T)
             lists = [table.column(n).combine_chunks() for n in ("uid", "vec_id", "label", *names)]
@@ -182,30 +186,39 @@ def _cut(rows: DataFrame, size: int, factor: int, extra: str = "", kind: str = "
         return stage(ordered.mapInArrow(tiles, schema), "tiles")
 
 
-def _unpacked(batch: pa.RecordBatch, i: int, prefix: str = "") -> Tile:
-    uid, vec_id, label = (batch.column(prefix + n)[i].values.to_numpy() for n in ("uid", "vec_id", "label"))
-    columns = np.frombuffer(batch.column(prefix + "columns")[i].as_py(), np.float64).reshape(-1, len(uid))
+def _unpacked(batch: pa.RecordBatch, i: int) -> Tile:
+    uid, vec_id, label = (batch.column(n)[i].values.to_numpy() for n in ("uid", "vec_id", "label"))
+    columns = np.frombuffer(batch.column("columns")[i].as_py(), np.float64).reshape(-1, len(uid))
     return Tile(uid, vec_id, label, columns)
 
 
 def _meet(blocks: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Every block of anchors beside every tile: a stated set of queries against all rows, in blocks.
+    """Every cell of tiles, and after it every block of anchors: a stated set of queries against all rows, in blocks.
 
-    A block is copied once for each partition of tiles, whose number is a setting.
+    A cell is a partition of its own, and a block is copied once for each cell.  The copies are moved from task to task: there
+    is no join that Spark may turn into a broadcast, as all copies together are many times what the staged blocks seem to be.
     """
-    parts = tiles.agg(F.max("part")).first()[0]
-    names = [F.col(c).alias(f"a_{c}") for c in blocks.columns if c != "part"]
-    copied = blocks.select(*names, F.explode(F.sequence(F.lit(0), F.lit(parts or 0))).alias("part"))
-    return copied.join(tiles, "part")
+    last = tiles.agg(F.max("part")).first()[0] or 0
+    copied = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    both = tiles.withColumn("anchors", F.lit(False)).unionByName(copied.withColumn("anchors", F.lit(True)), allowMissingColumns=True)
+    return both.repartitionById(last + 1, "part").sortWithinPartitions("part", "anchors")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Tile, Tile, np.ndarray]]:
-    """Blocks and tiles of one vector length, with the tile's columns in a sufficient kind of number."""
+    """Blocks and tiles of one cell and one vector length, with the tile's columns in a sufficient kind of number."""
+    cell, tiles = None, []
     for batch in batches:
+        parts, anchors = (batch.column(n).to_pylist() for n in ("part", "anchors"))
         for i in range(batch.num_rows):
-            block, tile = _unpacked(batch, i, "a_"), _unpacked(batch, i)
-            if len(block.low) == len(tile.low):
-                yield batch, i, block, tile, tile.columns.astype(_kind(block.columns, tile))
+            if parts[i] != cell:
+                cell, tiles = parts[i], []
+            block = _unpacked(batch, i)
+            if not anchors[i]:
+                tiles.append(block)
+                continue
+            for tile in tiles:
+                if len(block.low) == len(tile.low):
+                    yield batch, i, block, tile, tile.columns.astype(_kind(block.columns, tile))
 
 
 def nearest_of_label(blocks: DataFrame, tiles: DataFrame, n: int) -> DataFrame:
@@ -244,7 +257,7 @@ def in_windows(blocks: DataFrame, tiles: DataFrame, n: int, low: int, high: int)
     @tidied
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, block, tile, columns in _pairs(batches):
-            positives = batch.column("a_positives")[i].as_py()
+            positives = batch.column("positives")[i].as_py()
             found = []
             for a in range(len(block.uid)):
                 alive = tile.label != block.label[a]

@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pytest
 from awkward import ROWS
+from pyspark.sql import functions as F
 
 from termlab.llm import hard_negatives, lexicon, resampling, url_filter
 
@@ -222,6 +223,20 @@ def test_hard_negatives_of_repeated_ids_and_of_nothing(spark):
         hard_negatives.hard_negatives(huge, 10).collect()
 
 
+def test_every_block_meets_every_tile_without_a_broadcast(spark):
+    """Copies of small blocks are large together: they must not come to the driver.  A cell holds a bounded number of tiles."""
+    vectors = [(i, [float(i % 7), float(i % 5)], i % 3) for i in range(400)]
+    rows = hard_negatives.sound_vectors(spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int"), "label")
+    tiles = hard_negatives._cut(rows, 1, 1)
+    anchors = rows.where("vec_id % 10 = 0").withColumn("positives", F.array(F.struct(*(F.lit(x).cast("bigint").alias(n) for x, n in enumerate(("positive_uid", "positive_id", "positive_score"))))))
+    blocks = hard_negatives._cut(anchors, 3, 1, "positives", f"array<{hard_negatives.POSITIVE}>")
+    assert tiles.groupBy("part").count().agg(F.max("count")).first()[0] <= hard_negatives.CELL < 400 / 8
+    met = hard_negatives._meet(blocks, tiles)
+    got = [(a, t) for _, _, block, tile, _ in hard_negatives._pairs(met.toArrow().to_batches()) for a in block.vec_id.tolist() for t in tile.vec_id.tolist()]
+    assert sorted(got) == [(a, t) for a in range(0, 400, 10) for t in range(400)]
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bond_reads_few_dimensions_of_most_candidates():
     """Where some dimensions carry most of the scores, candidates leave before all are read."""
     r = np.random.default_rng(1)
