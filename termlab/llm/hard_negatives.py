@@ -8,6 +8,7 @@ wanted window leave the bitmap, and the few that stay to the end have exact scor
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ TILE = 4096  # rows of a tile
 BLOCK = 512  # anchors of a block
 CELL = 16  # tiles that a task holds at most
 STRIDE = 8  # dimensions read between two looks at the bounds
+MANY = 20  # one row in so many is enough to read a tile's dimensions whole
 POSITIVE = "struct<positive_uid: bigint, positive_id: bigint, positive_score: bigint>"
 
 
@@ -84,19 +86,22 @@ def bond(
     # What dimensions from the i-th read on add at least and at most.
     least, most = (np.append(f(ends, axis=0)[::-1].cumsum(dtype=ends.dtype)[::-1], ends.dtype.type(0)) for f in (np.min, np.max))
     places = np.flatnonzero(alive)
-    every = len(places) == len(alive)
-    score = np.zeros(len(places), columns.dtype)
+    # While many candidates are left, whole dimensions are read: that is faster than picking theirs.
+    every, score = True, np.zeros(len(alive), columns.dtype)
     for start in range(0, len(order), STRIDE):
+        if every and len(places) * MANY < len(alive):
+            every, score = False, score[places]
         read = order[start : start + STRIDE]
-        part = columns[read] if every else columns[read][:, places]
-        score += anchor[read] @ part
+        score += anchor[read] @ (columns[read] if every else columns[read[:, None], places])
         done = min(start + STRIDE, len(order))
-        some = wanted(score + least[done], score + most[done])
+        theirs = score[places] if every and len(places) < len(alive) else score
+        some = wanted(theirs + least[done], theirs + most[done])
         if not some.all():
-            places, score, every = places[some], score[some], False
+            places = places[some]
+            score = score if every else score[some]
         if not len(places):
             break
-    return places, score.astype(np.int64)
+    return places, (score[places] if every else score).astype(np.int64)
 
 
 def _reaching(n: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -113,14 +118,24 @@ def _reaching(n: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
 def _inside(windows: list[tuple[int, int]], n: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Candidates that may be among the ``n`` highest of a window: those that may lie in it, above its sure ones."""
 
+    least, greatest = min(x for x, _ in windows), max(x for _, x in windows)
+    widest = max(top - bottom for bottom, top in windows)
+    joined = all(y <= top for (_, top), (y, _) in itertools.pairwise(sorted(windows)))
+
     def wanted(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        kept = np.zeros(len(low), bool)
+        kept = (high >= least) & (low <= greatest)
+        if joined and len(low) and (high - low).min() > widest:  # none is sure
+            return kept
+        places = np.flatnonzero(kept)
+        low, high = low[places], high[places]
+        some = np.zeros(len(places), bool)
         for bottom, top in windows:
             may = (high >= bottom) & (low <= top)
             sure = low[(low >= bottom) & (high <= top)]
             if len(sure) > n:
                 may &= high >= np.partition(sure, len(sure) - n)[len(sure) - n]
-            kept |= may
+            some |= may
+        kept[places] = some
         return kept
 
     return wanted

@@ -253,3 +253,19 @@ def test_bond_reads_few_dimensions_of_most_candidates():
     exact = vectors @ vectors[0]
     assert (score == exact[places]).all() and set(np.argsort(-exact)[:5]) <= set(places.tolist())
     assert seen[0] == 4000 and seen[1] < 400
+
+
+@pytest.mark.parametrize("share", [1.0, 0.6, 0.01])
+@pytest.mark.parametrize("windows", [[(900, 1500)], [(900, 1500), (1400, 1600)], [(200, 300), (900, 1500)], [(10**9, 2 * 10**9)]])
+def test_bond_keeps_the_first_of_each_window(share, windows):
+    """With many and with few candidates, in windows that overlap and in windows apart."""
+    r = np.random.default_rng(3)
+    vectors = np.floor(20 * r.normal(size=(3000, 24)))
+    tile = hard_negatives.Tile(np.arange(3000), np.arange(3000), np.zeros(3000, np.int64), np.ascontiguousarray(vectors.T))
+    alive = r.random(3000) < share
+    exact = (vectors @ vectors[0]).astype(np.int64)
+    places, score = hard_negatives.bond(vectors[0], tile, tile.columns.astype(np.float32), alive, hard_negatives._inside(windows, 3))
+    assert (score == exact[places]).all() and alive[places].all()
+    for bottom, top in windows:
+        fits = np.flatnonzero(alive & (exact >= bottom) & (exact <= top))
+        assert set(fits[hard_negatives._highest(exact[fits], fits, 3)].tolist()) <= set(places.tolist())
